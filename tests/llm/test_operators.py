@@ -1,0 +1,371 @@
+"""The operators by themselves: kernels against brute force, odd rows, clashing columns."""
+
+import base64
+import hashlib
+import json
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tracelet.llm import chat, decontaminate, exact_dedup, language, pieces, quality, secret_scan, simhash, toxicity, url_filter
+
+
+# ------------------------------------------------ exact dedup
+@given(st.lists(st.tuples(st.text("ab", max_size=6), st.integers(0, 9)), max_size=40))
+@settings(max_examples=60, deadline=None)
+def test_patricia(rows):
+    trie = exact_dedup.Patricia()
+    for t, i in rows:
+        trie.owner(t.encode()).add(i, i, 1, 1)
+    want = {}
+    for t, i in rows:
+        want.setdefault(t.encode(), []).append(i)
+    assert {t: (o.least, o.most, o.ties, o.rows) for t, o in trie.items()} == {t: (min(v), max(v), v.count(max(v)), len(v)) for t, v in want.items()}
+
+
+def test_merged_owners_tell_texts_of_one_hash_apart():
+    rows = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in (([1, 1, 1], pa.int64()), ([5, 5, 5], pa.int64()), ([b"a", b"b", b"a"], pa.binary()), ([1, 2, 3],) + (pa.int64(),), ([1, 2, 3], pa.int64()), ([1, 1, 1], pa.int64()), ([1, 1, 1], pa.int64()))], names=exact_dedup.OWNERS.names)
+    out = [r for b in exact_dedup.merged_owners(iter([rows])) for r in b.to_pylist()]
+    assert {r["sha"]: (r["least"], r["most"], r["rows"]) for r in out} == {hashlib.sha256(b"a").hexdigest(): (1, 3, 2), hashlib.sha256(b"b").hexdigest(): (2, 2, 1)}
+
+
+def test_exact_duplicates_of_odd_rows(odd, crowded, none):
+    got = exact_dedup.exact_duplicates(odd).collect()
+    assert len(got) == 14
+    assert sum(r["kept"] for r in got) == len({exact_dedup.normal(None if r["text"] is None else r["text"].encode()) for r in got})
+    by = {}
+    for r in got:
+        by.setdefault(r["text_sha256"], []).append(r)
+    for rows in by.values():
+        ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
+        assert {r["keep_id"] for r in rows} == {max(ids, default=None)} and {r["group_size"] for r in rows} == {len(rows)}
+        assert sum(r["kept"] for r in rows) == 1
+    assert sorted(map(str, exact_dedup.exact_duplicates(crowded, keep=["doc_id"]).collect())) == sorted(map(str, exact_dedup.exact_duplicates(odd, keep=["doc_id"]).collect()))
+    assert exact_dedup.exact_duplicates(none).count() == 0
+
+
+def test_hot_group(spark):
+    """A third of the rows are copies; keys over the bound take the broadcast way."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same text").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    got = exact_dedup.exact_duplicates(docs).where("group_size > 1").agg(F.count("*"), F.min("keep_id"), F.max("group_size"), F.sum(F.col("kept").cast("int"))).first()
+    assert tuple(got) == (2000, 5997, 2000, 1)
+
+
+# ------------------------------------------------ decontamination
+def hits(text, items, window):
+    doc = decontaminate.words(text)
+    hit, ids = set(), set()
+    for i, t in items:
+        for w in decontaminate.windows(decontaminate.words(t), window):
+            for s in range(len(doc) - len(w) + 1):
+                if tuple(doc[s : s + len(w)]) == w:
+                    hit.update(range(s, s + len(w)))
+                    ids.add(i)
+    return hit, ids
+
+
+@given(st.lists(st.sampled_from("a b c d".split()), max_size=30), st.lists(st.lists(st.sampled_from("a b c".split()), max_size=7), max_size=4))
+@settings(max_examples=150, deadline=None)
+def test_scan(doc, items):
+    text, items = " ".join(doc).encode(), [(i, " ".join(t).encode()) for i, t in enumerate(items)]
+    built, numbers = decontaminate.automaton(items, 3)
+    spans, ids = decontaminate.scan(decontaminate.words(text), built, numbers)
+    hit, want = hits(text, items, 3)
+    assert {i for a, b in spans for i in range(a, b)} == hit and ids == want
+    assert all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
+def test_offsets_point_into_the_original():
+    text = "Éa -- Two,  THREE! x".encode()
+    built, numbers = decontaminate.automaton([(1, b"two three")], 13)
+    spans, _ = decontaminate.scan(decontaminate.words(text), built, numbers)
+    (a, b), = decontaminate.offsets(text, spans)
+    assert text.decode()[a:b] == "Two,  THREE"
+
+
+def test_contamination_in_shards(spark, odd, crowded, none):
+    items = spark.createDataFrame([(1, "sat on the mat and"), (2, "one two"), (3, None), (None, "école d'été")], "item_id long, text string")
+    whole = decontaminate.judged(decontaminate.contamination(odd, items, keep=["doc_id"]))
+    parted = decontaminate.judged(decontaminate.contamination(odd, items, keep=["doc_id"], max_words=60))
+    key = lambda df: sorted(map(str, df.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_chars").collect()))
+    assert key(whole) == key(parted)
+    assert len(decontaminate.shards(items, "item_id", "text", 13, 60)) > 1
+    by = {(r["doc_id"], r["n_words"]): r for r in whole.collect()}
+    assert by[1, 11]["n_hit"] == 5 and by[1, 11]["contaminated"] and by[7, 3]["n_hit"] == 3 and by[7, 3]["n_items"] == 0
+    assert by[3, 0]["contaminated"] is False
+    assert key(decontaminate.judged(decontaminate.contamination(crowded, items, keep=["doc_id"]))) == key(whole)
+    assert decontaminate.contamination(none, items).count() == 0
+    assert decontaminate.judged(decontaminate.contamination(odd, items.limit(0))).where("contaminated").count() == 0
+
+
+# ------------------------------------------------ languages
+def test_gradients():
+    model = language.ByteTagger(["a", "b", "c"], hidden=4)
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(65, 90, (9, 3)).astype(np.uint8), np.array([0, 1, 2])
+    _, g = model.gradients(x, y)
+    for name in ("xzf", "xnb", "uzf", "unb", "of", "bo"):
+        at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
+        step = 1e-2
+        model.w[name][at] += step
+        up = model.gradients(x, y)[0]
+        model.w[name][at] -= 2 * step
+        down = model.gradients(x, y)[0]
+        model.w[name][at] += step
+        assert abs((up - down) / (2 * step) - g[name][at]) < 0.02 * abs(g[name][at]) + 1e-4
+
+
+def test_pooling_reads_every_chunk():
+    model = language.ByteTagger(["a", "b"])
+    text = b"abc def " * 100
+    p = model.pooled([text, b"", text[:130]])
+    x = [np.frombuffer(text[i : i + language.LENGTH], np.uint8)[:, None] for i in range(0, len(text), language.LENGTH)]
+    each = np.concatenate([model.probabilities(c)[:, 0] for c in x])
+    mask = language.LETTER[np.frombuffer(text, np.uint8)]
+    assert np.allclose(p[0], each[mask].mean(0), atol=1e-5) and not p[1].any()
+    alone = model.pooled([text[:130]])
+    assert np.allclose(p[2], alone[0], atol=1e-6)  # whatever a text is read with
+    assert len(model.positions(text)) == len(text)
+    assert sum(b - a for a, b, _ in language.tagged(model, text.decode())) == len(text)
+
+
+def test_identify_odd_rows(odd, crowded, none):
+    model = language.learn(odd, F.lit(True))
+    got = {(r["doc_id"], r["text"]): r for r in language.identify(odd, model).collect()}
+    for key in ((3, None), (4, ""), (5, " \n\t "), (9, "12 34 -- !!")):
+        assert (got[key]["lang_pred"], got[key]["score"]) == ("und", 0.0)
+    assert got[10, "漢字 🙂 ▁ x  y"]["lang_pred"] != "und"
+    assert language.has_letter("漢".encode()) and not language.has_letter("🙂 1 ▁".encode())
+    assert language.learn(none, F.lit(True)) is None
+    assert {r["lang_pred"] for r in language.identify(odd, None).collect()} == {"und"}
+    same = language.identify(crowded, model)
+    assert same.columns.count("lang_pred") == 1 and same.count() == 14 and language.identify(none, model).count() == 0
+
+
+# ------------------------------------------------ pieces
+@pytest.fixture(scope="module")
+def table():
+    return pieces.tables(pieces.model_path())
+
+
+@pytest.fixture(scope="module")
+def library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+
+
+def same(table, library, text):
+    parts = table.encode(text)
+    raw = b"".join(parts)
+    ids = [int.from_bytes(raw[i : i + 4], "little") for i in range(0, len(raw), 4)]
+    want = library.encode(text, add_bos=True, add_eos=True)
+    assert ids == want
+    assert table.decode(parts).decode() == library.decode(want)
+
+
+@given(st.text(max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_pieces_of_any_text(table, library, text):
+    same(table, library, text)
+
+
+@given(st.lists(st.sampled_from(["a", "the", "in", " ", "  ", "\n", "▁", "é", "🙂", "漢", "ing", ".", "--", "\t", "0", "<s>", "<0x0A>"]), max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_pieces_of_built_texts(table, library, parts):
+    same(table, library, "".join(parts))
+
+
+@pytest.mark.parametrize("text", [" " * 500 + "a" + " " * 37, "x" * 5000, "ab" * 3000, "\n" * 40, "a \n b"])
+def test_pieces_of_runs(table, library, text):
+    same(table, library, text)
+
+
+def test_memory_is_bounded():
+    memo = pieces.Remembered(lambda k: k, 3)
+    assert [memo[i] for i in range(10)] == list(range(10)) and len(memo) <= 3
+
+
+def test_encode_odd_rows(odd, crowded, none):
+    got = pieces.encode(odd).collect()
+    assert len(got) == 14 and all(r["piece_ids"][0] == 1 and r["piece_ids"][-1] == 2 for r in got)
+    assert all(r["decoded"] == (r["text"] or "").replace("▁", " ") for r in got)
+    assert pieces.encode(crowded).columns.count("decoded") == 1 and pieces.encode(none).count() == 0
+
+
+# ------------------------------------------------ simhash
+def clustered(rng, n):
+    base = rng.integers(0, 2**63, max(1, n // 20), dtype=np.int64).astype(np.uint64)
+    flips = lambda: np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(1, 5)).astype(np.uint64))
+    return np.unique(np.array([base[rng.integers(len(base))] ^ flips() for _ in range(n)]))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 60, 700])
+def test_bk_tree(n):
+    points = clustered(np.random.default_rng(n), n)
+    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= 4
+    tree, found = simhash.BKTree(points), set()
+    for q, node in tree.search(points, 4):
+        found |= set(zip(q.tolist(), node.tolist(), strict=True))
+    assert found == set(zip(*[x.tolist() for x in np.nonzero(near)], strict=True))
+    a, b = simhash.forest(points)
+    assert np.array_equal(simhash.rooted(len(points), a, b), simhash.rooted(len(points), *np.nonzero(near)))
+
+
+@pytest.mark.parametrize("most", [20_000, 8])
+def test_links_and_components(spark, most):
+    """Whatever the size of a tree, components are those of all pairs; small trees force blocks."""
+    points = clustered(np.random.default_rng(9), 400)
+    points = np.unique(np.concatenate([points, np.uint64(1) << np.arange(64, dtype=np.uint64)]))
+    rows = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long")
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(rows, most=most)).collect()}
+    values = np.sort(points.view(np.int64))
+    near = np.bitwise_count((values[:, None] ^ values[None, :]).view(np.uint64)) <= 4
+    label = simhash.rooted(len(values), *np.nonzero(near))
+    assert [got.get(int(v), int(v)) for v in values] == [int(values[k]) for k in label]
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(3)
+    nodes = list(range(0, 300))
+    rng.shuffle(nodes)
+    edges = list(zip(nodes, nodes[1:], strict=False)) + [(1000, i) for i in range(1001, 1100)] + [(5000, 5001)]
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert all(got.get(i, i) == 0 for i in nodes) and all(got[i] == 1000 for i in range(1001, 1100)) and got[5001] == 5000
+    assert simhash.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_near_duplicates_of_odd_rows(odd, crowded, none):
+    got = simhash.near_duplicates(odd).collect()
+    assert len(got) == 14
+    blank = [r for r in got if r["doc_id"] in (3, 4, 5)]
+    assert all(r["fp"] == 0 and r["component_id"] == 3 for r in blank)
+    assert sorted(map(str, simhash.near_duplicates(crowded).collect())) == sorted(map(str, got))
+    stay = simhash.representatives(odd).collect()
+    assert len(stay) == len({r["root"] for r in got})
+    assert simhash.representatives(crowded).columns == crowded.columns
+    assert simhash.representatives(none).count() == 0
+
+
+# ------------------------------------------------ chat
+def test_escapes_are_reversible(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(["<", "|", "\\", "N", "\n", "<|im_end|>", "<\\|", "<\\N", "a", "é"]) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    got = rows.select("t", chat.unescaped(chat.escaped(t)).alias("a"), chat.unescaped_role(chat.escaped_role(t)).alias("b"), chat.escaped(t).contains("<|").alias("c"), chat.escaped_role(t).contains("\n").alias("d")).collect()
+    assert all(r["t"] == r["a"] == r["b"] and not r["c"] and not r["d"] for r in got)
+
+
+def test_parts(spark):
+    parts = '[{"type":"text","text":"see <|im_end|>"},{"type":"image","ref":"a.png","width":28,"height":29},null,{"type":"audio","ref":"b.wav","seconds":2.5},{"type":"text","text":null},{"type":"pdf","pages":3}]'
+    rows = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", '[{"type":"text","text":"ok"},{"type":"image"}]'), (2, 0, None, None)], "conv_id long, turn long, role string, j string")
+    made = {r["conv_id"]: r for r in chat.format_chats(rows.select("conv_id", "turn", "role", F.from_json("j", f"array<{chat.PART}>").alias("parts"))).collect()}
+    assert made[1]["formatted"] == "<|im_start|>user\nsee <\\|im_end|><|image_1|><|audio_2|><|document_3|><|im_end|>\n<|im_start|>assistant\nok<|image_4|><|im_end|>\n"
+    assert [(a["turn"], a["number"], a["type"], a["ref"], a["tokens"]) for a in made[1]["attachments"]] == [(0, 1, "image", "a.png", 6), (0, 2, "audio", "b.wav", 63), (0, 3, "document", "", 768), (1, 4, "image", "", 1)]
+    (span,) = made[1]["loss"]
+    assert made[1]["formatted"][span["start"] : span["start"] + span["length"]] == "ok<|image_4|>"
+    assert made[2]["formatted"] == "<|im_start|>\n<|im_end|>\n"
+
+
+def test_chat_runs_no_python(spark, odd_dir):
+    from tracelet.llm.queries import op6_chat
+
+    plan = op6_chat(spark, odd_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# ------------------------------------------------ secrets
+def der(tag, *content):
+    body = b"".join(content)
+    n = len(body)
+    size = bytes([n]) if n < 128 else (lambda b: bytes([0x80 | len(b)]) + b)(n.to_bytes((n.bit_length() + 7) // 8, "big"))
+    return bytes([tag]) + size + body
+
+
+KEY = der(0x30, *[der(0x02, bytes([i + 1]) * 30) for i in range(9)])
+PKCS8 = der(0x30, der(0x02, b"\0"), der(0x30, der(0x06, b"\x2a\x86\x48"), der(0x05)), der(0x04, KEY))
+
+
+def test_confirmed_structures():
+    token = b".".join(base64.urlsafe_b64encode(json.dumps(x).encode()).rstrip(b"=") for x in ({"alg": "HS256"}, {"sub": "é"})) + b".sig"
+    ssh = secret_scan.SSH + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"x" * 30
+    for raw in (KEY, PKCS8):
+        assert secret_scan.is_key_encoding(raw) and not secret_scan.is_key_encoding(raw + b"x") and not secret_scan.is_key_encoding(raw[:-1])
+        assert [k for k, _, _ in secret_scan.spans(b"\xc3\xa9 " + base64.b64encode(raw) + b" .")] == ["der"]
+        assert "der" in [k for k, _, _ in secret_scan.spans(b"x " + raw.hex().encode())]
+    assert secret_scan.spans("é ".encode() + token) == [("jwt", 2, 2 + len(token))]
+    assert [k for k, _, _ in secret_scan.spans(base64.b64encode(ssh))] == ["ssh"]
+    assert secret_scan.spans(base64.b64encode(bytes(range(60)))) == [] and not secret_scan.is_signed_token(b"eyJh.eyJh.x")
+
+
+def test_base_patterns():
+    assert secret_scan.spans(b"Api_Key\" : 'abcdef012345") == [("assign", 0, 24)]
+    assert secret_scan.spans("toKen=short password=Kabcdefghijkl".encode()) == [("assign", 12, 34)]
+    assert secret_scan.spans("Key token=abcdefghijkl".encode()) == [("assign", 4, 22)]
+    assert secret_scan.spans(b"AKIAABCDEFGHIJKLMN x 0123456789abcdef") == [("access", 0, 18), ("hex", 21, 37)]
+
+
+def test_scan_odd_rows(odd, crowded, none):
+    assert all(r["secrets"] == [] for r in secret_scan.scan(odd).collect())
+    assert secret_scan.scan(crowded).columns.count("secrets") == 1 and secret_scan.scan(none).count() == 0
+
+
+# ------------------------------------------------ toxicity and quality
+def test_grammar():
+    g = toxicity.Grammar()
+    score = lambda t: max((s for s, _, _ in g.clauses(t.encode())), default=0.0)
+    assert score("you are an idiot") > score("an idiot came by") > score("you are not an idiot") > 0
+    assert score("you idiot") > score('he wrote "you idiot"') > 0 and score("i will kill you") > 0 == score("they kill time")
+    assert score("you are an idiot") == score("Idiot, you.") or score("Idiot, you.") > 0
+    assert list(g.probability([b"", b"hello"])) == [g.probability([b""])[0]] * 2
+
+
+def test_learned_words_do_not_come_from_copies():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    clean = [" ".join(word() for _ in range(30)) for _ in range(200)]
+    bad = [" ".join([*(word() for _ in range(15)), "zork", *(word() for _ in range(15))]) for _ in range(60)] + ["copy of qux and nothing else"] * 40
+    g = toxicity.Grammar.learned([t.encode() for t in clean + bad], np.array([0.0] * 200 + [1.0] * 100))
+    assert g.symbols[b"zork"][0] == toxicity.INSULT and b"qux" not in g.symbols
+
+
+def test_convolution_covers_the_text():
+    model = quality.ByteConvolution()
+    text = bytes(range(1, 250)) * 9
+    x, of = quality.chunks([b"", b"ab", text])
+    assert list(of) == [1] + [2] * (len(of) - 1) and x[1:, :][-1].any()
+    brute = lambda t: np.array([max(sum(model.tables[j][t[i + j]] for j in range(quality.SPAN))[f] for i in range(len(t) - quality.SPAN + 1)) for f in range(quality.FILTERS)])
+    assert np.allclose(model.pooled(x[1:2])[0][0], brute(text[: quality.CHUNK]), atol=1e-4)
+    assert quality.repeats(quality.chunks([b"ha " * 50])[0]).tolist() == [[1, 1, 1]] and not quality.repeats(quality.chunks([bytes(range(1, 200))])[0]).any()
+    assert 0 <= model.probability([b""])[0] <= 1
+
+
+def test_scores_of_odd_rows(spark, odd, crowded, none):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for module, name in ((quality, "quality"), (toxicity, "toxic")):
+        model = module.learn(odd, labels, F.lit(True), name)
+        got = module.score(odd, model).collect()
+        assert len(got) == 14 and all(0 <= r["score"] <= 1 for r in got)
+        assert module.score(crowded, model).columns.count("score") == 1 and module.score(none, model).count() == 0
+        module.learn(odd, labels.limit(0), F.lit(True), name)
+    assert toxicity.matched_clauses(odd, toxicity.Grammar()).count() == 14
+
+
+# ------------------------------------------------ urls
+def test_url_model():
+    m = url_filter.UrlModel().train(url_filter.LABELLED)
+    p = lambda u: m.probability(*zip(url_filter.split(u)))[0]
+    assert p("https://casino-bonus.example.net/win") > 0.5 > p("https://library.example.org/wiki/history")
+    assert np.mean([(p(u) >= 0.5) == y for u, y in url_filter.LABELLED]) > 0.95
+
+
+def test_judge_keeps_other_columns(spark):
+    rows = spark.createDataFrame([(1, "http://A.com/x", "mine", "mine")], "page_id long, url string, host string, extra string")
+    r = url_filter.judge(rows).first()
+    assert (r["host"], r["path"], r["rule"], r["verdict"], r["extra"]) == ("a.com", "/x", "com/", "allow", "mine")

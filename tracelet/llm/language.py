@@ -43,8 +43,8 @@ class ByteTagger:
         for d in "fb":
             self.w |= {f"xz{d}": draw(256, hidden, s=0.3), f"xn{d}": draw(256, hidden, s=0.5), f"uz{d}": draw(hidden, hidden, s=0.2), f"un{d}": draw(hidden, hidden, s=0.4), f"o{d}": draw(hidden, len(self.labels), s=0.4)}
 
-    def states(self, x: np.ndarray, d: str, out: np.ndarray, tape: list | None = None) -> np.ndarray:
-        """States of one direction for bytes x[time, chunk]; out[time, chunk, hidden] is in reading order."""
+    def states(self, x: np.ndarray, d: str, out: np.ndarray, tape: list | None = None, inside: np.ndarray | None = None) -> np.ndarray:
+        """States of one direction for bytes x[time, chunk]; out[time, chunk, hidden] is in reading order. The state stays zero where ``inside`` is false."""
         w, n = self.w, x.shape[1]
         h = np.zeros((n, self.hidden), np.float32)
         z, c, t = (np.empty_like(h) for _ in range(3))
@@ -64,13 +64,16 @@ class ByteTagger:
             np.subtract(h, c, out=t)
             np.multiply(t, z, out=t)
             h = np.add(t, c, out=out[i])
+            if inside is not None:
+                h *= inside[i][:, None]
         return out
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
+    def logits(self, x: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
+        """Of every position. With padding behind the chunks (``inside`` false there), reading backwards starts at their own ends."""
         n, m = x.shape
         f, b = np.empty((n, m, self.hidden), np.float32), np.empty((n, m, self.hidden), np.float32)
         self.states(x, "f", f)
-        self.states(x[::-1], "b", b)
+        self.states(x[::-1], "b", b, None, None if inside is None else inside[::-1])
         out = (f.reshape(-1, self.hidden) @ self.w["of"]).reshape(n, m, -1)
         out += (b.reshape(-1, self.hidden) @ self.w["ob"]).reshape(n, m, -1)[::-1]
         out += self.w["bo"]
@@ -81,9 +84,9 @@ class ByteTagger:
         y = np.exp(y - y.max(-1, keepdims=True))
         return y / y.sum(-1, keepdims=True)
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
+    def probabilities(self, x: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
         """p[time, chunk, language] of every position."""
-        return self.softmax(self.logits(x))
+        return self.softmax(self.logits(x, inside))
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Loss and gradients for bytes x[time, chunk] of chunks with labels y[chunk]."""
@@ -167,8 +170,8 @@ class ByteTagger:
             steps = np.arange(int(left[mine].max()))[:, None]
             inside = steps < left[mine][None, :]
             x = np.where(inside, flat[start[mine][None, :] + steps], 0)
-            mask = LETTER[x]
-            p = self.probabilities(x)
+            mask = LETTER[x] & inside
+            p = self.probabilities(x, None if inside.all() else inside)
             np.add.at(total, of[mine], np.einsum("tbk,tb->bk", p, mask.astype(np.float32)))
             np.add.at(letters, of[mine], mask.sum(0))
         return total / np.maximum(letters, 1)[:, None]
