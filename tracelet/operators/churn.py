@@ -56,7 +56,7 @@ def churn(records: DataFrame, as_of: datetime | None = None, features: Sequence[
     trend = F.coalesce(named, F.when(numeric >= 0.66, "growing").when(numeric <= 0.33, "declining").when(numeric.isNotNull(), "flat"), F.lit("flat"))
     breadth = F.coalesce(optional(rows, "feature_usage_breadth", "double"), optional(rows, "analytics.feature_usage_breadth", "double"))
     every = F.coalesce(optional(rows, "total_features", "double"), F.lit(float(total_features)))
-    adoption = clamp(F.coalesce(optional(rows, "feature_adoption_rate", "double"), F.least(F.lit(1.0), breadth / F.greatest(F.lit(1.0), every)), F.lit(0.5)))
+    adoption = clamp(F.coalesce(optional(rows, "feature_adoption_rate", "double"), F.when(every > 0, F.least(F.lit(1.0), F.coalesce(breadth, F.lit(0.0)) / every)).otherwise(0.0)))
     tickets = F.coalesce(optional(rows, "support_tickets", "double"), optional(rows, "support_ticket_count", "double"), optional(rows, "support.open_tickets", "double"), F.lit(0.0))
     base = rows.select(F.coalesce(optional(rows, "customer_id"), optional(rows, "id"), F.lit("unknown")).alias("customer_id"), days.alias("days"), trend.alias("trend"), adoption.alias("adoption"), tickets.alias("tickets"))
     parts = base.withColumns({

@@ -110,7 +110,7 @@ class ParquetStore:
         if model is None:
             raise ValueError(f"there is no model {key_or_model}")
         line = F.to_json(F.struct("prefix", "tokens"))
-        rows = nested(model).select((F.base64(F.aes_encrypt(line, F.lit(password))) if password else line).alias("value"))
+        rows = nested(model).select((F.translate(F.base64(F.aes_encrypt(line, F.lit(password))), "\r\n", "") if password else line).alias("value"))
         rows.write.mode("overwrite").option("compression", codec).text(path)
 
 
