@@ -10,7 +10,8 @@ when first reached. A clause's score is the weight of its path; a document's fea
 its matched clauses, and logistic regression turns them into a probability.
 
 Learned from a bounded sample of labelled rows (``per_class`` of each label): the weights of insults
-(words that mark the label, beside the given ones, by smoothed log odds) and the regression.
+(words that mark the label, beside the given ones, by smoothed log odds), insulting stems with any
+ending, and the regression.
 
 Edge cases: null, empty and unmatched texts get the probability of a document without any match;
 repeated rows score alike; texts of any length are read whole; without both labels the given
@@ -33,15 +34,17 @@ from tracelet.llm.common import labelled_sample, map_text
 
 # Word lists of the grammar.
 INSULTS = "bastard bitch clown coward cretin creep degenerate despicable dimwit disgusting dumb dumbass filth filthy fool freak garbage halfwit idiot idiotic idiots imbecile jerk lame liar loser losers lowlife maggot moron morons moronic nasty parasite pathetic pig repulsive rat scum shit shithead sickening stupid subhuman swine trash ugly useless vermin vile worm worthless".split()
-THREATS = "beat break burn choke crush cut destroy die gut hang hit hunt hurt kick kill murder punch shoot slap smash stab strangle".split()
+THREATS = "beat break burn choke crush cut destroy gut hit hunt hurt kick kill murder punch shoot slap smash stab strangle".split()
 MODALS = "ll gonna will shall should must deserve deserves want wants".split()
-TARGETS = "you your yours yourself youre u they them their those these he she him her people everyone".split()
+TARGETS = "you your yours yourself youre they them their those these people everyone".split()
 NEGATIONS = "no not never nobody isn aren wasn weren don doesn didn won wouldn can't cannot hardly without neither nor".split()
 REPORTS = "said says say saying called calls call claimed claims told tells wrote writes quoted quotes reported reports according".split()
 
 (OTHER, INSULT, THREAT, MODAL, TARGET, NEGATION, REPORT, QUOTE, END) = range(9)
 PER_CLASS, MAX_CHARS = 600, 100_000
 THRESHOLD = 0.5
+#: Stems are prefixes of so many bytes, with so many different words behind them.
+STEM, STEM_MOST, FORMS = 4, 8, 4
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[.!?;\n]|\"")
 #: Word bytes stay, A-Z becomes a-z, all else separates.
 TABLE = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -89,11 +92,13 @@ def threatening(state: int, symbol: int) -> tuple[int, float]:
 
 
 class Grammar:
-    def __init__(self, weights: dict[bytes, float] | None = None) -> None:
+    def __init__(self, weights: dict[bytes, float] | None = None, stems: dict[bytes, float] | None = None) -> None:
         self.symbols: dict[bytes, tuple[int, float]] = {b".": (END, 0.0), b"!": (END, 0.0), b"?": (END, 0.0), b";": (END, 0.0), b"\n": (END, 0.0), b'"': (QUOTE, 0.0)}
         for words, symbol in ((TARGETS, TARGET), (MODALS, MODAL), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT)):
             self.symbols |= {w.encode(): (symbol, 0.0) for w in words}
         self.symbols |= {w: (INSULT, x) for w, x in ({w.encode(): 1.0 for w in INSULTS} | (weights or {})).items()}
+        self.stems = stems or {}
+        self.heads = {s[:STEM] for s in self.stems}
         self.marks = {w for w, (s, _) in self.symbols.items() if s in (INSULT, THREAT)}
         self.arcs: dict[tuple, tuple] = {}
         self.beta = np.array([-3.0, 4.0, 0.5, 0.5])
@@ -112,11 +117,19 @@ class Grammar:
             made = self.arcs[state, symbol] = ((n, r, t, h), damp * far, (pair + threat) * damp * far)
         return made
 
+    def symbol(self, word: bytes) -> tuple[int, float]:
+        """The lexical transducer: whole words first, then the longest learned stem."""
+        found = self.symbols.get(word)
+        if found is None and word[:STEM] in self.heads:
+            stem = next((word[:n] for n in range(min(len(word), STEM_MOST), STEM - 1, -1) if word[:n] in self.stems), None)
+            found = (INSULT, self.stems[stem]) if stem else None
+        return found or (OTHER, 0.0)
+
     def clauses(self, text: bytes) -> list[tuple[float, int, int]]:
         """(score, start, end) of clauses that matched; offsets in bytes."""
         out, state, score, start, last = [], (0, 0, 0, 0), 0.0, 0, 0
         for m in TOKEN.finditer(text):
-            symbol, weight = self.symbols.get(m[0].lower(), (OTHER, 0.0))
+            symbol, weight = self.symbol(m[0].lower())
             state, factor, more = self.arc(state, symbol)
             score += weight * factor + more
             last = m.end()
@@ -130,7 +143,8 @@ class Grammar:
 
     def features(self, text: bytes) -> tuple[float, float, float]:
         """Of the matched clauses: the largest score, log of the summed score, log of their number."""
-        if self.marks.isdisjoint(text.translate(TABLE).split()):
+        words = text.translate(TABLE).split()
+        if self.marks.isdisjoint(words) and (not self.heads or self.heads.isdisjoint([w[:STEM] for w in words])):
             return 0.0, 0.0, 0.0
         scores = [s for s, _, _ in self.clauses(text)]
         if not scores:
@@ -149,15 +163,25 @@ class Grammar:
             found = t.translate(TABLE).split()
             sides[int(y)].update(zip(found, found[1:], strict=False))
         neg, pos = (Counter(w for _, w in side) for side in sides)
+        few = max(5, least * float(labels.sum()))
+        heads = Counter(w[:n] for _, w in sides[1] for n in range(STEM, min(len(w), STEM_MOST) + 1))
+        kept = {s for s, c in heads.items() if c >= few}
+        against = Counter(w[:n] for _, w in sides[0] for n in range(STEM, min(len(w), STEM_MOST) + 1) if w[:n] in kept)
+        forms = Counter(s for w in pos for n in range(STEM, min(len(w), STEM_MOST) + 1) if (s := w[:n]) in kept)
         n1, n0 = int(labels.sum()), int(len(labels) - labels.sum())
         weights = {}
         odds = lambda w: math.log((pos[w] + 0.5) / (n1 + 1)) - math.log((neg[w] + 0.5) / (n0 + 1))
         for w, c in pos.items():
-            if c >= max(3, least * n1) and odds(w) >= math.log(20):
+            if c >= few and odds(w) >= math.log(20):
                 weights[w] = min(2.0, odds(w) / 3)
         given = {w.encode() for w in INSULTS}
         weights |= {w: min(1.0, max(0.1, odds(w) / 3)) for w in given if pos[w] + neg[w] >= 5 and w not in weights}
-        made = cls(weights)
+        stems: dict[bytes, float] = {}
+        for s in sorted(kept, key=len):  # the shortest that tells; longer ones say no more
+            o = math.log((heads[s] + 0.5) / (n1 + 1)) - math.log((against[s] + 0.5) / (n0 + 1))
+            if o >= math.log(100) and forms[s] >= FORMS and not any(s[:n] in stems for n in range(STEM, len(s))):
+                stems[s] = min(2.0, o / 3)
+        made = cls(weights, stems)
         x = np.array([(1.0, *made.features(t)) for t in texts])
         beta = np.zeros(4)
         for _ in range(60):  # Newton's method, slightly damped; both labels weigh the same
