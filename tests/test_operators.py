@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelet.functions import stats, text
-from tracelet.operators import churn, cluster, detect, forecast, generate, ltv, model, nba, predict, rank, report
+from tracelet.operators import churn, cluster, detect, events, forecast, generate, ltv, model, nba, predict, rank, report
 from tracelet.operators.schedule import next_cron, next_run
 
 
@@ -80,6 +80,7 @@ def test_predictions(spark):
     got = {(r["seed"], r["rank"]): (r["token"], r["probability"]) for r in predict.predict(m, seeds, limit=2).collect()}
     assert got == {("a", 1): ("b", 2 / 3), ("a", 2): ("c", 1 / 3), ("nothing", 1): ("a", 0.75), ("nothing", 2): ("z", 0.25), (None, 1): ("a", 0.75), (None, 2): ("z", 0.25)}  # behind "a b" comes only the end
     assert predict.predict(m, seeds, limit=0).count() == 0
+    assert events.prediction_made(predict.predict(m, seeds)).count() == 3 and events.model_trained(model.metrics(m), "k").count() == 1
 
 
 def test_probabilities(spark):
@@ -142,6 +143,8 @@ def test_detector(ctx):
     alerts = detect.route_alerts(found, {"critical": "pager", "info": "log"})
     assert frame(alerts) == [("critical", "pager", 1)]
     assert detect.route_alerts(found, {}).count() == 0
+    assert {(r["event"], r["subject"]) for r in events.anomalies(found).collect()} == {("anomaly_detected", "odd way out"), ("anomaly_detected", "drift")}
+    assert events.anomalies(detect.emerging(ctx, detect.Config(min_frequency=2))).where("event = 'pattern_emerged'").count() == 2
     watch = detect.Monitor(d).detect_anomalies(threshold=0.0, unknown=1).check_interval("5 minutes")
     assert watch.detector.cfg.threshold == 0.0 and watch.interval == "5 minutes"
 
@@ -155,6 +158,7 @@ def test_clusters(spark):
     assert frame(p, "cluster_id", "profile", "size", "percentage", "favorite_path") == [(1, "power_users", 1, "25.0%", "a"), (2, "quick_browsers", 1, "25.0%", "b c"), (3, "quick_browsers", 2, "50.0%", "d")]
     assert tuple(cluster.shift(p, p).first()) == (3, 3, False)
     assert tuple(cluster.shift(p, p.where("cluster_id < 3")).first()) == (3, 2, True)
+    assert events.cluster_shift(cluster.shift(p, p)).count() == 0 and events.cluster_shift(cluster.shift(p, p.limit(0))).count() == 1
     assert cluster.assign(freq, "kmeans_ml", 2).select("cluster_id").distinct().count() == 2
 
 
@@ -199,7 +203,7 @@ def test_churn(spark):
     assert churn.churn(people.drop("support_tickets"), features=["support_tickets"]).count() == 0
     nested = spark.createDataFrame([(("2024-01-01 00:00:00",), (0.9,))], "activity struct<last_login_at:string>, analytics struct<usage_trend_score:double>")
     assert churn.churn(nested, as_of=datetime(2024, 3, 1)).first()["score"] == pytest.approx(0.4 + 0.0 + 0.2)
-    assert churn.risk_events(churn.churn(people)).count() == 1
+    assert frame(events.churn_risk(churn.churn(people))) == [("churn_risk_identified", "h", "score 1.0")]
 
 
 def test_ltv(spark):
@@ -239,6 +243,7 @@ def test_forecast(spark):
     assert {r["pattern_type"] for r in forecast.patterns(found).collect()} == {"day_of_week"} and forecast.insights(found).count() == 2
     months = spark.createDataFrame([(datetime(2024, m, 31), float(m)) for m in (1, 3, 5, 7)], "ts timestamp, value double")
     assert [str(r["date"]) for r in forecast.forecast(months, "monthly", 2, 0.9).collect()] == ["2024-08-31", "2024-09-30"]
+    assert events.forecast_ready(forecast.forecast(points, horizon=3)).first()["summary"] == "3 points, 2024-01-29 to 2024-01-31"
     assert forecast.forecast(points.limit(0)).count() == 0 and len(forecast.forecast(points, horizon=0).collect()) == 1
     raw = spark.createDataFrame([("2024-01-01", 1.0, None), ("bad", 2.0, None), (None, None, [("2024-02-01", 3.0)])], "date string, mrr double, history array<struct<timestamp:string,mrr:double>>")
     assert frame(forecast.embedded_series(raw, "mrr"), "value") == [(1.0,), (3.0,)]

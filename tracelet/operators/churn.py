@@ -90,8 +90,3 @@ def actions(level: Column, score: Column, tickets: Column, digits: int | None =
         one(high, "priority_support_outreach", 0.7, 0.30),
         one((level != "low") & (tickets.cast("int") == 0), "schedule_success_call", 0.55, 0.22),
     ))
-
-
-def risk_events(scored: DataFrame) -> DataFrame:
-    """Events for customers whose level is called high."""
-    return scored.where("risk_level = 'high'").select(F.lit("churn_risk_identified").alias("event"), "customer_id", "score")

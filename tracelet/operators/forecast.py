@@ -133,10 +133,3 @@ def rounded(made: DataFrame) -> DataFrame:
     """The forecast as it is shown: four places, confidence two."""
     numbers = [c for c, k in made.dtypes if k == "double"]
     return made.withColumns({c: F.round(c, 2 if c == "confidence" else 4) for c in numbers})
-
-
-def ready_events(made: DataFrame) -> DataFrame:
-    """One event where there is a forecast."""
-    return made.agg(F.count(F.lit(1)).alias("points"), F.min("date").alias("start_date"), F.max("date").alias("end_date")).where("points > 0").select(F.lit("seasonal_forecast_ready").alias("event"), "points", "start_date", "end_date")
-
-

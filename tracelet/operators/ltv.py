@@ -108,9 +108,3 @@ def ltv(records: DataFrame, first_days: int = 7, segments: Sequence[str] = SEGME
     if historical:
         rows = labelled(cohort(rows))
     return rows.withColumn("ltv_score", F.round("ltv_score", 2)).orderBy(F.desc("ltv_score"))
-
-
-def high_value_events(rows: DataFrame, segments: Sequence[str] = SEGMENTS) -> DataFrame:
-    return rows.where(F.col("segment") == segments[0]).select(F.lit("high_ltv_customer_identified").alias("event"), "customer_id", "ltv_score")
-
-
