@@ -111,8 +111,8 @@ OUT = [
 def shards(benchmark: DataFrame, id_col: str, text_col: str, window: int, max_words: int) -> list[list[tuple[int | None, bytes]]]:
     """The items in bounded shards; the count comes first, so nothing unbounded is collected at once."""
     items = benchmark.select(quoted(id_col).cast("long").alias("i"), quoted(text_col).cast("string").alias("t"))
-    blanks = F.length("t") - F.length(F.translate("t", " ", "")) + 1
-    total = items.agg(F.coalesce(F.sum(blanks * window), F.lit(0)).alias("n")).first()["n"]
+    most = F.size(F.split(F.coalesce("t", F.lit("")), r"[\x00-/:-@\[-`{-\x7f]+"))  # its words, or one or two more
+    total = items.agg(F.coalesce(F.sum(most * window), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-int(total) // max_words))
     part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
     return [sorted(((r["i"], (r["t"] or "").encode()) for r in items.where(part == k).collect()), key=repr) for k in range(n)]
