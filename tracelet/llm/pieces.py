@@ -33,19 +33,23 @@ BLANK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Units whose ids a worker remembers at most.
 REMEMBER = 500_000
+#: Characters of a unit, or bytes of its ids, that are remembered at most.
+LONGEST = 256
 NEVER = float("inf")
 
 _loaded: dict[str, Pieces] = {}
 
 
 class Remembered(dict):
-    """A bounded memo: emptied when full."""
+    """A bounded memo: emptied when full; long keys are not kept."""
 
     def __init__(self, fn, most: int = REMEMBER) -> None:
         super().__init__()
         self.fn, self.most = fn, most
 
     def __missing__(self, key):
+        if not isinstance(key, (int, tuple)) and len(key) > LONGEST:
+            return self.fn(key)
         if len(self) >= self.most:
             self.clear()
         made = self[key] = self.fn(key)
@@ -68,6 +72,8 @@ class Pieces:
         self.text = {i: p.replace(BLANK, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.byte.items()} | {i: b"" for i in range(n) if lib.is_control(i)}
         if any(BLANK in p.lstrip(BLANK) for p in self.ids) or any("\n" in p for p in self.ids) or any(p[:2] == BLANK * 2 and p.strip(BLANK) for p in self.ids):
             raise ValueError("this model has pieces across blanks or newlines")
+        if max(map(len, self.ids)) > 255:
+            raise ValueError("this model has pieces of over 255 characters")
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
             if len(p) > 1 and p.strip(BLANK):
@@ -137,30 +143,34 @@ class Pieces:
                 j += 1
 
     def tokens(self, unit: str) -> list[str]:
-        """Tokens of a unit (no blank mark but at its start): last tokens of all prefixes, then backwards."""
+        """Tokens of a unit (no blank mark but at its start): last tokens of all prefixes, then backwards.
+
+        Of each prefix only the length of its last token is kept, one byte a character.
+        """
         n = len(unit)
-        if n == 0:
-            return []
-        ends: list[list[str]] = [[] for _ in range(n)]
-        if n > 1:
-            for end, piece in self.automaton.iter(unit):
-                ends[end].append(piece)
-        last: list[str] = [""] * (n + 1)
+        size = bytearray(n + 1)
         spines, fits = self.spines, self.fits
+        found = self.automaton.iter(unit) if n > 1 else iter(())
+        at, piece = next(found, (n, ""))
         for end in range(n):
-            for token in (*ends[end], unit[end]):
+            options = []
+            while at == end:
+                options.append(piece)
+                at, piece = next(found, (n, ""))
+            options.append(unit[end])
+            for token in options:
                 if spines[token] is None:
                     continue
                 start = end + 1 - len(token)
-                if start == 0 or fits[last[start], token]:
-                    last[end + 1] = token
+                if start == 0 or fits[unit[start - size[start] : start], token]:
+                    size[end + 1] = len(token)
                     break
             else:
-                raise AssertionError(f"no last token at {end} of {unit!r}")
+                raise AssertionError(f"no last token at {end} of {unit[:100]!r}")
         out = []
         while n:
-            out.append(last[n])
-            n -= len(last[n])
+            out.append(unit[n - size[n] : n])
+            n -= size[n]
         return out[::-1]
 
     def packed(self, tokens: Sequence[str]) -> bytes:
