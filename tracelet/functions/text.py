@@ -26,11 +26,19 @@ def padded(tokens: Column, order: int) -> Column:
     return F.concat(F.array_repeat(F.lit(START), order), tokens, F.array(F.lit(END)))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` refers to it, also inside functions over arrays."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def steps(tokens: Column, order: int) -> Column:
     """Array of (pos, prefix, token) for every step of a sequence, the step to the end included."""
-    s = padded(tokens, order)
-    at = F.sequence(F.lit(order), F.size(s) - 1)
-    return F.transform(at, lambda i: F.struct((i - order).cast("int").alias("pos"), F.array_join(F.slice(s, i - order + 1, order), " ").alias("prefix"), F.element_at(s, (i + 1).cast("int")).alias("token")))
+
+    def of(s: Column) -> Column:
+        at = F.sequence(F.lit(order), F.size(s) - 1)
+        return F.transform(at, lambda i: F.struct((i - order).cast("int").alias("pos"), F.array_join(F.slice(s, i - order + 1, order), " ").alias("prefix"), F.element_at(s, (i + 1).cast("int")).alias("token")))
+
+    return let(padded(tokens, order), of)
 
 
 def start_prefix(order: int) -> str:
