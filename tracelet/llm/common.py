@@ -160,19 +160,16 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int)
     """Left join on ``key``, where ``right`` has one row a key and ``weight`` counts the left rows of it.
 
     Keys with more than 1/HOT_SHARE of all left rows (fewer than HOT_SHARE of them, so a proven
-    bound) are broadcast; every other key has few rows, so the shuffled join has no hot task.
-    ``key`` must not be null in either side. ``total``: rows of ``left``.
+    bound) are broadcast. Their rows then pass the shuffled join dealt by a hash of themselves, and
+    meet nothing there; every other key has few rows. So no task is hot, and ``left`` is computed
+    once. ``key`` must not be null in either side. ``total``: rows of ``left``.
     """
     least = max(1000, total // HOT_SHARE)
     names = [c for c in right.columns if c != key]
-    hot = right.where(F.col(weight) > least)
-    rest = right.where(F.col(weight) <= least)
-    marked = left.join(F.broadcast(hot.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__h_{c}") for c in names])), F.col(key) == F.col("__k"), "left")
-    # a hot row needs no partner in the shuffled join, so its key there is null, salted by nothing else
-    # than the planner: rows with a null key of a left join are dealt by the salt below
-    cold_key = F.when(F.col("__k").isNull(), F.col(key))
-    marked = marked.withColumn("__cold", cold_key)
-    cold = marked.where(F.col("__k").isNull()).join(rest.select(F.col(key).alias("__rk"), *[F.col(c).alias(f"__r_{c}") for c in names]), F.col("__cold") == F.col("__rk"), "left")
-    done_cold = cold.select(*left.columns, *[F.col(f"__r_{c}").alias(c) for c in names])
-    done_hot = marked.where(F.col("__k").isNotNull()).select(*left.columns, *[F.col(f"__h_{c}").alias(c) for c in names])
-    return done_cold.unionByName(done_hot)
+    hot = right.where(F.col(weight) > least).select(F.col(key).alias("__k"), *[F.col(c).alias(f"__h_{c}") for c in names])
+    rest = right.where(F.col(weight) <= least).select(F.col(key).alias("__c"), F.lit(0).alias("__z"), *[F.col(c).alias(f"__r_{c}") for c in names])
+    is_hot = F.col("__k").isNotNull()
+    marked = left.join(F.broadcast(hot), F.col(key) == F.col("__k"), "left")
+    dealt = marked.withColumn("__salt", F.when(is_hot, 1 + F.pmod(F.xxhash64(*[quoted(c) for c in left.columns]), F.lit(HOT_SHARE)).cast("int")).otherwise(0))
+    met = dealt.join(rest, (F.col(key) == F.col("__c")) & (F.col("__salt") == F.col("__z")), "left")
+    return met.select(*[quoted(c) for c in left.columns], *[F.coalesce(f"__h_{c}", f"__r_{c}").alias(c) for c in names])

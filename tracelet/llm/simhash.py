@@ -290,26 +290,25 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) for each node of the links (u, v): the smallest node connected to it.
 
     Each round turns every node's links towards its smallest neighbour, first for the larger
-    neighbours (large star), then for the smaller ones (small star). Stars are grouped with partial
-    aggregation; the join back is by node and may be split by adaptive execution.
+    neighbours (large star), then for the smaller ones (small star). Smallest neighbours come from
+    partial aggregation; the hub of a large star looks its own up by broadcast (``lookup``), so no
+    task gathers its links.
     """
     now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     for turn in range(rounds):
+        n = now.count()
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        new = staged(small, f"round{turn}")
-        # done when every node has one link and roots have none of their own: the stars are then fixed
-        multi = new.groupBy("u").count().where("count > 1").limit(1).count()
-        chained = 1 if multi else new.join(new.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
-        now = new
-        if not multi and not chained:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("links"))
+        large = staged(lookup(both.where("v > u"), least, "u", "links", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"large{turn}")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("links"))
+        met = lookup(large, low, "u", "links", n)
+        small = met.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        now = staged(small, f"small{turn}")
+        # settled when every node has one link, and none leads to a node that has a link itself
+        degrees = now.groupBy("u").agg(F.count(F.lit(1)).alias("links"))
+        if degrees.where("links > 1").isEmpty() and now.select(F.col("v").alias("u")).distinct().join(degrees, "u", "left_semi").isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    raise RuntimeError("components did not settle")
 
 
 def fingerprinted(docs: DataFrame, text_col: str = "text", out: str = "fp", shingle: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
