@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelet.functions.text import next_prefix, seed_prefix
+from tracelet.functions.text import let, next_prefix, seed_prefix
 from tracelet.operators.model import Model
 from tracelet.schema import END
 
@@ -39,7 +39,7 @@ def walks(model: Model, starts: DataFrame, length: int, seed: int = 1, walk: str
     for step in range(max(0, length)):
         u = uniform(seed, F.col("walk"), step)
         met = now.join(table, "prefix", "left")
-        first = F.filter("choices", lambda c: u < c["upper"])
+        first = let(u, lambda x: F.filter("choices", lambda c: x < c["upper"]))  # one hash a step, not one a choice
         token = F.coalesce(F.try_element_at(first, F.lit(1))["token"], F.try_element_at(F.col("choices"), F.lit(-1))["token"])
         moved = met.withColumn("token", token).withColumn("going", F.col("token").isNotNull() & (F.col("token") != END))
         now = moved.select("walk", F.when(F.col("going"), next_prefix(F.col("prefix"), F.col("token"), model.order)).alias("prefix"), F.when(F.col("going"), F.array_append("tokens", F.col("token"))).otherwise(F.col("tokens")).alias("tokens"))
