@@ -2,44 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import groupby, islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelet.functions.staging import staged  # noqa: F401  handed on to the operators
+
 #: Bytes of text that one call of a batch function sees at most, unless a single text is larger.
 SLICE_BYTES = 16 << 20
 #: A class holding over 1/HOT_SHARE of all rows is hot; so there are fewer than HOT_SHARE hot classes.
 HOT_SHARE = 4096
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for staged tables: ``spark.checkpoint.dir``, or on local masters a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="tracelet-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again, which cuts its lineage.
-
-    The table outlives lost executors. It is needed until the result of the calling operator has
-    been consumed, so it stays until the shared folder is cleaned.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracelet-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Hashes of ids that samples are drawn by lie below this.
+SAMPLE_RANGE = 1 << 31
 
 
 def without(df: DataFrame, names: Iterable[str]) -> list[str]:
@@ -124,27 +102,30 @@ def labelled_sample(
 ) -> list[tuple[str, str]]:
     """(text, label) of at most ``per_class`` rows of each label, the same ones however data are dealt.
 
-    Rows are ranked by a hash of their id among the usable ids, then only those texts are read. Texts
-    over ``max_chars`` and null texts or labels take no part. At most ``max_classes`` labels are allowed.
+    Rows are ranked by a hash of their id among the usable ids. A label's count gives the hash under
+    which about twice as many rows lie as are wanted; only those ids come to the driver, and only the
+    chosen texts are read. So nothing is ranked in one task, however frequent a label is. Texts over
+    ``max_chars`` and null texts, ids or labels take no part. At most ``max_classes`` labels are allowed.
     """
-    ranked = Window.partitionBy("__y").orderBy("__h", "__id")
-    ids = (
+    rows = (
         labels.where(usable & quoted(label_col).isNotNull() & quoted(id_col).isNotNull())
         .select(quoted(id_col).alias("__id"), quoted(label_col).cast("string").alias("__y"))
-        .withColumn("__h", F.xxhash64("__id"))
-        .withColumn("__r", F.row_number().over(ranked))
-        .where(F.col("__r") <= per_class)
-        .select("__id", "__y")
-        .distinct()
+        .withColumn("__h", F.pmod(F.xxhash64("__id"), F.lit(SAMPLE_RANGE)))
     )
-    chosen = ids.limit(per_class * max_classes).collect()
-    if len({r["__y"] for r in chosen}) > max_classes or len(chosen) >= per_class * max_classes:
+    counts = {r["__y"]: r["n"] for r in rows.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1).collect()}
+    if len(counts) > max_classes:
         raise ValueError(f"more than {max_classes} labels in {label_col}")
+    under = F.lit(False)
+    for name, n in sorted(counts.items()):
+        most = SAMPLE_RANGE if n <= 2 * per_class + 100 else SAMPLE_RANGE * (2 * per_class + 100) // n
+        under = under | ((F.col("__y") == name) & (F.col("__h") < most))
+    near = sorted(rows.where(under).distinct().limit(6 * (per_class + 100) * max(1, len(counts))).collect(), key=lambda r: (r["__y"], r["__h"], r["__id"]))
+    chosen = [r for _, own in groupby(near, key=lambda r: r["__y"]) for r in islice(own, per_class)]
     if not chosen:
         return []
     spark = docs.sparkSession
-    small = spark.createDataFrame([(r["__id"], r["__y"]) for r in chosen], T.StructType([T.StructField("__id", ids.schema["__id"].dataType), T.StructField("__y", T.StringType())]))
-    rows = (
+    small = spark.createDataFrame([(r["__id"], r["__y"]) for r in chosen], T.StructType([T.StructField("__id", rows.schema["__id"].dataType), T.StructField("__y", T.StringType())]))
+    texts = (
         docs.select(quoted(id_col).alias("__id"), quoted(text_col).cast("string").alias("__t"))
         .where(F.col("__t").isNotNull() & (F.length("__t") <= max_chars))
         .join(F.broadcast(small), "__id")
@@ -152,8 +133,7 @@ def labelled_sample(
         .limit(2 * len(chosen))
         .collect()
     )
-    rows = sorted(rows, key=lambda r: (r["__h"], r["__id"], r["__t"], r["__y"]))[: per_class * max_classes]
-    return [(r["__t"], r["__y"]) for r in rows]
+    return [(r["__t"], r["__y"]) for r in sorted(texts, key=lambda r: (r["__h"], r["__id"], r["__t"], r["__y"]))]
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
