@@ -56,6 +56,14 @@ def test_hot_group(spark):
     assert tuple(got) == (2000, 5997, 2000, 1)
 
 
+def test_repeated_rows_over_many_partitions(spark):
+    docs = spark.range(4000, numPartitions=5).select(F.when(F.col("id") < 3000, 1).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 3000, "same").otherwise(F.concat(F.lit("t "), "id")).alias("text"))
+    got = exact_dedup.exact_duplicates(docs)
+    assert tuple(got.where("doc_id = 1").agg(F.count("*"), F.sum(F.col("kept").cast("int")), F.max("group_size")).first()) == (3000, 1, 3000)
+    assert got.where("kept").count() == 1001
+    assert simhash.representatives(docs.where("doc_id = 1")).count() == 1
+
+
 # ------------------------------------------------ decontamination
 def hits(text, items, window):
     doc = decontaminate.words(text)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import groupby, islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,6 +136,20 @@ def labelled_sample(
     return [(r["__t"], r["__y"]) for r in sorted(texts, key=lambda r: (r["__h"], r["__id"], r["__t"], r["__y"]))]
 
 
+def one_of_each(df: DataFrame, by: Sequence[str], out: str) -> DataFrame:
+    """Append whether a row is the one picked of those alike in ``by``, all others of which are equally entitled.
+
+    One is picked in each partition first, then one of these, so rows alike never gather in one task.
+    """
+    here = Window.partitionBy(*by, "__p").orderBy(F.lit(0))
+    ranked = df.withColumn("__p", F.spark_partition_id()).withColumn("__r", F.row_number().over(here))
+    first = F.col("__r") == 1
+    # the first rows of all partitions meet; the others stay apart, and the rows are computed once
+    dealt = ranked.withColumn("__s", F.when(first, -1).otherwise(F.col("__p")))
+    met = Window.partitionBy(*by, "__s").orderBy("__p")
+    return dealt.withColumn(out, first & (F.row_number().over(met) == 1)).drop("__p", "__r", "__s")
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Left join on ``key``, where ``right`` has one row a key and ``weight`` counts the left rows of it.
 

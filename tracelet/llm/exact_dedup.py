@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelet.llm.common import as_bytes, lookup, map_text, quoted, slices, staged, without
+from tracelet.llm.common import as_bytes, lookup, map_text, one_of_each, quoted, slices, staged, without
 
 NONE = -(2**63)
 
@@ -173,8 +173,7 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
 
 def one_of_ties(df: DataFrame, sure: str, by: list[str]) -> DataFrame:
     """Settle rows where ``sure`` is null: true for one row of each ``by``; only those rows are shuffled."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))
-    tied = df.where(F.col(sure).isNull()).withColumn(sure, rank == 1)
+    tied = one_of_each(df.where(F.col(sure).isNull()).drop(sure), by, sure)
     return df.where(F.col(sure).isNotNull()).unionByName(tied)
 
 

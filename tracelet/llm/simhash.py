@@ -29,11 +29,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelet.llm.common import lookup, map_text, quoted, staged
+from tracelet.llm.common import lookup, map_text, one_of_each, quoted, staged
 
 SHINGLE = 4
 SEED = 42
@@ -344,8 +344,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entitled = marked.where(F.col("__rid").eqNullSafe(F.col("component_id"))).groupBy("root", "__rid", "__rth").agg(F.count(F.lit(1)).alias("n"))
     chosen = entitled.groupBy("root").agg(F.min(F.struct("__rth", "__rid", "n")).alias("c")).select(F.col("c.__rid").alias("__cid"), F.col("c.__rth").alias("__cth"), F.col("c.n").alias("__n"))
     met = named.join(chosen, F.col("__rid").eqNullSafe(F.col("__cid")) & (F.col("__rth") == F.col("__cth")))
-    rank = F.row_number().over(Window.partitionBy("__rid", "__rth").orderBy(F.lit(0)))
-    one = met.where("__n > 1").withColumn("__one", rank).where("__one = 1").drop("__one")
+    one = one_of_each(met.where("__n > 1"), ["__rid", "__rth"], "__one").where("__one").drop("__one")
     return met.where("__n = 1").unionByName(one).select(*[quoted(c) for c in docs.columns])
 
 
