@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelet.functions.records import optional
-from tracelet.functions.text import clamp
+from tracelet.functions.text import clamp, let
 
 LEVELS = {"high": 0.70, "medium": 0.40}
 FEATURES = 12
@@ -72,7 +72,9 @@ def churn(records: DataFrame, as_of: datetime | None = None, features: Sequence[
     factors = F.array(*[F.when(F.col(c) > 0, F.struct(name.alias("factor"), share(c).alias("weight"))) for c, name in named_parts])
     out = ["customer_id", "score", "risk_level", F.array_compact(factors).alias("factors")]
     if recommendations:
-        out.append(actions(F.col("risk_level"), F.col("score"), F.col("tickets"), digits).alias("actions"))
+        # bound once: the score is a large expression, which each action would repeat
+        known = F.struct(F.col("risk_level").alias("level"), F.col("score").alias("score"), F.col("tickets").alias("tickets"))
+        out.append(let(known, lambda k: actions(k["level"], k["score"], k["tickets"], digits)).alias("actions"))
     return scored.select(*out).orderBy(F.desc("score"), "customer_id")
 
 
