@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tracelet.functions.staging import staged  # noqa: F401  handed on to the operators
 
 #: Bytes of text that one call of a batch function sees at most, unless a single text is larger.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 #: A class holding over 1/HOT_SHARE of all rows is hot; so there are fewer than HOT_SHARE hot classes.
 HOT_SHARE = 4096
 #: Hashes of ids that samples are drawn by lie below this.
