@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import ahocorasick
 import pyarrow as pa
@@ -72,8 +72,6 @@ class Pieces:
         self.text = {i: p.replace(BLANK, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.byte.items()} | {i: b"" for i in range(n) if lib.is_control(i)}
         if any(BLANK in p.lstrip(BLANK) for p in self.ids) or any("\n" in p for p in self.ids) or any(p[:2] == BLANK * 2 and p.strip(BLANK) for p in self.ids):
             raise ValueError("this model has pieces across blanks or newlines")
-        if max(map(len, self.ids)) > 255:
-            raise ValueError("this model has pieces of over 255 characters")
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
             if len(p) > 1 and p.strip(BLANK):
@@ -142,35 +140,43 @@ class Pieces:
             else:
                 j += 1
 
-    def tokens(self, unit: str) -> list[str]:
-        """Tokens of a unit (no blank mark but at its start): last tokens of all prefixes, then backwards.
-
-        Of each prefix only the length of its last token is kept, one byte a character.
-        """
+    def matches(self, unit: str) -> Iterable[list[str]]:
+        """Of each place, the pieces that end there; long units are matched while they are read."""
         n = len(unit)
-        size = bytearray(n + 1)
-        spines, fits = self.spines, self.fits
-        found = self.automaton.iter(unit) if n > 1 else iter(())
+        found = self.automaton.iter(unit) if n > 1 else ()
+        if n <= LONGEST:
+            ends: list[list[str]] = [[] for _ in range(n)]
+            for end, piece in found:
+                ends[end].append(piece)
+            yield from ends
+            return
         at, piece = next(found, (n, ""))
         for end in range(n):
-            options = []
+            here = []
             while at == end:
-                options.append(piece)
+                here.append(piece)
                 at, piece = next(found, (n, ""))
-            options.append(unit[end])
-            for token in options:
+            yield here
+
+    def tokens(self, unit: str) -> list[str]:
+        """Tokens of a unit (no blank mark but at its start): last tokens of all prefixes, then backwards."""
+        n = len(unit)
+        last: list[str] = [""] * (n + 1)
+        spines, fits = self.spines, self.fits
+        for end, here in enumerate(self.matches(unit)):
+            for token in (*here, unit[end]):
                 if spines[token] is None:
                     continue
                 start = end + 1 - len(token)
-                if start == 0 or fits[unit[start - size[start] : start], token]:
-                    size[end + 1] = len(token)
+                if start == 0 or fits[last[start], token]:
+                    last[end + 1] = token
                     break
             else:
                 raise AssertionError(f"no last token at {end} of {unit[:100]!r}")
         out = []
         while n:
-            out.append(unit[n - size[n] : n])
-            n -= size[n]
+            out.append(last[n])
+            n -= len(last[n])
         return out[::-1]
 
     def packed(self, tokens: Sequence[str]) -> bytes:
