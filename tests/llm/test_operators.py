@@ -312,6 +312,28 @@ def test_confirmed_structures():
     assert secret_scan.spans(base64.b64encode(bytes(range(60)))) == [] and not secret_scan.is_signed_token(b"eyJh.eyJh.x")
 
 
+def test_keys_end_where_their_lengths_say():
+    """DER lengths of every remainder by three, with and without padding, in PEM and among other lines."""
+    ed25519 = bytes.fromhex("302e020100300506032b657004220420") + bytes(range(32))
+    sized = [der(0x30, der(0x02, b"\0"), der(0x30, der(0x06, b"\x2a\x86\x48"), der(0x05)), der(0x04, bytes([0xFB]) * n)) for n in (60, 61, 62, 200, 201, 202, 900, 901, 902)]
+    assert {len(raw) % 3 for raw in sized} == {0, 1, 2} and len(ed25519) == 48
+    for raw in (ed25519, *sized):
+        for code in (base64.b64encode(raw), base64.b64encode(raw).rstrip(b"="), base64.urlsafe_b64encode(raw).rstrip(b"=")):
+            for eol in (b"\n", b"\r\n"):
+                body = eol.join(code[i : i + 64] for i in range(0, len(code), 64))
+                for left, right in ((b"-----BEGIN PRIVATE KEY-----" + eol, eol + b"-----END PRIVATE KEY-----"), (b"-----BEGIN PRIVATE KEY-----", b"-----END PRIVATE KEY-----"), (b"", eol + b"word and more"), (b"", eol + b"words" + eol + b"word"), (b"x" * 40 + eol, eol + b"y" * 40)):
+                    assert [x for x in secret_scan.spans(left + body + right) if x[0] == "der"] == [("der", len(left), len(left) + len(body))]
+    one, two = (base64.b64encode(raw) for raw in (ed25519, sized[0] if len(sized[0]) % 3 == 0 else ed25519))
+    assert [k for k, _, _ in secret_scan.spans(one + b"\n" + two + b"\nend")] == ["der"] * 2
+    assert secret_scan.spans(base64.b64encode(ed25519 + b"x" * 3) + b"\nword") == []
+    ssh = secret_scan.SSH + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (b"p" * 51, b"s" * 133))
+    for raw in (ssh, ssh[:-40]):
+        code = base64.b64encode(raw[: len(raw) // 3 * 3])
+        assert secret_scan.spans(code + b"\n-----END OPENSSH PRIVATE KEY-----") == [("ssh", 0, len(code))]
+    code = base64.b64encode(ssh).rstrip(b"=")
+    assert [secret_scan.spans(code + b"\n" + b"w" * n) for n in range(1, 6)] == [[("ssh", 0, len(code))]] * 5
+
+
 def test_base_patterns():
     assert secret_scan.spans(b"Api_Key\" : 'abcdef012345") == [("assign", 0, 24)]
     assert secret_scan.spans("toKen=short password=Kabcdefghijkl".encode()) == [("assign", 12, 34)]

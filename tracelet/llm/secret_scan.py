@@ -5,6 +5,9 @@ are decoded and parsed before they are reported: runs of base64 or hex whose byt
 nested lengths that fit exactly and the layout of a key (``der``), the binary key format of OpenSSH
 (``ssh``), and three-part tokens whose header is JSON that names an algorithm (``jwt``).
 
+A key of the coded kinds ends where its own lengths say, at the end of a line, of the run or before
+five dashes; words and markers on the lines around it are no part of it, and what follows is read on.
+
 Edge cases: null counts as empty; empty texts have no spans; offsets are code points, end exclusive;
 of several spans at one start the kinds go in the order of KINDS; texts of any length are read whole.
 """
@@ -33,6 +36,11 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 #: As greedy runs never start inside a run, 16 and more are the runs that pass.
 HEX = re.compile(rb"[0-9a-f]{16,}")
 CODED = re.compile(rb"[A-Za-z0-9+/_-]{32,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+#: Where a key may begin in a coded run: at a line's start or behind a marker's dashes, with the first characters of a DER sequence or of the SSH magic.
+STARTS = re.compile(rb"(?:\A|(?<=\n)|(?<=-----))(?=M[A-P]|b3BlbnNzaC1rZXktdjEA)")
+#: Characters of a key, as of a run.
+LEAST = 32
+STANDARD = bytes.maketrans(b"-_", b"+/")
 HEXES = re.compile(rb"(?:[0-9a-fA-F]{2}){16,}")
 TOKEN = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 LONG = np.array([0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c in b"+/_-" for c in range(256)])
@@ -111,14 +119,55 @@ def is_signed_token(token: bytes) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(payload, dict)
 
 
-def decoded(run: bytes) -> bytes:
-    plain = run.replace(b"\r", b"").replace(b"\n", b"").rstrip(b"=").translate(bytes.maketrans(b"-_", b"+/"))
-    if len(plain) % 4 == 1:
-        return b""
-    try:
-        return base64.b64decode(plain + b"=" * (-len(plain) % 4))
-    except binascii.Error:
-        return b""
+def ssh_size(raw: bytes) -> int | None:
+    """Bytes up to the end of the private part that follows the public keys, or None where it is cut off."""
+    at = len(SSH)
+    for _ in range(3):
+        at += 4 + int.from_bytes(raw[at : at + 4], "big")
+    n, at = int.from_bytes(raw[at : at + 4], "big"), at + 4
+    for _ in range(n + 1):
+        if at + 4 > len(raw):
+            return None
+        at += 4 + int.from_bytes(raw[at : at + 4], "big")
+    return at if at <= len(raw) else None
+
+
+def decoded(plain: bytes) -> bytes:
+    plain = plain[: len(plain) - (len(plain) % 4 == 1)]
+    return base64.b64decode(plain + b"=" * (-len(plain) % 4))
+
+
+def keys(run: bytes) -> Iterator[tuple[str, int, int]]:
+    """The keys in one coded run. Lines of other words may stand before, between and behind them."""
+    where, plain, done = None, b"", 0
+    for m in STARTS.finditer(run):
+        if m.start() < done:
+            continue
+        if where is None:
+            where = np.flatnonzero(LONG[np.frombuffer(run, np.uint8)])
+            plain = run.translate(STANDARD, b"\r\n=")
+        k = int(np.searchsorted(where, m.start()))
+        after = lambda n: len(run) if n == len(plain) else int(where[n - 1]) + 1  # noqa: E731, B023  padding belongs to the last line
+        if run[m.start()] == ord("M"):
+            head = decoded(plain[k : k + 8])
+            top = element(head, 0, 1 << 40) if len(head) == 6 else None
+            n = top and k - (-4 * top[2] // 3)
+            if not top or n - k < LEAST or n > len(plain):
+                continue
+            end = after(n)
+            fits = end == len(run) or run[end] in b"\r\n" or run.startswith(b"-----", end)
+            if fits and is_key_encoding(decoded(plain[k:n])):
+                yield "der", m.start(), (done := end)
+        else:
+            raw = decoded(plain[k:])
+            if is_ssh_key(raw):
+                size = ssh_size(raw)
+                if size is not None:
+                    done = after(k - (-4 * size // 3))
+                else:  # cut off: up to the marker
+                    marker = run.find(b"-----", m.start())
+                    done = len(run) if marker < 0 else len(run[:marker].rstrip(b"\r\n"))
+                yield "ssh", m.start(), done
 
 
 def confirmed(text: bytes) -> Iterator[tuple[str, int, int]]:
@@ -127,11 +176,8 @@ def confirmed(text: bytes) -> Iterator[tuple[str, int, int]]:
         if is_signed_token(m[0]):
             yield "jwt", *m.span()
     for m in CODED.finditer(text):
-        raw = decoded(m[0])
-        if raw[:1] == b"\x30" and is_key_encoding(raw):
-            yield "der", *m.span()
-        elif is_ssh_key(raw):
-            yield "ssh", *m.span()
+        for kind, start, end in keys(m[0]):
+            yield kind, m.start() + start, m.start() + end
     for m in HEXES.finditer(text):
         raw = bytes.fromhex(m[0].decode())
         if raw[:1] == b"\x30" and is_key_encoding(raw):
