@@ -356,6 +356,16 @@ def test_grammar():
     assert list(g.probability([b"", b"hello"])) == [g.probability([b""])[0]] * 2
 
 
+def test_threats_at_third_persons_and_words_shared_with_other_languages():
+    g = toxicity.Grammar()
+    score = lambda t: max((s for s, _, _ in g.clauses(t.encode())), default=0.0)
+    assert all(score(t) == score("I will kill you") for t in ("I will kill him", "I will kill her", "we should hang them", "he shall hang, u hear", "they should die, he and her"))
+    assert score("she is an idiot") == score("he is an idiot") == score("you are an idiot") > score("an idiot came by")
+    assert score("I will kill him und ich auch") == score("ich will kill you") == score("I will kill you")
+    assert score("er will die Frau und her damit") == score("sie will die Stadt u. a. sehen") == score("ich will die Sache, he") == 0
+    assert score("ich war da. I will kill her") > 0 and g.features("ich will die Stadt u.".encode()) == (0.0, 0.0, 0.0)
+
+
 def test_learned_words_do_not_come_from_copies():
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))

@@ -5,7 +5,8 @@ other, clause end) with the weight of the word. Four more read the symbols in st
 transducer adds weight where an insult and an addressed person stand in one clause, the threat
 transducer where a modal, a threat and a target follow each other, the negation transducer damps
 what stands within three words of a negation, and the reported-speech transducer what stands behind
-a verb of saying or inside quotation marks. Their composition is one automaton whose states are made
+a verb of saying or inside quotation marks. One more notes words of other languages in a clause; behind
+them the words of SHARED, which those languages have too, are other words. Their composition is one automaton whose states are made
 when first reached. A clause's score is the weight of its path; a document's features are those of
 its matched clauses, and logistic regression turns them into a probability.
 
@@ -34,13 +35,16 @@ from tracelet.llm.common import labelled_sample, map_text
 
 # Word lists of the grammar.
 INSULTS = "bastard bitch clown coward cretin creep degenerate despicable dimwit disgusting dumb dumbass filth filthy fool freak garbage halfwit idiot idiotic idiots imbecile jerk lame liar loser losers lowlife maggot moron morons moronic nasty parasite pathetic pig repulsive rat scum shit shithead sickening stupid subhuman swine trash ugly useless vermin vile worm worthless".split()
-THREATS = "beat break burn choke crush cut destroy gut hit hunt hurt kick kill murder punch shoot slap smash stab strangle".split()
+THREATS = "beat break burn choke crush cut destroy die gut hang hit hunt hurt kick kill murder punch shoot slap smash stab strangle".split()
 MODALS = "ll gonna will shall should must deserve deserves want wants".split()
-TARGETS = "you your yours yourself youre they them their those these people everyone".split()
+TARGETS = "you your yours yourself youre u they them their those these he she him her people everyone".split()
 NEGATIONS = "no not never nobody isn aren wasn weren don doesn didn won wouldn can't cannot hardly without neither nor".split()
+#: Words of the lists above that German or Spanish have too, and words that tell a clause of theirs from an English one.
+SHARED = "die he her u".split()
+FOREIGN_WORDS = "und nicht ist ein eine einen einer ich wir sie sich auch auf für zu que una por pero muy".split()
 REPORTS = "said says say saying called calls call claimed claims told tells wrote writes quoted quotes reported reports according".split()
 
-(OTHER, INSULT, THREAT, MODAL, TARGET, NEGATION, REPORT, QUOTE, END) = range(9)
+(OTHER, INSULT, THREAT, MODAL, TARGET, NEGATION, REPORT, QUOTE, END, FOREIGN) = range(10)
 PER_CLASS, MAX_CHARS = 600, 100_000
 THRESHOLD = 0.5
 #: Stems are prefixes of so many bytes, with so many different words behind them.
@@ -91,12 +95,18 @@ def threatening(state: int, symbol: int) -> tuple[int, float]:
     return state, 0.0
 
 
+def foreign(state: int, symbol: int) -> int:
+    """1 behind a word of another language in a clause."""
+    return 0 if symbol == END else int(state or symbol == FOREIGN)
+
+
 class Grammar:
     def __init__(self, weights: dict[bytes, float] | None = None, stems: dict[bytes, float] | None = None) -> None:
         self.symbols: dict[bytes, tuple[int, float]] = {b".": (END, 0.0), b"!": (END, 0.0), b"?": (END, 0.0), b";": (END, 0.0), b"\n": (END, 0.0), b'"': (QUOTE, 0.0)}
-        for words, symbol in ((TARGETS, TARGET), (MODALS, MODAL), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT)):
+        for words, symbol in ((TARGETS, TARGET), (MODALS, MODAL), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT), (FOREIGN_WORDS, FOREIGN)):
             self.symbols |= {w.encode(): (symbol, 0.0) for w in words}
         self.symbols |= {w: (INSULT, x) for w, x in ({w.encode(): 1.0 for w in INSULTS} | (weights or {})).items()}
+        self.shared = {w.encode() for w in SHARED if self.symbols[w.encode()][0] != INSULT}
         self.stems = stems or {}
         self.heads = {s[:STEM] for s in self.stems}
         self.marks = {w for w, (s, _) in self.symbols.items() if s in (INSULT, THREAT)}
@@ -106,7 +116,7 @@ class Grammar:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"arcs": {}}
 
-    def arc(self, state: tuple[int, int, int, int], symbol: int) -> tuple[tuple, float, float]:
+    def arc(self, state: tuple[int, int, int, int, int], symbol: int) -> tuple[tuple, float, float]:
         """(next state, factor for the word's weight, weight added) of the composed transducers."""
         made = self.arcs.get((state, symbol))
         if made is None:
@@ -114,7 +124,7 @@ class Grammar:
             r, far = reported(state[1], symbol)
             t, pair = targeted(state[2], symbol)
             h, threat = threatening(state[3], symbol)
-            made = self.arcs[state, symbol] = ((n, r, t, h), damp * far, (pair + threat) * damp * far)
+            made = self.arcs[state, symbol] = ((n, r, t, h, foreign(state[4], symbol)), damp * far, (pair + threat) * damp * far)
         return made
 
     def symbol(self, word: bytes) -> tuple[int, float]:
@@ -127,9 +137,12 @@ class Grammar:
 
     def clauses(self, text: bytes) -> list[tuple[float, int, int]]:
         """(score, start, end) of clauses that matched; offsets in bytes."""
-        out, state, score, start, last = [], (0, 0, 0, 0), 0.0, 0, 0
+        out, state, score, start, last = [], (0, 0, 0, 0, 0), 0.0, 0, 0
         for m in TOKEN.finditer(text):
-            symbol, weight = self.symbol(m[0].lower())
+            word = m[0].lower()
+            symbol, weight = self.symbol(word)
+            if state[4] and word in self.shared:
+                symbol = OTHER
             state, factor, more = self.arc(state, symbol)
             score += weight * factor + more
             last = m.end()
