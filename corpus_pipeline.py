@@ -14,8 +14,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no letter in them) go; null texts with them."""
+    """Documents whose language can't be told (no letter in them) go; null texts with them. Without labelled rows to learn from, too, all others stay."""
     model = language.learn(docs, remainder("doc_id", 4) != 2)
+    if model is None:
+        return language.lettered(docs.select(*COLUMNS)).where("lettered").select(*COLUMNS)
     return language.identify(docs.select(*COLUMNS), model).where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 

@@ -34,6 +34,17 @@ def test_run(spark, sf):
         assert r["piece_ids"] == [int.from_bytes(raw[k : k + 4], "little") for k in range(0, len(raw), 4)]
 
 
+def test_nothing_lettered_goes_without_labelled_rows(spark, odd):
+    """No label at all, or only on rows that are held out or on texts too long to learn from."""
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    for docs in (odd.withColumn("lang", F.lit(None).cast("string")), odd.withColumn("lang", F.when(held, F.col("lang"))), odd.withColumn("lang", F.when(F.length("text") > language.MAX_CHARS, F.col("lang")))):
+        got = corpus_pipeline.language_stage(spark, docs, "")
+        assert got.columns == odd.columns
+        want = [r for r in docs.collect() if r["text"] and language.has_letter(r["text"].encode())]
+        assert want
+        assert sorted(map(str, got.collect())) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
 def test_stages_on_odd_rows(spark, odd, crowded, none, odd_dir, name, stage):
     made = stage(spark, odd, odd_dir)

@@ -219,6 +219,11 @@ def identify(docs: DataFrame, model: ByteTagger | None, text_col: str = "text",
     return map_text(docs, text_col, OUT, run, keep)
 
 
+def lettered(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Append whether the text has a letter; no model is needed."""
+    return map_text(docs, text_col, [("lettered", T.BooleanType(), pa.bool_())], lambda texts: ([t is not None and has_letter(t) for t in texts],), keep)
+
+
 def tagged(model: ByteTagger, text: str) -> list[tuple[int, int, str]]:
     """Runs of equally labelled bytes of one text as (start, end, language)."""
     out: list[tuple[int, int, str]] = []
