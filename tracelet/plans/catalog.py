@@ -385,6 +385,15 @@ def pagerank_dangling(spark, sf_dir):
     return rank.pagerank(inputs.supply_edges(spark, sf_dir), max_iterations=4, check=False)[0].withColumn("rank", F.round("rank", 9))
 
 
+@query(f"WITH ed AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2), {sql_ranks(12)} SELECT id, round(r, 9) AS rank FROM r12")
+def pagerank_supply_converged(spark, sf_dir):
+    """Runs until no rank changes by more than 1e-12; the SQL's number of iterations is beyond that."""
+    ranks, _, converged = rank.pagerank(inputs.supply_edges(spark, sf_dir), threshold=1e-12)
+    if not converged:
+        raise ValueError("ranks did not converge")
+    return ranks.withColumn("rank", F.round("rank", 9))
+
+
 @query(r"""WITH u AS (SELECT url, list_filter(string_split_regex(url, '[\s>]+|/'), lambda s: s <> '') AS s FROM pages)
 SELECT coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^:/?#]+)', 1), ''), s[1], 'unknown') AS domain, coalesce(s[3], s[1], 'unknown') AS segment_2, coalesce(s[1], 'unknown') AS prefix, count(*) AS pages FROM u GROUP BY 1, 2, 3""")
 def group_keys(spark, sf_dir):
