@@ -277,3 +277,13 @@ def test_schedules(given, want):
 
 def test_no_schedule():
     assert next_run(NOW, "daily", enabled=False) is None and next_cron(NOW, "61 * * * *") is None and next_cron(NOW, "0 0 30 2 *") is None and next_run(NOW, "cron") is None
+
+
+def test_fallback_with_over_a_thousand_types(spark, tmp_path):
+    """Every type is excluded, however many there are."""
+    from tracelet.plans import catalog
+
+    rows = spark.range(2400).select(F.col("id").alias("event_id"), (F.col("id") % 50).alias("user_id"), F.timestamp_seconds(F.lit(1_000_000_000) + F.col("id")).alias("ts"), F.concat(F.lit("type"), F.col("id") % 1200).alias("event_type"))
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(0).unionByName(rows, allowMissingColumns=True).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["nba_fallback"](spark, str(tmp_path)).collect()
+    assert len(got) == 150 and {r["recommended_action"] for r in got} == set(nba.FALLBACK)

@@ -496,7 +496,7 @@ def nba_topn(spark, sf_dir):
 @query(USERS + """ SELECT customer_id, i AS rank, state, ['view_feature_guide', 'invite_to_webinar', 'schedule_success_call'][i] AS recommended_action, 0.35::DOUBLE AS probability, ['in_app', 'email', 'email'][i] AS channel FROM us, unnest([1, 2, 3]) AS u(i)""")
 def nba_fallback(spark, sf_dir):
     m = model.train(inputs.sequences(spark, sf_dir), 1)
-    types = tuple(r[0] for r in inputs.table(spark, sf_dir, "events").select("event_type").distinct().limit(1000).collect())  # a handful of event types
+    types = tuple(r[0] for r in inputs.table(spark, sf_dir, "events").select("event_type").distinct().collect())  # all: as many as the model has tokens
     return nba.next_best_actions(m, inputs.users(spark, sf_dir), top=3, excluded=types).select("customer_id", "rank", "state", "recommended_action", "probability", "channel")
 
 
