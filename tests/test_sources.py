@@ -207,3 +207,13 @@ def test_cli(spark, tmp_path):
     assert "runs next" in run("schedule", "train", "--frequency", "hourly", "--list")[1]
     assert "# Report" in run("report", "m:v1", "--log", str(tmp_path / "log"), "--period", "7d")[1]
     assert run("generate", "none")[0] == 1
+
+
+def test_all_suggestions_are_sent(spark):
+    actions = spark.range(2500).select(F.col("id").cast("string").alias("customer_id"))
+    sent = []
+    assert suggestions(actions, sent.append) == 2500 and len({r["customer_id"] for r in sent}) == 2500
+    sent.clear()
+    with pytest.raises(ValueError):
+        suggestions(actions, sent.append, limit=1000)
+    assert sent == [] and suggestions(actions.limit(3), sent.append, limit=3) == 3

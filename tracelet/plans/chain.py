@@ -442,9 +442,13 @@ class Predictive:
         return forecast.forecast(points, **{**self.options.get("forecast", {}), **settings})
 
 
-def suggestions(actions: DataFrame, *channels: sinks.Channel, limit: int = 1000) -> int:
-    """Hand recommended actions to channels, ``limit`` at most in one call; larger sets go to a table."""
-    rows = [r.asDict(recursive=True) for r in actions.limit(limit).collect()]
-    return sum(sinks.notify(r, *channels) for r in rows)
+def suggestions(actions: DataFrame, *channels: sinks.Channel, limit: int | None = None) -> int:
+    """Hand all recommended actions to channels, a partition at a time. With ``limit``, more actions than that are an error and none is sent."""
+    if limit is None:
+        return sum(sinks.notify(r.asDict(recursive=True), *channels) for r in actions.toLocalIterator())
+    rows = actions.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} actions")
+    return sum(sinks.notify(r.asDict(recursive=True), *channels) for r in rows)
 
 
