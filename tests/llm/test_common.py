@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelet.llm import common
+from tracelet.llm import common, language
 
 
 def test_lookup_of_hot_and_cold_keys(spark):
@@ -30,6 +30,15 @@ def test_samples_are_bounded_and_the_same(spark):
         common.labelled_sample(docs, docs, "doc_id", "text", "text", F.lit(True), 1, 50)
 
 
+def test_more_labels_than_share_the_rows(spark):
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.concat(F.lit("l"), F.col("id") % 90).alias("lang"))
+    made = common.labelled_sample(docs, docs, "doc_id", "text", "lang", F.lit(True), 40, 50, 100, 180)
+    assert len(made) == 180 and len({y for _, y in made}) == 90
+    model = language.learn(docs, F.lit(True))
+    assert len(model.labels) == 90
+    assert {r["lang_pred"] for r in language.identify(docs.limit(20), model).collect()} <= set(model.labels)
+
+
 def test_text_maps_keep_columns_and_order_of_slices(spark, monkeypatch):
     rows = spark.createDataFrame([(i, "é" * (i % 5), {"a": i}) for i in range(200)] + [(None, None, None)], "i long, `odd name` string, m map<string,int>")
     out = [("i", T.IntegerType(), pa.int32())]

@@ -99,12 +99,14 @@ def labelled_sample(
     per_class: int,
     max_chars: int,
     max_classes: int = 64,
+    most_rows: int | None = None,
 ) -> list[tuple[str, str]]:
     """(text, label) of at most ``per_class`` rows of each label, the same ones however data are dealt.
 
     Rows are ranked by a hash of their id among the usable ids. A label's count gives the hash under
     which about twice as many rows lie as are wanted; only those ids come to the driver, and only the
-    chosen texts are read. So nothing is ranked in one task, however frequent a label is. Texts over
+    chosen texts are read. With ``most_rows``, so many labels that ``per_class`` of each would be more
+    rows share these evenly. So nothing is ranked in one task, however frequent a label is. Texts over
     ``max_chars`` and null texts, ids or labels take no part. At most ``max_classes`` labels are allowed.
     """
     rows = (
@@ -115,15 +117,18 @@ def labelled_sample(
     counts = {r["__y"]: r["n"] for r in rows.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1).collect()}
     if len(counts) > max_classes:
         raise ValueError(f"more than {max_classes} labels in {label_col}")
-    under = F.lit(False)
-    for name, n in sorted(counts.items()):
-        most = SAMPLE_RANGE if n <= 2 * per_class + 100 else SAMPLE_RANGE * (2 * per_class + 100) // n
-        under = under | ((F.col("__y") == name) & (F.col("__h") < most))
-    near = sorted(rows.where(under).distinct().limit(6 * (per_class + 100) * max(1, len(counts))).collect(), key=lambda r: (r["__y"], r["__h"], r["__id"]))
+    if not counts:
+        return []
+    if most_rows is not None:
+        per_class = min(per_class, max(1, most_rows // len(counts)))
+    want = 2 * per_class + min(100, per_class + 20)
+    spark = docs.sparkSession
+    bounds = spark.createDataFrame([(name, SAMPLE_RANGE if n <= want else SAMPLE_RANGE * want // n) for name, n in sorted(counts.items())], "__l string, __m long")
+    under = rows.join(F.broadcast(bounds), (F.col("__y") == F.col("__l")) & (F.col("__h") < F.col("__m"))).select("__id", "__y", "__h")  # bounds: a row for each label
+    near = sorted(under.distinct().limit(3 * want * len(counts)).collect(), key=lambda r: (r["__y"], r["__h"], r["__id"]))
     chosen = [r for _, own in groupby(near, key=lambda r: r["__y"]) for r in islice(own, per_class)]
     if not chosen:
         return []
-    spark = docs.sparkSession
     small = spark.createDataFrame([(r["__id"], r["__y"]) for r in chosen], T.StructType([T.StructField("__id", rows.schema["__id"].dataType), T.StructField("__y", T.StringType())]))
     texts = (
         docs.select(quoted(id_col).alias("__id"), quoted(text_col).cast("string").alias("__t"))

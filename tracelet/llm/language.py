@@ -5,7 +5,8 @@ no transcendental function in the loop) reads each chunk of bytes forwards and o
 states together label every byte with a distribution over the languages. A document's probability of
 a language is the mean over all its letter bytes (ASCII letters and all non-ASCII bytes), whatever
 chunk they lie in. Training is backpropagation through time in numpy on chunks of a bounded sample
-of rows with a known language (``per_class`` rows of each, ranked by a hash of the identifier).
+of rows with a known language (``per_class`` rows of each, ranked by a hash of the identifier; beyond
+64 languages they share SAMPLE_ROWS evenly). Over MAX_LANGUAGES languages are an error.
 
 Edge cases: null, empty or letterless texts get ``und`` with score 0; texts of any length are cut
 into chunks, all of which count; with no labelled row every text is ``und``; with one language all
@@ -28,6 +29,8 @@ UNKNOWN = "und"
 LENGTH, WIDTH = 128, 2048
 #: Labelled rows of each language to learn from, and the longest of them in characters.
 PER_CLASS, MAX_CHARS = 400, 50_000
+#: Languages at most, and labelled rows of all together.
+MAX_LANGUAGES, SAMPLE_ROWS = 2500, 64 * PER_CLASS
 
 LETTER = np.array([0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c >= 0x80 for c in range(256)])
 
@@ -165,8 +168,9 @@ class ByteTagger:
         start = begin[of] + part * LENGTH
         left = np.minimum(size[of] - part * LENGTH, LENGTH)
         order = np.argsort(left, kind="stable")  # short chunks together
-        for i in range(0, len(order), WIDTH):
-            mine = order[i : i + WIDTH]
+        width = max(1, WIDTH * 64 // max(64, k))  # many languages: fewer chunks at once
+        for i in range(0, len(order), width):
+            mine = order[i : i + width]
             steps = np.arange(int(left[mine].max()))[:, None]
             inside = steps < left[mine][None, :]
             x = np.where(inside, flat[start[mine][None, :] + steps], 0)
@@ -189,7 +193,7 @@ def has_letter(text: bytes) -> bool:
 
 
 def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, hidden: int = 8) -> ByteTagger | None:
-    rows = labelled_sample(docs, docs, id_col, text_col, lang_col, usable, per_class, max_chars)
+    rows = labelled_sample(docs, docs, id_col, text_col, lang_col, usable, per_class, max_chars, MAX_LANGUAGES, SAMPLE_ROWS)
     rows = [(t.encode(), y) for t, y in rows if t and has_letter(t.encode())]
     if not rows:
         return None
