@@ -288,6 +288,23 @@ def test_chat_runs_no_python(spark, odd_dir):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_shards_come_one_by_one_and_cut_long_items(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(3))
+    text = " ".join(word() for _ in range(400))
+    bench = spark.createDataFrame([(1, text), (2, "a short item"), (3, None)], "item_id long, text string")
+    cut = text.split()
+    docs = spark.createDataFrame([(k, " ".join(["x", *cut[k * 37 : k * 37 + 30], "y"])) for k in range(10)] + [(10, "A short ITEM"), (11, None)], "doc_id long, text string")
+    parts = decontaminate.shards(bench, "item_id", "text", 5, 900)
+    assert len(parts) > 1 and not isinstance(parts, list)
+    parts = list(parts)
+    assert all(sum(5 * len(decontaminate.words(t)) for _, t in p) < 400 * 5 for p in parts)
+    whole = {(i, w) for i, t in [(1, text.encode()), (2, b"a short item")] for w in decontaminate.windows(decontaminate.words(t), 5)}
+    assert {(i, w) for p in parts for i, t in p for w in decontaminate.windows(decontaminate.words(t), 5)} == whole
+    one, some = (sorted(map(str, decontaminate.contamination(docs, bench, window=5, max_words=most).collect())) for most in (10**6, 900))
+    assert one == some
+
+
 # ------------------------------------------------ secrets
 def der(tag, *content):
     body = b"".join(content)

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import numpy as np
@@ -34,6 +34,7 @@ WINDOW = 13
 MAX_WORDS = 1_500_000
 #: Bytes that separate words become blanks, A-Z becomes a-z, all else stays.
 TABLE = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
+SEPARATORS = r"[\x00-/:-@\[-`{-\x7f]+"
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 _built: dict[str, tuple] = {}
@@ -108,14 +109,31 @@ OUT = [
 ]
 
 
-def shards(benchmark: DataFrame, id_col: str, text_col: str, window: int, max_words: int) -> list[list[tuple[int | None, bytes]]]:
-    """The items in bounded shards; the count comes first, so nothing unbounded is collected at once."""
+class Shards:
+    """Lists of items; each is read when its turn comes, so the driver holds one."""
+
+    def __init__(self, items: DataFrame, n: int) -> None:
+        self.items, self.n = items.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(n))), n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self) -> Iterator[list[tuple[int | None, bytes]]]:
+        for k in range(self.n):
+            yield sorted(((r["i"], (r["t"] or "").encode()) for r in self.items.where(F.col("part") == k).collect()), key=repr)
+
+
+def shards(benchmark: DataFrame, id_col: str, text_col: str, window: int, max_words: int) -> Shards:
+    """The items in shards of about ``max_words`` pattern words, which are counted first. Long items are cut into pieces that overlap by a window less one word, so they have the same windows."""
     items = benchmark.select(quoted(id_col).cast("long").alias("i"), quoted(text_col).cast("string").alias("t"))
-    most = F.size(F.split(F.coalesce("t", F.lit("")), r"[\x00-/:-@\[-`{-\x7f]+"))  # its words, or one or two more
+    step = max(1, max_words // window // 8)  # windows of a piece; small against a shard, so shards come out even
+    found = F.filter(F.split("t", SEPARATORS), lambda w: w != "")
+    cut = F.transform(F.expr(f"sequence(0, greatest(0, size(w) - {window}), {step})"), lambda i: F.array_join(F.slice("w", i + 1, step + window - 1), " "))
+    items = items.withColumn("w", found).select("i", F.explode(F.when(F.size("w") > step + window - 1, cut).otherwise(F.array("t"))).alias("t"))
+    most = F.size(F.split(F.coalesce("t", F.lit("")), SEPARATORS))  # its words, or one or two more
     total = items.agg(F.coalesce(F.sum(most * window), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-int(total) // max_words))
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [sorted(((r["i"], (r["t"] or "").encode()) for r in items.where(part == k).collect()), key=repr) for k in range(n)]
+    return Shards(items, n)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS, keep: list[str] | None = None) -> DataFrame:
@@ -124,8 +142,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     spark = docs.sparkSession
     done = docs
     parts = shards(benchmark, item_id, item_text, window, max_words)
+    before = None
     for k, items in enumerate(parts):
-        shipped = spark.sparkContext.broadcast(items)
+        if before is not None:  # that pass is written before the next one is shipped
+            done = staged(done, f"scan{k}")
+            before.destroy()
+        before = shipped = spark.sparkContext.broadcast(items)
         name = hashlib.sha256(repr((items, window)).encode()).hexdigest()
 
         def run(texts, shipped=shipped, name=name):
@@ -144,7 +166,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         if k == 0:
             done = map_text(docs, text_col, OUT, run, [*stay] if len(parts) == 1 else None)
         else:
-            again = map_text(staged(done, f"scan{k}"), text_col, [(f"__{n}", a, b) for n, a, b in OUT], run)
+            again = map_text(done, text_col, [(f"__{n}", a, b) for n, a, b in OUT], run)
             pick = F.udf(lambda a, b: [list(x) for x in merge(a, b)], SPANS)
             done = again.select(*[quoted(c) for c in done.columns if c not in [n for n, _, _ in OUT]], "n_words", pick("hit_words", "__hit_words").alias("hit_words"), pick("hit_chars", "__hit_chars").alias("hit_chars"), F.array_sort(F.array_union("hit_items", "__hit_items")).alias("hit_items"))
     return done.select(*[quoted(c) for c in stay if c not in [n for n, _, _ in OUT]], *[n for n, _, _ in OUT])
