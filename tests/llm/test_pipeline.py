@@ -3,8 +3,8 @@
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
-from test_operators import hits
-from test_queries import fingerprint, linked
+from test_corpus_operators import hits
+from test_corpus_queries import fingerprint, linked
 
 from tracelet.llm import decontaminate, language, pieces
 
