@@ -351,6 +351,39 @@ def test_keys_end_where_their_lengths_say():
     assert [secret_scan.spans(code + b"\n" + b"w" * n) for n in range(1, 6)] == [[("ssh", 0, len(code))]] * 5
 
 
+def every_span(text):
+    """All spans without any test beforehand: each pattern over the whole text."""
+    found = [("assign", *m.span()) for m in secret_scan.ASSIGN.finditer(text) if len(m[2]) >= 12]
+    found += [("access", *m.span()) for m in secret_scan.ACCESS.finditer(text) if len(m[0]) >= 18]
+    found += [("hex", *m.span()) for m in secret_scan.re.finditer(rb"[0-9a-f]+", text) if len(m[0]) >= 16]
+    found += [("jwt", *m.span()) for m in secret_scan.TOKEN.finditer(text) if secret_scan.is_signed_token(m[0])]
+    found += [(k, m.start() + a, m.start() + b) for m in secret_scan.CODED.finditer(text) for k, a, b in secret_scan.keys(m[0])]
+    found += [("der", *m.span()) for m in secret_scan.HEXES.finditer(text) if secret_scan.is_key_encoding(bytes.fromhex(m[0].decode()))]
+    chars = [len(text[:i].decode("utf-8", "ignore")) for i in range(len(text) + 1)]
+    return sorted({(k, chars[a], chars[b]) for k, a, b in found}, key=lambda s: (s[1], secret_scan.KINDS.index(s[0]), s[2]))
+
+
+SHORT = b"eyJhbGciOiJ4In0.e30."
+PIECES = [SHORT, b"eyJ", b"AKIA" + b"Z" * 14, b"AKIA", b"0123456789abcdef", b"0123456789abcde", b"password: ", b"abcdefghijkl", b"a.b=c-d_e/f+", b"\n", b" ", b"-----", "\u00e9".encode(), b"f" * 32, b"API_key=", base64.b64encode(PKCS8), PKCS8.hex().encode(), b"hello there"]
+
+
+def test_short_tokens_need_no_other_run():
+    assert secret_scan.spans(SHORT) == [("jwt", 0, len(SHORT))] == secret_scan.spans(SHORT + b" 0123456789abcdef")[:1]
+
+
+@given(st.lists(st.sampled_from(PIECES), max_size=9))
+@settings(max_examples=300, deadline=None)
+def test_spans_are_those_of_every_pattern(parts):
+    text = b"".join(parts)
+    assert secret_scan.spans(text) == every_span(text)
+
+
+@given(st.binary(max_size=80).map(lambda b: b.translate(bytes(b"a0/- .\nZ"[i % 8] for i in range(256)))))
+@settings(max_examples=200, deadline=None)
+def test_longest_run(text):
+    assert secret_scan.longest_run(text) == max(map(len, secret_scan.re.findall(rb"[0-9A-Za-z+/_-]+", text)), default=0)
+
+
 def test_base_patterns():
     assert secret_scan.spans(b"Api_Key\" : 'abcdef012345") == [("assign", 0, 24)]
     assert secret_scan.spans("toKen=short password=Kabcdefghijkl".encode()) == [("assign", 12, 34)]

@@ -8,8 +8,13 @@ nested lengths that fit exactly and the layout of a key (``der``), the binary ke
 A key of the coded kinds ends where its own lengths say, at the end of a line, of the run or before
 five dashes; words and markers on the lines around it are no part of it, and what follows is read on.
 
+What a text can't hold is told by its longest coded run and by fixed strings that every match has, so
+no such test changes a result.
+
 Edge cases: null counts as empty; empty texts have no spans; offsets are code points, end exclusive;
-of several spans at one start the kinds go in the order of KINDS; texts of any length are read whole.
+of several spans at one start (ties) the kinds go in the order of KINDS, then the shorter; spans of
+different kinds may overlap; texts of any length are read whole; repeated rows get the same spans; an
+empty table gives an empty one; other columns pass through, and one named like the output is replaced.
 """
 
 from __future__ import annotations
@@ -170,11 +175,14 @@ def keys(run: bytes) -> Iterator[tuple[str, int, int]]:
                 yield "ssh", m.start(), done
 
 
-def confirmed(text: bytes) -> Iterator[tuple[str, int, int]]:
-    """Candidates whose structure holds."""
-    for m in TOKEN.finditer(text):
-        if is_signed_token(m[0]):
-            yield "jwt", *m.span()
+def confirmed(text: bytes, run: bool = True) -> Iterator[tuple[str, int, int]]:
+    """Candidates whose structure holds. run: whether the text has a run of LEAST coded bytes, without which there is no key."""
+    if b"eyJ" in text:
+        for m in TOKEN.finditer(text):
+            if is_signed_token(m[0]):
+                yield "jwt", *m.span()
+    if not run:
+        return
     for m in CODED.finditer(text):
         for kind, start, end in keys(m[0]):
             yield kind, m.start() + start, m.start() + end
@@ -184,7 +192,9 @@ def confirmed(text: bytes) -> Iterator[tuple[str, int, int]]:
             yield "der", *m.span()
 
 
-def base(text: bytes, low: bytes) -> Iterator[tuple[str, int, int]]:
+def base(text: bytes, run: bool = True) -> Iterator[tuple[str, int, int]]:
+    """The base patterns. run: whether the text has a run of 16 coded bytes, without which no hex run is long enough."""
+    low = text.lower()
     if any(k in low for k in KEYWORDS):
         for m in ASSIGN.finditer(text):
             if m.end(2) - m.start(2) >= 12:
@@ -193,27 +203,23 @@ def base(text: bytes, low: bytes) -> Iterator[tuple[str, int, int]]:
         for m in ACCESS.finditer(text):
             if m.end() - m.start() >= 18:
                 yield "access", *m.span()
-    for m in HEX.finditer(text):
-        yield "hex", *m.span()
+    if run:
+        for m in HEX.finditer(text):
+            yield "hex", *m.span()
 
 
-def has_run(text: bytes, least: int) -> bool:
-    """Whether some run of base64 bytes has ``least`` bytes; every hex run and candidate lies in one."""
-    ok = LONG[np.frombuffer(text, np.uint8)]
-    width = 1
-    while width < least and ok.any():
-        more = min(width, least - width)
-        ok = ok[:-more] & ok[more:] if len(ok) > more else ok[:0]
-        width += more
-    return bool(ok.any())
+def longest_run(text: bytes) -> int:
+    """Bytes of the longest run of base64 characters; every hex run lies in one, and every candidate for a key begins with one."""
+    breaks = np.flatnonzero(~LONG[np.frombuffer(text, np.uint8)])
+    if not len(breaks):
+        return len(text)
+    return int(max(breaks[0], len(text) - 1 - breaks[-1], np.diff(breaks).max(initial=1) - 1))
 
 
 def spans(text: bytes) -> list[tuple[str, int, int]]:
     """All spans in code points, by start and then kind; (kind, start, end)."""
-    low = text.lower()
-    found = set()
-    if any(k in low for k in KEYWORDS) or has_run(text, 16):
-        found = {*base(text, low), *confirmed(text)}
+    run = longest_run(text)
+    found = {*base(text, run >= 16), *confirmed(text, run >= LEAST)}
     if not found:
         return []
     if not text.isascii():
