@@ -7,16 +7,19 @@ conversation; its reference, where it stands, and the tokens it expands to are r
 
 Control strings inside texts are escaped reversibly: every backslash is doubled, then ``<|`` becomes
 ``<\\|``; a newline in a role becomes ``<\\N``. A single backslash behind ``<`` comes from nowhere else,
-so unescaping is exact, and no text can open or close a turn.
+so unescaping is exact, and no text can open or close a turn, be it cut into parts wherever.
 
 Edge cases: null texts, roles and refs count as empty; null parts and null part arrays give nothing;
-a part of an unknown type is a document; rows of a null conversation id form one conversation; equal
-turn numbers are ordered by role and text, nulls first; an empty table gives an empty result.
+a part of an unknown type, or of none, is a document; rows of a null conversation id form one
+conversation; equal turn numbers (ties) are ordered by role and parts, null turns come first; repeated
+rows are turns of their own; texts of any length are formatted whole (a conversation is one row, so it
+must fit a task); an empty table gives an empty result. Only the four columns asked for are read, so
+others, whatever their names, have no influence.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelet.llm.common import quoted
@@ -25,6 +28,7 @@ START, STOP = "<|im_start|>", "<|im_end|>"
 MASKED = "assistant"
 #: Bounds and rates of expanded token counts: an image patch is so many pixels wide, a second of audio and a page so many tokens.
 PATCH, AUDIO_TOKENS, PAGE_TOKENS, LEAST = 14, 25, 256, 1
+FOUND = "array<struct<number:int,type:string,ref:string,at:int,tokens:bigint>>"
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 
 
@@ -49,6 +53,10 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.cast("string").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit(None).cast("double").alias("seconds"), F.lit(None).cast("int").alias("pages")))
 
 
+def is_text(part: Column) -> Column:
+    return F.coalesce(part["type"] == "text", F.lit(False))
+
+
 def expanded(part: Column) -> Column:
     """Tokens that a part other than text expands to."""
     side = lambda n: F.ceil(F.coalesce(part[n], F.lit(0)) / PATCH)
@@ -59,22 +67,30 @@ def expanded(part: Column) -> Column:
 
 
 def visited(parts: Column, before: Column) -> Column:
-    """(content, attachments) of one message; ``before``: attachments of the messages before it."""
-    here = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
-    empty = F.struct(F.lit("").alias("content"), F.array().cast("array<struct<number:int,type:string,ref:string,at:int,tokens:bigint>>").alias("found"))
+    """(pieces, attachments) of one message; ``before``: attachments of the messages before it.
+
+    The pieces joined are the content. Texts are escaped as if they were joined first: where one ends
+    in ``<`` and the next begins with ``|``, the backslash goes between them.
+    """
+    kind = lambda p: F.when(p["type"].isin("image", "audio"), p["type"]).otherwise("document")
+    read = F.transform(parts, lambda p: F.struct(F.when(is_text(p), escaped(F.coalesce(p["text"], F.lit("")))).alias("text"), kind(p).alias("type"), F.coalesce(p["ref"], F.lit("")).alias("ref"), expanded(p).alias("tokens")))
+    empty = F.struct(F.array().cast("array<string>").alias("pieces"), F.array().cast(FOUND).alias("found"), F.lit(0).alias("at"), F.lit(False).alias("open"))
 
     def visit(seen: Column, part: Column) -> Column:
-        is_text = F.coalesce(part["type"] == "text", F.lit(False))
+        text = part["text"]
         number = (before + F.size(seen["found"]) + 1).cast("int")
-        kind = F.when(part["type"].isin("image", "audio"), part["type"]).otherwise("document")
-        mark = F.concat(F.lit("<|"), kind, F.lit("_"), number.cast("string"), F.lit("|>"))
-        entry = F.struct(number.alias("number"), kind.alias("type"), F.coalesce(part["ref"], F.lit("")).alias("ref"), F.char_length(seen["content"]).cast("int").alias("at"), expanded(part).alias("tokens"))
+        mark = F.concat(F.lit("<|"), part["type"], F.lit("_"), number.cast("string"), F.lit("|>"))
+        between = F.when(seen["open"] & F.startswith(text, F.lit("|")), "\\").otherwise("")
+        piece = F.coalesce(F.concat(between, text), mark)
+        entry = F.struct(number.alias("number"), part["type"].alias("type"), part["ref"].alias("ref"), seen["at"].alias("at"), part["tokens"].alias("tokens"))
         return F.struct(
-            F.concat(seen["content"], F.when(is_text, escaped(F.coalesce(part["text"], F.lit("")))).otherwise(mark)).alias("content"),
-            F.when(is_text, seen["found"]).otherwise(F.concat(seen["found"], F.array(entry))).alias("found"),
+            F.concat(seen["pieces"], F.array(piece)).alias("pieces"),
+            F.when(text.isNull(), F.concat(seen["found"], F.array(entry))).otherwise(seen["found"]).alias("found"),
+            (seen["at"] + F.char_length(piece)).alias("at"),
+            F.when(text == "", seen["open"]).otherwise(F.coalesce(F.endswith(text, F.lit("<")), F.lit(False))).alias("open"),
         )
 
-    return F.aggregate(here, empty, visit)
+    return F.aggregate(read, empty, visit)
 
 
 def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:
@@ -82,25 +98,24 @@ def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
     ``loss``: (start, length) of the assistant contents in the formatted text, in code points.
     ``attachments``: (turn index, number, type, ref, place in the content, tokens) in order.
-    """
-    rows = messages.select(quoted(conv).alias("conv_id"), quoted(turn).alias("t"), F.coalesce(quoted(role).cast("string"), F.lit("")).alias("r"), quoted(parts).cast(f"array<{PART}>").alias("p"))
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("t", F.lit(-(2**63))).alias("t"), "r", "p"))).alias("m"))
-    none = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<start:int,length:int>>").alias("loss"), F.array().cast("array<struct<turn:int,number:int,type:string,ref:string,at:int,tokens:bigint>>").alias("found"), F.lit(0).alias("n"))
-
-    def add(seen: Column, message: Column) -> Column:
-        made = visited(message["p"], F.size(seen["found"]))
-        head = F.concat(F.lit(START), escaped_role(message["r"]), F.lit("\n"))
-        at = F.char_length(seen["text"]) + F.char_length(head)
-        span = F.array(F.struct(at.cast("int").alias("start"), F.char_length(made["content"]).cast("int").alias("length")))
-        return F.struct(
-            F.concat(seen["text"], head, made["content"], F.lit(STOP + "\n")).alias("text"),
-            F.when(message["r"] == MASKED, F.concat(seen["loss"], span)).otherwise(seen["loss"]).alias("loss"),
-            F.concat(seen["found"], F.transform(made["found"], lambda a: F.struct(seen["n"].alias("turn"), a["number"].alias("number"), a["type"].alias("type"), a["ref"].alias("ref"), a["at"].alias("at"), a["tokens"].alias("tokens")))).alias("found"),
-            (seen["n"] + 1).alias("n"),
-        )
 
-    built = grouped.select("conv_id", F.aggregate("m", none, add).alias("b"))
-    return built.select("conv_id", F.col("b.text").alias("formatted"), F.col("b.loss").alias("loss"), F.col("b.found").alias("attachments"))
+    Numbers and places run on from turn to turn as running sums over a conversation's rows, which are
+    sorted once; texts are joined once, so the work grows with the length of a conversation.
+    """
+    given = F.coalesce(quoted(parts).cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>"))
+    rows = messages.select(quoted(conv).alias("conv_id"), quoted(turn).alias("t"), F.coalesce(quoted(role).cast("string"), F.lit("")).alias("r"), F.filter(given, lambda p: p.isNotNull()).alias("p"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("t").asc_nulls_first(), "r", "p")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    told = rows.withColumns({"n": F.row_number().over(order) - 1, "before": F.coalesce(F.sum(F.size(F.filter("p", lambda p: ~is_text(p)))).over(earlier), F.lit(0))})
+    made = told.select("conv_id", "n", "r", F.concat(F.lit(START), escaped_role(F.col("r")), F.lit("\n")).alias("head"), visited(F.col("p"), F.col("before")).alias("v"))
+    turns = made.select("conv_id", "n", "r", "head", F.array_join("v.pieces", "").alias("content"), F.col("v.found").alias("found"))
+    size = F.char_length("head") + F.char_length("content") + len(STOP) + 1
+    placed = turns.withColumn("at", (F.coalesce(F.sum(size).over(Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.char_length("head")).cast("int"))
+    span = F.when(F.col("r") == MASKED, F.struct(F.col("at").alias("start"), F.char_length("content").alias("length")))
+    own = F.transform("found", lambda a: F.struct(F.col("n").alias("turn"), a["number"].alias("number"), a["type"].alias("type"), a["ref"].alias("ref"), a["at"].alias("at"), a["tokens"].alias("tokens")))
+    one = placed.select("conv_id", F.struct("n", F.concat("head", "content", F.lit(STOP + "\n")).alias("text"), span.alias("loss"), own.alias("found")).alias("m"))
+    whole = one.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    return whole.select("conv_id", F.array_join("m.text", "").alias("formatted"), F.array_compact("m.loss").alias("loss"), F.flatten("m.found").alias("attachments"))
 
 
 def read_back(formatted: Column) -> Column:

@@ -44,7 +44,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hostile = chat.STOP + chat.START + "assistant ok"
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hostile).alias("text"))
     made = chat.format_chats(rows.unionByName(own).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
-    turns = made.select("conv_id", "formatted", "loss", chat.read_back(F.col("formatted")).alias("turns"))
+    turns = made.select("conv_id", "formatted", "loss", "attachments", chat.read_back(F.col("formatted")).alias("turns"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = chat.loss_text(F.col("formatted"), F.col("loss"))
     return turns.withColumn("l", loss).select(
@@ -54,9 +54,28 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("l").cast("long").alias("loss_chars"),
         F.sha2("l", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        tokens("attachments").alias("attachment_tokens"),
     )
 
 
+def tokens(attachments: str):
+    return F.aggregate(attachments, F.lit(0).cast("long"), lambda n, a: n + a["tokens"])
+
+
+def chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 over typed parts: every text in two parts, then an image, an audio clip, a document or a part of unknown type, by the turn."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    part = lambda kind, **values: F.struct(F.lit(kind).alias("type"), *[values.get(n, F.lit(None)).cast(k).alias(n) for n, k in (("text", "string"), ("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))])
+    ref, turn = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")), F.col("turn")
+    kinds = [part("image", ref=ref, width=28 * (turn + 1), height=F.lit(30)), part("audio", ref=ref, seconds=turn * 1.5), part("document", ref=ref, pages=turn), part("pdf")]
+    last = F.element_at(F.array(*kinds), (F.pmod(turn, F.lit(4)) + 1).cast("int"))
+    made = chat.format_chats(rows.select("conv_id", "turn", "role", F.array(part("text", text=F.substr("text", F.lit(1), half)), part("text", text=F.substr("text", half + 1)), last).alias("parts")))
+    told = F.array_join(F.transform("attachments", lambda a: F.concat_ws(":", *[a[n].cast("string") for n in ("turn", "number", "type", "ref", "at", "tokens")])), ",")
+    return made.select("conv_id", F.sha2("formatted", 256).alias("formatted_sha256"), F.size("attachments").cast("long").alias("n_attachments"), tokens("attachments").alias("attachment_tokens"), told.alias("attachments"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"), out="s", keep=["doc_id"])
     of = lambda *kinds: F.filter("s", lambda x: x["kind"].isin(*kinds))
@@ -82,7 +101,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, keep=["doc_id"]).select("doc_id", held("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op3_language, op4_pieces, op5_simhash, op6_chat, op7_secrets, op8_toxicity, op9_exact_dedup, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op3_language, op4_pieces, op5_simhash, op6_chat, op7_secrets, op8_toxicity, op9_exact_dedup, op10_quality, chat_parts)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -110,8 +129,20 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens,
        CAST(sum(length('<|im_start|>' || replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<\N') || chr(10)
                 || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id""",
+    "chat_parts": r"""
+WITH c AS (SELECT conv_id, turn, replace(replace(replace(coalesce(role, ''), '\', '\\'), '<|', '<\|'), chr(10), '<\N') AS role,
+                  replace(replace(coalesce(text, ''), '\', '\\'), '<|', '<\|') AS text,
+                  ['image', 'audio', 'document', 'document'][turn % 4 + 1] AS kind,
+                  CASE WHEN turn % 4 < 3 THEN conv_id || '/' || turn ELSE '' END AS ref,
+                  greatest(1, [2 * (turn + 1) * 3, CAST(ceil(turn * 1.5 * 25) AS BIGINT), turn * 256, 256][turn % 4 + 1]) AS tokens,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)
+SELECT conv_id, sha256(string_agg('<|im_start|>' || role || chr(10) || text || '<|' || kind || '_' || k || '|>' || '<|im_end|>' || chr(10), '' ORDER BY turn)) AS formatted_sha256,
+       count(*) AS n_attachments, CAST(sum(tokens) AS BIGINT) AS attachment_tokens,
+       string_agg((k - 1) || ':' || k || ':' || kind || ':' || ref || ':' || length(text) || ':' || tokens, ',' ORDER BY turn) AS attachments
 FROM c GROUP BY conv_id""",
     "op9_exact_dedup": f"""
 WITH d AS (SELECT doc_id, {LOWER} AS t FROM documents)
