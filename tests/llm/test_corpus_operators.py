@@ -11,6 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelet.llm import chat, decontaminate, exact_dedup, language, pieces, quality, secret_scan, simhash, toxicity, url_filter
 
@@ -28,12 +29,106 @@ def test_patricia(rows):
     assert {t: (o.least, o.most, o.ties, o.rows) for t, o in trie.items()} == {t: (min(v), max(v), v.count(max(v)), len(v)) for t, v in want.items()}
 
 
+@given(st.lists(st.tuples(st.text("ab", max_size=6), st.one_of(st.none(), st.integers(0, 9))), max_size=40), st.integers(0, 12))
+@settings(max_examples=80, deadline=None)
+def test_spilled_subtrees_lose_nothing(rows, held):
+    """However early subtrees are spilled, what they and the rest say adds up; and no more than the bound is held."""
+    trie, seen = exact_dedup.Patricia(), []
+    for t, i in rows:
+        trie.owner(t.encode()).add(i, i, 1, 1)
+        if trie.held > held:
+            seen += trie.spill(held // 2)
+            assert trie.held <= held // 2
+    assert trie.held == sum(map(exact_dedup.weight, trie.root.edges.values()))
+    got, want = {}, {}
+    for t, o in [*seen, *trie.items()]:
+        got.setdefault(t, exact_dedup.Terminal()).add(o.least, o.most, o.ties, o.rows)
+    for t, i in rows:
+        want.setdefault(t.encode(), []).append(i)
+    known = {t: [i for i in v if i is not None] for t, v in want.items()}
+    assert {t: (o.least, o.most, o.ties, o.rows) for t, o in got.items()} == {t: (min(known[t], default=None), m := max(known[t], default=None), v.count(m), len(v)) for t, v in want.items()}
+
+
+def test_classes_do_not_depend_on_the_bound(odd):
+    every = [sorted(map(str, exact_dedup.owners(odd, held=n).collect())) for n in (0, 60, exact_dedup.HELD)]
+    assert every[0] == every[1] == every[2]
+
+
 def test_merged_owners_tell_texts_of_one_hash_apart():
-    rows = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in (([1, 1, 1], pa.int64()), ([5, 5, 5], pa.int64()), ([b"a", b"b", b"a"], pa.binary()), ([1, 2, 3],) + (pa.int64(),), ([1, 2, 3], pa.int64()), ([1, 1, 1], pa.int64()), ([1, 1, 1], pa.int64()))], names=exact_dedup.OWNERS.names)
-    out = [r for b in exact_dedup.merged_owners(iter([rows])) for r in b.to_pylist()]
+    key, whole = T.LongType(), T.LongType()
+    fields = exact_dedup.owner_fields(key)
+    texts = T.StructType([T.StructField("n", whole), T.StructField("h", whole), T.StructField("t", T.BinaryType()), *fields])
+    rows = exact_dedup.batch_of([(1, 5, b"a", 1, 1, 1, 1), (1, 5, b"b", 2, 2, 1, 1), (1, 5, b"a", 3, 3, 1, 1)], texts)
+    out = [r for b in exact_dedup.merged_owners(T.StructType([T.StructField("sha", T.StringType()), *fields]))(iter([rows])) for r in b.to_pylist()]
     assert {r["sha"]: (r["least"], r["most"], r["rows"]) for r in out} == {hashlib.sha256(b"a").hexdigest(): (1, 3, 2), hashlib.sha256(b"b").hexdigest(): (2, 2, 1)}
 
 
+def test_string_identifiers(spark, odd):
+    """Identifiers keep their type; the largest and the smallest are those of that type's order."""
+    docs = odd.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    got = exact_dedup.exact_duplicates(docs).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["text_sha256"], []).append(r)
+    assert all({r["keep_id"] for r in rows} == {max([r["doc_id"] for r in rows if r["doc_id"]], default=None)} and sum(r["kept"] for r in rows) == 1 for rows in by.values())
+    near = simhash.near_duplicates(docs).collect()
+    least = {}
+    for r in near:
+        least.setdefault(r["root"], []).append(r["doc_id"])
+    assert all(r["component_id"] == min([i for i in least[r["root"]] if i], default=None) for r in near)
+    assert simhash.representatives(docs).count() == len(least)
+    items = spark.createDataFrame([("b", "one two three"), ("a", "ÉCOLE d'été"), ("10", "one two three"), (None, "the mat")], "item_id string, text string")
+    found = {(r["doc_id"], r["text"]): r for r in decontaminate.contamination(docs, items).collect()}
+    assert found["d8", "one two three"]["hit_items"] == ["10", "b"] and found["d7", "ÉCOLE d'été"]["hit_items"] == ["a"]
+    first = found["d1", "The cat sat on the mat and looked at the dog."]
+    assert first["hit_items"] == [] and first["hit_words"] == [[4, 6]]
+
+
+def every_name(df, names):
+    """``df`` with a column of every name it does not have yet."""
+    have = {c.lower() for c in df.columns}
+    return df.withColumns({n: F.lit(f"own {n}") for n in names if n.lower() not in have})
+
+
+HELPERS = "t id th n h k v u at root roots least most rows ties sha fp owner size kept keep_id group_size text_sha256 component_id line p host path rule verdict block_probability n_words hit_words hit_chars hit_items piece_ids decoded n_tokens ids_sha256 decoded_sha256 secrets score predicted lang_pred lettered one cid cth c0 c1 __c0 __o0 __text __k __z __c __p __r __s __h __salt __id __y __sha __n __cid __rid __rth __line".split()
+
+
+def test_columns_of_any_name_pass_through(spark, odd):
+    """Every operator and stage on a table with a column of each helper's and output's name, keeping all columns."""
+    wide = every_name(odd, HELPERS)
+    grammar, model, labels = toxicity.Grammar(), language.learn(odd, F.lit(True)), spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    made = {
+        "exact": (lambda d: exact_dedup.exact_duplicates(d), {"keep_id", "group_size", "kept", "text_sha256"}),
+        "near": (lambda d: simhash.near_duplicates(d, keep=d.columns), {"fp", "root", "component_id"}),
+        "one of each": (simhash.representatives, set()),
+        "bench": (lambda d: decontaminate.contamination(d, items), {"n_words", "hit_words", "hit_chars", "hit_items"}),
+        "bench in shards": (lambda d: decontaminate.contamination(d, items, max_words=10), {"n_words", "hit_words", "hit_chars", "hit_items"}),
+        "language": (lambda d: language.identify(d, model), {"lang_pred", "score"}),
+        "pieces": (pieces.encode, {"piece_ids", "decoded"}),
+        "secrets": (secret_scan.scan, {"secrets"}),
+        "toxic": (lambda d: toxicity.score(d, grammar), {"score", "predicted"}),
+        "quality": (lambda d: quality.score(d, quality.learn(odd, labels, F.lit(True))), {"score", "predicted"}),
+        "url": (lambda d: url_filter.judge(d, "text"), {"host", "path", "rule", "verdict", "block_probability"}),
+    }
+    for name, (fn, outputs) in made.items():
+        crowded, plain = fn(wide), fn(odd)
+        assert {c.lower() for c in crowded.columns} == {c.lower() for c in wide.columns} | outputs, name
+        assert len(crowded.columns) == len({c.lower() for c in crowded.columns}), name
+        rows = crowded.collect()
+        for n in HELPERS:
+            if n not in outputs and n not in odd.columns:
+                assert {r[n] for r in rows} == {f"own {n}"}, (name, n)
+        same = [c for c in plain.columns if c not in wide.columns or c in outputs or c in odd.columns]
+        assert sorted(map(str, crowded.select(same).collect())) == sorted(map(str, plain.select(same).collect())), name
+
+
+def test_maps_have_hashes(spark, odd):
+    docs = odd.withColumn("more", F.create_map(F.lit("a"), F.col("n_chars")))
+    assert exact_dedup.exact_duplicates(docs).where("kept").count() == exact_dedup.exact_duplicates(odd).where("kept").count()
+    assert simhash.representatives(docs).count() == simhash.representatives(odd).count()
+
+
 def test_exact_duplicates_of_odd_rows(odd, crowded, none):
     got = exact_dedup.exact_duplicates(odd).collect()
     assert len(got) == 14
@@ -328,7 +423,7 @@ def test_shards_come_one_by_one_and_cut_long_items(spark):
     assert len(parts) > 1 and not isinstance(parts, list)
     parts = list(parts)
     assert all(sum(5 * len(decontaminate.words(t)) for _, t in p) < 400 * 5 for p in parts)
-    whole = {(i, w) for i, t in [(1, text.encode()), (2, b"a short item")] for w in decontaminate.windows(decontaminate.words(t), 5)}
+    whole = {(i, w) for i, t in [("1", text.encode()), ("2", b"a short item")] for w in decontaminate.windows(decontaminate.words(t), 5)}
     assert {(i, w) for p in parts for i, t in p for w in decontaminate.windows(decontaminate.words(t), 5)} == whole
     one, some = (sorted(map(str, decontaminate.contamination(docs, bench, window=5, max_words=most).collect())) for most in (10**6, 900))
     assert one == some

@@ -52,8 +52,9 @@ def map_text(
     out: Sequence[tuple[str, T.DataType, pa.DataType]],
     fn: Callable[[list[bytes | None]], Sequence],
     keep: Sequence[str] | None = None,
+    also: Sequence[str] = (),
 ) -> DataFrame:
-    """Append the columns ``out`` that ``fn`` computes from a list of texts (UTF-8 bytes or None).
+    """Append the columns ``out`` that ``fn`` computes from a list of texts (UTF-8 bytes or None), and lists of the columns ``also``.
 
     Columns of ``df`` (or those of ``keep``) pass through as Arrow; one that has the name of an
     output is replaced. No shuffle.
@@ -64,14 +65,14 @@ def map_text(
     schema = T.StructType(fields + [T.StructField(n, k) for n, k, _ in out])
     arrow = [k for _, _, k in out]
     text = "__text"
-    source = df.select(*[quoted(c).alias(f"__c{i}") for i, c in enumerate(stay)], quoted(text_col).cast("string").alias(text))
+    source = df.select(*[quoted(c).alias(f"__c{i}") for i, c in enumerate(stay)], quoted(text_col).cast("string").alias(text), *[quoted(c).alias(f"__a{i}") for i, c in enumerate(also)])
     at = len(stay)
     inner = T.StructType([T.StructField(f"__c{i}", f.dataType) for i, f in enumerate(fields)] + [T.StructField(f"__o{i}", k) for i, (_, k, _) in enumerate(out)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, at):
-                made = fn(as_bytes(part.column(at)))
+                made = fn(as_bytes(part.column(at)), *[part.column(at + 1 + i).to_pylist() for i in range(len(also))])
                 columns = [part.column(i) for i in range(at)]
                 columns += [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(made, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=inner.names)
@@ -105,7 +106,8 @@ def labelled_sample(
 
     Rows are ranked by a hash of their id among the usable ids. A label's count gives the hash under
     which about twice as many rows lie as are wanted; only those ids come to the driver, and only the
-    chosen texts are read. With ``most_rows``, so many labels that ``per_class`` of each would be more
+    chosen texts are read. An id with several texts gives its smallest one, an id with several labels
+    that text under each. With ``most_rows``, so many labels that ``per_class`` of each would be more
     rows share these evenly. So nothing is ranked in one task, however frequent a label is. Texts over
     ``max_chars`` and null texts, ids or labels take no part. At most ``max_classes`` labels are allowed.
     """
@@ -114,7 +116,8 @@ def labelled_sample(
         .select(quoted(id_col).alias("__id"), quoted(label_col).cast("string").alias("__y"))
         .withColumn("__h", F.pmod(F.xxhash64("__id"), F.lit(SAMPLE_RANGE)))
     )
-    counts = {r["__y"]: r["n"] for r in rows.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1).collect()}
+    # a sketch of hashes tells about how many identifiers a label has, however often each is repeated and however rows are dealt
+    counts = {r["__y"]: r["n"] for r in rows.groupBy("__y").agg(F.approx_count_distinct("__h", 0.02).alias("n")).limit(max_classes + 1).collect()}
     if len(counts) > max_classes:
         raise ValueError(f"more than {max_classes} labels in {label_col}")
     if not counts:
@@ -124,8 +127,9 @@ def labelled_sample(
     want = 2 * per_class + min(100, per_class + 20)
     spark = docs.sparkSession
     bounds = spark.createDataFrame([(name, SAMPLE_RANGE if n <= want else SAMPLE_RANGE * want // n) for name, n in sorted(counts.items())], "__l string, __m long")
-    under = rows.join(F.broadcast(bounds), (F.col("__y") == F.col("__l")) & (F.col("__h") < F.col("__m"))).select("__id", "__y", "__h")  # bounds: a row for each label
-    near = sorted(under.distinct().limit(3 * want * len(counts)).collect(), key=lambda r: (r["__y"], r["__h"], r["__id"]))
+    under = rows.join(F.broadcast(bounds), (F.col("__y") == F.col("__l")) & (F.col("__h") < F.col("__m"))).select("__y", "__h", "__id")  # bounds: a row for each label
+    near = under.distinct().orderBy("__h", "__id", "__y").limit(3 * want * len(counts)).collect()  # far more than there are; the smallest hashes in any case
+    near.sort(key=lambda r: (r["__y"], r["__h"], r["__id"]))
     chosen = [r for _, own in groupby(near, key=lambda r: r["__y"]) for r in islice(own, per_class)]
     if not chosen:
         return []
@@ -134,25 +138,43 @@ def labelled_sample(
         docs.select(quoted(id_col).alias("__id"), quoted(text_col).cast("string").alias("__t"))
         .where(F.col("__t").isNotNull() & (F.length("__t") <= max_chars))
         .join(F.broadcast(small), "__id")
+        .groupBy("__id", "__y")
+        .agg(F.min("__t").alias("__t"))
         .select(F.xxhash64("__id").alias("__h"), "__id", "__t", "__y")
-        .limit(2 * len(chosen))
         .collect()
     )
-    return [(r["__t"], r["__y"]) for r in sorted(texts, key=lambda r: (r["__h"], r["__id"], r["__t"], r["__y"]))]
+    return [(r["__t"], r["__y"]) for r in sorted(texts, key=lambda r: (r["__h"], r["__id"], r["__y"]))]
+
+
+def plain_names(df: DataFrame, kept: Sequence[str], *more: Column) -> DataFrame:
+    """The columns ``kept`` of ``df`` as c0, c1, .. and then ``more``, so that whatever they are called clashes with nothing an operator adds."""
+    return df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(kept)], *more)
+
+
+def own_names(df: DataFrame, kept: Sequence[str], *more: Column) -> DataFrame:
+    """Undo ``plain_names``."""
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *more)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row; maps, which have no hash, as JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(quoted(f.name))) if any(k in f.dataType.simpleString() for k in ("map<", "variant")) else quoted(f.name) for f in df.schema])
 
 
 def one_of_each(df: DataFrame, by: Sequence[str], out: str) -> DataFrame:
-    """Append whether a row is the one picked of those alike in ``by``, all others of which are equally entitled.
+    """Append whether a row is the one picked of those alike in ``by``: the one with the smallest hash of all its columns.
 
-    One is picked in each partition first, then one of these, so rows alike never gather in one task.
+    So the pick is the same however rows are dealt and tasks are repeated; rows that are equal in all
+    columns are interchangeable. One is picked in each partition first, then one of these, so rows
+    alike never gather in one task.
     """
-    here = Window.partitionBy(*by, "__p").orderBy(F.lit(0))
-    ranked = df.withColumn("__p", F.spark_partition_id()).withColumn("__r", F.row_number().over(here))
+    dealt = df.withColumns({"__h": row_hash(df), "__p": F.spark_partition_id()})
+    ranked = dealt.withColumn("__r", F.row_number().over(Window.partitionBy(*by, "__p").orderBy("__h")))
     first = F.col("__r") == 1
     # the first rows of all partitions meet; the others stay apart, and the rows are computed once
-    dealt = ranked.withColumn("__s", F.when(first, -1).otherwise(F.col("__p")))
-    met = Window.partitionBy(*by, "__s").orderBy("__p")
-    return dealt.withColumn(out, first & (F.row_number().over(met) == 1)).drop("__p", "__r", "__s")
+    apart = ranked.withColumn("__s", F.when(first, -1).otherwise(F.col("__p")))
+    met = Window.partitionBy(*by, "__s").orderBy("__h", "__p")
+    return apart.withColumn(out, first & (F.row_number().over(met) == 1)).drop("__h", "__p", "__r", "__s")
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
@@ -161,7 +183,8 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int)
     Keys with more than 1/HOT_SHARE of all left rows (fewer than HOT_SHARE of them, so a proven
     bound) are broadcast. Their rows then pass the shuffled join dealt by a hash of themselves, and
     meet nothing there; every other key has few rows. So no task is hot, and ``left`` is computed
-    once. ``key`` must not be null in either side. ``total``: rows of ``left``.
+    once. ``key`` must not be null in either side. ``total``: rows of ``left``. Columns must be named
+    as ``plain_names`` does it, or be the caller's own.
     """
     least = max(1000, total // HOT_SHARE)
     names = [c for c in right.columns if c != key]
@@ -169,6 +192,6 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int)
     rest = right.where(F.col(weight) <= least).select(F.col(key).alias("__c"), F.lit(0).alias("__z"), *[F.col(c).alias(f"__r_{c}") for c in names])
     is_hot = F.col("__k").isNotNull()
     marked = left.join(F.broadcast(hot), F.col(key) == F.col("__k"), "left")
-    dealt = marked.withColumn("__salt", F.when(is_hot, 1 + F.pmod(F.xxhash64(*[quoted(c) for c in left.columns]), F.lit(HOT_SHARE)).cast("int")).otherwise(0))
+    dealt = marked.withColumn("__salt", F.when(is_hot, 1 + F.pmod(row_hash(left), F.lit(HOT_SHARE)).cast("int")).otherwise(0))
     met = dealt.join(rest, (F.col(key) == F.col("__c")) & (F.col("__salt") == F.col("__z")), "left")
     return met.select(*[quoted(c) for c in left.columns], *[F.coalesce(f"__h_{c}", f"__r_{c}").alias(c) for c in names])

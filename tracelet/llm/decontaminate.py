@@ -11,7 +11,10 @@ automaton after the other, carrying the matches found so far, staged in between.
 
 Edge cases: null or empty texts have no words and no hits; items without words have no windows;
 windows of an item with a null id mark words as hit, but that item is neither counted nor listed;
-items that share a window are all reported; an empty benchmark leaves all documents clean.
+items that share a window (ties) are all reported, an id that is repeated once; item ids may be of any
+type; an empty benchmark leaves all documents clean; repeated documents are judged alike, those of any
+length whole; an empty table gives an empty one; other columns pass through whatever their names, and
+those named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelet.llm.common import map_text, quoted, staged
+from tracelet.llm.common import map_text, own_names, plain_names, quoted, staged
 
 WINDOW = 13
 #: Pattern words in one automaton at most (about 100 MB in a worker).
@@ -50,7 +53,7 @@ def windows(item: Sequence[bytes], window: int = WINDOW) -> set[tuple[bytes, ...
     return {tuple(item[i : i + window]) for i in range(max(1, len(item) - window + 1))}
 
 
-def automaton(items: Sequence[tuple[int | None, bytes]], window: int) -> tuple:
+def automaton(items: Sequence[tuple[str | None, bytes]], window: int) -> tuple:
     """(automaton over word numbers, word -> number). A pattern's value: (its length, ids of its items)."""
     numbers: dict[bytes, int] = {}
     owners: dict[tuple[int, ...], set] = {}
@@ -101,11 +104,12 @@ def offsets(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 SPANS = T.ArrayType(T.ArrayType(T.LongType()))
+#: Item ids travel as text and get their own type back at the end.
 OUT = [
     ("n_words", T.LongType(), pa.int64()),
     ("hit_words", SPANS, pa.list_(pa.list_(pa.int64()))),
     ("hit_chars", SPANS, pa.list_(pa.list_(pa.int64()))),
-    ("hit_items", T.ArrayType(T.LongType()), pa.list_(pa.int64())),
+    ("hit_items", T.ArrayType(T.StringType()), pa.list_(pa.string())),
 ]
 
 
@@ -118,14 +122,14 @@ class Shards:
     def __len__(self) -> int:
         return self.n
 
-    def __iter__(self) -> Iterator[list[tuple[int | None, bytes]]]:
+    def __iter__(self) -> Iterator[list[tuple[str | None, bytes]]]:
         for k in range(self.n):
             yield sorted(((r["i"], (r["t"] or "").encode()) for r in self.items.where(F.col("part") == k).collect()), key=repr)
 
 
 def shards(benchmark: DataFrame, id_col: str, text_col: str, window: int, max_words: int) -> Shards:
     """The items in shards of about ``max_words`` pattern words, which are counted first. Long items are cut into pieces that overlap by a window less one word, so they have the same windows."""
-    items = benchmark.select(quoted(id_col).cast("long").alias("i"), quoted(text_col).cast("string").alias("t"))
+    items = benchmark.select(quoted(id_col).cast("string").alias("i"), quoted(text_col).cast("string").alias("t"))
     step = max(1, max_words // window // 8)  # windows of a piece; small against a shard, so shards come out even
     found = F.filter(F.split("t", SEPARATORS), lambda w: w != "")
     cut = F.transform(F.expr(f"sequence(0, greatest(0, size(w) - {window}), {step})"), lambda i: F.array_join(F.slice("w", i + 1, step + window - 1), " "))
@@ -137,11 +141,13 @@ def shards(benchmark: DataFrame, id_col: str, text_col: str, window: int, max_wo
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS, keep: list[str] | None = None) -> DataFrame:
-    """Append n_words, hit_words (merged word spans), hit_chars (their character offsets), hit_items."""
-    stay = docs.columns if keep is None else keep
+    """Append n_words, hit_words (merged word spans), hit_chars (their character offsets), hit_items (in order, of the benchmark's own type)."""
+    outputs = [n for n, _, _ in OUT]
+    stay = [c for c in (docs.columns if keep is None else keep) if c.lower() not in outputs]
     spark = docs.sparkSession
-    done = docs
     parts = shards(benchmark, item_id, item_text, window, max_words)
+    done = plain_names(docs, stay, quoted(text_col).cast("string").alias("t"))
+    own = done.columns[:-1]
     before = None
     for k, items in enumerate(parts):
         if before is not None:  # that pass is written before the next one is shipped
@@ -150,26 +156,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         before = shipped = spark.sparkContext.broadcast(items)
         name = hashlib.sha256(repr((items, window)).encode()).hexdigest()
 
-        def run(texts, shipped=shipped, name=name):
+        def run(texts, words_so_far=None, items_so_far=None, shipped=shipped, name=name):
             if name not in _built:
                 _built.clear()
                 _built[name] = automaton(shipped.value, window)
             built, numbers = _built[name]
             out: list[list] = [[], [], [], []]
-            for text in texts:
+            for row, text in enumerate(texts):
                 found = words(text)
                 spans, ids = scan(found, built, numbers)
+                if words_so_far is not None:
+                    spans, ids = merge(words_so_far[row], spans), ids.union(items_so_far[row])
                 for x, v in zip(out, (len(found), spans, offsets(text or b"", spans), sorted(i for i in ids if i is not None)), strict=True):
                     x.append(v)
             return out
 
-        if k == 0:
-            done = map_text(docs, text_col, OUT, run, [*stay] if len(parts) == 1 else None)
-        else:
-            again = map_text(done, text_col, [(f"__{n}", a, b) for n, a, b in OUT], run)
-            pick = F.udf(lambda a, b: [list(x) for x in merge(a, b)], SPANS)
-            done = again.select(*[quoted(c) for c in done.columns if c not in [n for n, _, _ in OUT]], "n_words", pick("hit_words", "__hit_words").alias("hit_words"), pick("hit_chars", "__hit_chars").alias("hit_chars"), F.array_sort(F.array_union("hit_items", "__hit_items")).alias("hit_items"))
-    return done.select(*[quoted(c) for c in stay if c not in [n for n, _, _ in OUT]], *[n for n, _, _ in OUT])
+        last = k == len(parts) - 1
+        done = map_text(done, "t", OUT, run, own if last else [*own, "t"], ("hit_words", "hit_items") if k else ())
+    kind = benchmark.schema[item_id].dataType
+    ids = F.array_sort(F.transform("hit_items", lambda i: i.cast(kind)))
+    return own_names(done, stay, "n_words", "hit_words", "hit_chars", ids.alias("hit_items"))
 
 
 def judged(found: DataFrame) -> DataFrame:

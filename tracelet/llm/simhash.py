@@ -17,14 +17,16 @@ components by alternating large-star and small-star steps over staged tables.
 
 Edge cases: texts without words (null, empty, blank) have fingerprint zero, which links like any
 other; fewer words than a shingle give one shingle of all of them; equal fingerprints are one node
-however many documents have them; rows with a null identifier belong to their component but cannot
-name it unless all do; an empty table gives an empty result.
+however many documents have them (repeated rows as well); identifiers may be of any type that has an
+order; rows with a null identifier belong to their component but cannot name it unless all do; texts
+of any length are read whole; ties between representatives are settled as ``representatives`` says;
+an empty table gives an empty result; other columns have no influence whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelet.llm.common import lookup, map_text, one_of_each, quoted, staged
+from tracelet.llm.common import lookup, map_text, one_of_each, own_names, plain_names, quoted, staged
 
 SHINGLE = 4
 SEED = 42
@@ -286,16 +288,17 @@ def links(points: DataFrame, fp: str = "fp", radius: int = RADIUS, blocks: int =
     return near.unionByName(more.select("u", "v"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the links (u, v): the smallest node connected to it.
 
     Each round turns every node's links towards its smallest neighbour, first for the larger
     neighbours (large star), then for the smaller ones (small star). Smallest neighbours come from
     partial aggregation; the hub of a large star looks its own up by broadcast (``lookup``), so no
-    task gathers its links.
+    task gathers its links. Every round that changes anything lowers a link, so rounds end by
+    themselves; their number grows with the logarithm of the longest path.
     """
     now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    for turn in range(rounds):
+    for turn in count():
         n = now.count()
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("links"))
@@ -308,7 +311,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         degrees = now.groupBy("u").agg(F.count(F.lit(1)).alias("links"))
         if degrees.where("links > 1").isEmpty() and now.select(F.col("v").alias("u")).distinct().join(degrees, "u", "left_semi").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    raise RuntimeError("components did not settle")
 
 
 def fingerprinted(docs: DataFrame, text_col: str = "text", out: str = "fp", shingle: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
@@ -318,34 +320,34 @@ def fingerprinted(docs: DataFrame, text_col: str = "text", out: str = "fp", shin
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, radius: int = RADIUS, shingle: int = SHINGLE, blocks: int = BLOCKS, most: int = MOST) -> DataFrame:
     """The columns of ``keep``, then fp, root (smallest fingerprint of the component) and component_id (its smallest identifier) of each row."""
-    stay = [id_col] if keep is None else keep
-    cut = [F.col(c) if c.startswith("__") else quoted(c) for c in stay]
-    rows = docs.select(*[c.alias(f"__k{i}") for i, c in enumerate(cut)], quoted(id_col).cast("long").alias("__id"), quoted(text_col).cast("string").alias("__t"))
-    kept = [f"__k{i}" for i in range(len(stay))]
-    marked = staged(fingerprinted(rows, "__t", "fp", shingle, [*kept, "__id"]), "fingerprints")
-    distinct = staged(marked.groupBy("fp").agg(F.min("__id").alias("least"), F.count(F.lit(1)).alias("rows")), "distinct")
+    outputs = ("fp", "root", "component_id")
+    stay = [c for c in ([id_col] if keep is None else keep) if c.lower() not in outputs]
+    rows = plain_names(docs, stay, quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("t"))
+    marked = staged(fingerprinted(rows, "t", "fp", shingle, [c for c in rows.columns if c != "t"]), "fingerprints")
+    distinct = staged(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")), "distinct")
     total = distinct.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
     roots = components(links(distinct.select("fp"), "fp", radius, blocks, most))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     found = lookup(marked, named.join(least, "root").select("fp", "rows", "root", "component_id"), "fp", "rows", total)
-    return found.select(*[F.col(k).alias(c) for k, c in zip(kept, stay, strict=True)], "fp", "root", "component_id")
+    return own_names(found, stay, *outputs)
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that stay when one of each component does: the one with the smallest identifier.
 
-    Of different texts with that identifier the one with the smaller hash stays, of repeated rows any
-    one; only such rows need a rank. The texts are shuffled once, to meet the chosen identifiers.
+    Of different texts with that identifier the one with the smaller hash stays, of rows that have the
+    text in common too the one with the smallest hash of all columns; only such rows need a rank. The
+    texts are shuffled once, to meet the chosen identifiers.
     """
-    key, text_hash = quoted(id_col).cast("long"), F.xxhash64(quoted(text_col).cast("string"))
-    named = docs.withColumns({"__rid": key, "__rth": text_hash})
-    marked = near_duplicates(named, id_col, text_col, ["__rid", "__rth"], **settings)
-    entitled = marked.where(F.col("__rid").eqNullSafe(F.col("component_id"))).groupBy("root", "__rid", "__rth").agg(F.count(F.lit(1)).alias("n"))
-    chosen = entitled.groupBy("root").agg(F.min(F.struct("__rth", "__rid", "n")).alias("c")).select(F.col("c.__rid").alias("__cid"), F.col("c.__rth").alias("__cth"), F.col("c.n").alias("__n"))
-    met = named.join(chosen, F.col("__rid").eqNullSafe(F.col("__cid")) & (F.col("__rth") == F.col("__cth")))
-    one = one_of_each(met.where("__n > 1"), ["__rid", "__rth"], "__one").where("__one").drop("__one")
-    return met.where("__n = 1").unionByName(one).select(*[quoted(c) for c in docs.columns])
+    key, text_hash = quoted(id_col), F.xxhash64(quoted(text_col).cast("string"))
+    plain = plain_names(docs, docs.columns, key.alias("id"), text_hash.alias("th"))
+    marked = near_duplicates(docs.select(key.alias("id"), text_hash.alias("th"), quoted(text_col).cast("string").alias("t")), "id", "t", ["id", "th"], **settings)
+    entitled = marked.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", "id", "th").agg(F.count(F.lit(1)).alias("n"))
+    chosen = entitled.groupBy("root").agg(F.min(F.struct("th", "id", "n")).alias("c")).select(F.col("c.id").alias("cid"), F.col("c.th").alias("cth"), F.col("c.n").alias("n"))
+    met = plain.join(chosen, F.col("id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth")))
+    one = one_of_each(met.where("n > 1"), ["id", "th"], "one").where("one").drop("one")
+    return own_names(met.where("n = 1").unionByName(one), docs.columns)
 
 
 def hexed(fp: str):

@@ -8,7 +8,9 @@ travel with the function; no shuffle is needed.
 
 Edge cases: a null URL or one without ``://`` has empty host and path, no rule, and the verdict of
 the model for empty strings; a URL without path fits no rule, since a rule's path is at least ``/``;
-equally long rules are decided by their order in the list; repeated rows are judged alike.
+equally long rules (ties) are decided by their order in the list; repeated rows are judged alike; URLs
+of any length are read whole; an empty table gives an empty one; other columns pass through, and those
+named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelet.llm.common import map_text, quoted
+from tracelet.llm.common import map_text, own_names, plain_names, quoted
 
 BITS = 14
 SIZES = (2, 3, 4, 5)
@@ -72,10 +74,14 @@ def ruled(h: Column, p: Column, rules: Sequence[tuple[str, str]]) -> tuple[Colum
 
 
 def grams(h: bytes, p: bytes) -> np.ndarray:
-    """Buckets of the n-grams of host and path, each with its ends marked; host and path are told apart by the seed."""
+    """Buckets of the character n-grams of host and path, each with its ends marked; host and path are told apart by the seed."""
     out = []
     for part, seed in ((b"^" + h + b"$", 1), (b"^" + p + b"$", 2)):
-        out += [zlib.crc32(part[i : i + n], seed) for n in SIZES for i in range(max(0, len(part) - n + 1))]
+        if part.isascii():
+            out += [zlib.crc32(part[i : i + n], seed) for n in SIZES for i in range(max(0, len(part) - n + 1))]
+        else:
+            chars = part.decode("utf-8", "replace")
+            out += [zlib.crc32(chars[i : i + n].encode(), seed) for n in SIZES for i in range(max(0, len(chars) - n + 1))]
     return np.array(out, np.int64) & ((1 << BITS) - 1)
 
 
@@ -120,18 +126,18 @@ class UrlModel:
 def judge(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, model: UrlModel | None = None, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """Append host, path, rule, verdict and block_probability; the model scores every URL, a rule overrides it."""
     model = model or UrlModel().train(LABELLED)
-    names = ("host", "path", "rule", "verdict", "block_probability")
-    stay = [c for c in (pages.columns if keep is None else keep) if c.lower() not in names]
+    outputs = ("host", "path", "rule", "verdict", "block_probability")
+    stay = [c for c in (pages.columns if keep is None else keep) if c.lower() not in outputs]
     url = quoted(url_col).cast("string")
 
     def run(lines):
-        parts = [line.split(b"\n", 1) for line in lines]
-        return (pa.array(model.probability([h for h, _ in parts], [p for _, p in parts]), pa.float64()),)
+        at = [n if n >= 0 else len(line) for line in lines for n in (line.find(b"/"),)]
+        return (pa.array(model.probability([line[:n] for line, n in zip(lines, at, strict=True)], [line[n:] for line, n in zip(lines, at, strict=True)]), pa.float64()),)
 
-    cut = pages.select(*[quoted(c) for c in stay], host(url).alias("host"), path(url).alias("path"))
-    # the host of a URL may hold a newline, but then only the model's cut moves
-    cut = cut.withColumn("__line", F.concat("host", F.lit("\n"), "path"))
-    scored = map_text(cut, "__line", [("block_probability", T.DoubleType(), pa.float64())], run, [*stay, "host", "path"])
+    cut = plain_names(pages, stay, host(url).alias("host"), path(url).alias("path"))
+    # no host holds a slash, and a path is empty or begins with one, so joined they can be told apart
+    lines = cut.withColumn("line", F.concat("host", "path"))
+    scored = map_text(lines, "line", [("p", T.DoubleType(), pa.float64())], run, cut.columns)
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    by_model = F.when(F.col("block_probability") >= threshold, "block").otherwise("allow")
-    return scored.withColumns({"rule": rule, "verdict": F.coalesce(verdict, by_model)}).select(*[quoted(c) for c in stay], *names)
+    by_model = F.when(F.col("p") >= threshold, "block").otherwise("allow")
+    return own_names(scored, stay, "host", "path", rule.alias("rule"), F.coalesce(verdict, by_model).alias("verdict"), F.col("p").alias("block_probability"))
