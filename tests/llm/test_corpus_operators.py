@@ -320,9 +320,37 @@ def test_bk_tree(n):
     assert np.array_equal(simhash.rooted(len(points), a, b), simhash.rooted(len(points), *np.nonzero(near)))
 
 
-@pytest.mark.parametrize("most", [20_000, 8])
+def test_fingerprints_within_the_radius_agree_in_some_parts():
+    """At each depth, whatever four bits differ."""
+    rng = random.Random(8)
+    fixed = 0
+    while 64 - fixed.bit_count() > simhash.BLOCKS:
+        found = simhash.masks(fixed, simhash.RADIUS, simhash.BLOCKS)
+        assert len(found) == 15 and all(m & fixed == fixed != m for m in found)
+        free = [b for b in range(64) if not fixed >> b & 1]
+        assert all(any(d & m == 0 for m in found) for d in (sum(1 << b for b in rng.sample(free, 4)) for _ in range(300)))
+        fixed = rng.choice(found)
+
+
+def test_a_shard_that_is_over_full_is_dealt_anew(spark, monkeypatch):
+    """All points agree in the first 40 bits, so shards of those bits hold all of them."""
+    rng = np.random.default_rng(3)
+    points = np.unique(rng.integers(0, 2**24, 3000, dtype=np.int64)) | (0x5A5A5A5A5A << 24)
+    sizes = []
+    solved = simhash.forest
+    monkeypatch.setattr(simhash, "forest", lambda p, r: (sizes.append(len(p)), solved(p, r))[1])
+    rows = [pa.RecordBatch.from_arrays([pa.array(np.full(len(points), k, np.int64)) for k in (1, 2)] + [pa.array(points)], names=["k", "v", "p"])]
+    back = [b for b in simhash.shard_links(4, 6, 500)(iter(rows))]
+    assert sum(b.num_rows for b in back) == len(points) and not sizes and all(b.column(2).null_count == 0 for b in back)
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(spark.createDataFrame([(int(x),) for x in points], "fp long"), most=500)).collect()}
+    near = np.bitwise_count((points[:, None] ^ points[None, :]).view(np.uint64)) <= 4
+    label = simhash.rooted(len(points), *np.nonzero(near))
+    assert [got.get(int(v), int(v)) for v in points] == [int(points[k]) for k in label]
+
+
+@pytest.mark.parametrize("most", [20_000, 60])
 def test_links_and_components(spark, most):
-    """Whatever the size of a tree, components are those of all pairs; small trees force blocks."""
+    """Whatever the size of a tree, components are those of all pairs; small trees are cut again and again."""
     points = clustered(np.random.default_rng(9), 400)
     points = np.unique(np.concatenate([points, np.uint64(1) << np.arange(64, dtype=np.uint64)]))
     rows = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long")

@@ -2,8 +2,9 @@
 
 import corpus_pipeline
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
-from test_corpus_operators import hits
+from test_corpus_operators import HELPERS, every_name, hits
 from test_corpus_queries import fingerprint, linked
 
 from tracelet.llm import decontaminate, language, pieces
@@ -28,10 +29,11 @@ def test_run(spark, sf):
             clean[i] = r
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
     assert set(got) == set(clean) and len(got) < len(docs)
-    table = pieces.tables(pieces.model_path())
-    for i, r in list(got.items())[:50]:
-        raw = b"".join(table.encode(docs[i]["text"]))
-        assert r["piece_ids"] == [int.from_bytes(raw[k : k + 4], "little") for k in range(0, len(raw), 4)]
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    for i, r in got.items():
+        assert r["piece_ids"] == library.encode(docs[i]["text"], add_bos=True, add_eos=True)
+        assert r["decoded"] == library.decode(r["piece_ids"])
+        assert all(r[c] == docs[i][c] for c in docs[i].asDict())
 
 
 def test_nothing_lettered_goes_without_labelled_rows(spark, odd):
@@ -52,7 +54,11 @@ def test_stages_on_odd_rows(spark, odd, crowded, none, odd_dir, name, stage):
         assert made.columns == odd.columns
     n = made.count()
     assert 0 < n <= 14
-    assert stage(spark, crowded, odd_dir).count() == n
+    for wide in (crowded, every_name(odd, HELPERS)):
+        kept = stage(spark, wide, odd_dir)
+        assert set(kept.columns) == set(wide.columns) | set(made.columns) and kept.count() == n
+        same = [c for c in made.columns if c in odd.columns or c not in wide.columns]
+        assert sorted(map(str, kept.select(same).collect())) == sorted(map(str, made.select(same).collect()))
     assert stage(spark, none, odd_dir).count() == 0
     if name == "exact_dedup":
         assert n == 9 and made.select(F.lower("text")).distinct().count() <= 9

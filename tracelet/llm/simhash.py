@@ -10,10 +10,11 @@ all executors through the driver they would be the fingerprints of all documents
 size bound.
 
 A shard gives a spanning forest of its links, not all pairs: tree edges within the radius are links
-already, and the search leaves out subtrees that lie wholly in the query's own component. Shards of
-over ``most`` fingerprints are cut into blocks, and each pair of blocks is searched as a shard of
-its own, so no task grows with the largest shard and no link is lost. Links of all shards become
-components by alternating large-star and small-star steps over staged tables.
+already, and the search leaves out subtrees that lie wholly in the query's own component. The
+fingerprints of a shard of over ``most`` of them are handed back and dealt anew by the bits that the
+shard does not fix, cut into parts likewise; so no tree grows with the largest shard, nothing is paired
+with everything, and no link is lost. Links of all shards become components by alternating large-star
+and small-star steps over staged tables.
 
 Edge cases: texts without words (null, empty, blank) have fingerprint zero, which links like any
 other; fewer words than a shingle give one shingle of all of them; equal fingerprints are one node
@@ -25,7 +26,8 @@ an empty table gives an empty result; other columns have no influence whatever t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations, count
 
 import numpy as np
@@ -187,32 +189,38 @@ def forest(points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.nda
     return away, final[away]
 
 
-def widths(blocks: int) -> list[tuple[int, int]]:
-    """(shift, bits) of each part."""
-    size = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
-    return [(64 - sum(size[: i + 1]), w) for i, w in enumerate(size)]
+def masks(fixed: int, radius: int, blocks: int) -> list[int]:
+    """The choices of parts that must agree, as bit masks, where the bits of ``fixed`` agree already: the other bits are cut into ``blocks`` parts."""
+    free = [1 << b for b in range(63, -1, -1) if not fixed >> b & 1]
+    ends = [len(free) * i // blocks for i in range(blocks + 1)]
+    parts = [sum(free[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+    return sorted({fixed | sum(chosen) for chosen in combinations(parts, blocks - radius)})
 
 
-def shard_keys(points: DataFrame, fp: str, radius: int, blocks: int):
-    """Fingerprints once for each choice of parts, with the key of the shard: the choice and the values there."""
-    agree = blocks - radius
-    masks = []
-    for k, chosen in enumerate(combinations(widths(blocks), agree)):
-        mask = sum(((1 << w) - 1) << s for s, w in chosen)
-        masks.append(F.struct(F.lit(k).alias("k"), F.col(fp).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("v")))
-    return points.select(fp, F.inline(F.array(*masks)))
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-FOUND = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("over", T.BooleanType())])
+def shard_keys(points: DataFrame, fp: str, choices: Sequence[int]) -> DataFrame:
+    """Fingerprints once for each choice of parts, with the key of the shard: the choice (k) and the values there (v)."""
+    keys = [F.struct(F.lit(signed(m)).alias("k"), F.col(fp).bitwiseAND(F.lit(signed(m))).alias("v")) for m in choices]
+    return points.select(F.col(fp).alias("p"), F.inline(F.array(*keys))).select("k", "v", "p")
 
 
-def shard_links(radius: int, most: int | None):
-    """Rows (k, v, fingerprint) sorted by shard -> links (u, v, null, null, false). Fingerprints of shards over ``most`` come back as (fingerprint, null, k, v, true)."""
+FOUND = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType()), T.StructField("k", T.LongType())])
 
-    def out(u, v, k=None, key=None, over=False) -> pa.RecordBatch:
-        n = len(u)
-        none = lambda kind: pa.nulls(n, kind)
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), none(pa.int64()) if v is None else pa.array(v, pa.int64()), none(pa.int32()) if k is None else pa.array(k, pa.int32()), none(pa.int64()) if key is None else pa.array(key, pa.int64()), pa.array(np.full(n, over))], names=FOUND.names)
+
+def shard_links(radius: int, blocks: int, most: int):
+    """Rows (k, v, fingerprint) sorted by all three -> links (u, v, null). A row that two choices have led to counts once.
+
+    The fingerprints of shards over ``most`` come back as (fingerprint, null, k), unless there are not
+    enough bits left to cut them further; these have at most 2 ** blocks fingerprints.
+    """
+    none = lambda n: pa.nulls(n, pa.int64())
+    cuttable = lambda k: 64 - int(k & ((1 << 64) - 1)).bit_count() > blocks
+
+    def handed_back(k: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), none(len(p)), pa.array(k, pa.int64())], names=FOUND.names)
 
     def solve(points: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         us, vs = [], []
@@ -228,7 +236,8 @@ def shard_links(radius: int, most: int | None):
                 us.append(mine[a])
                 vs.append(mine[b])
         if us:
-            yield out(np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64))
+            u, v = np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), none(len(u))], names=FOUND.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.empty(0, np.int64)] * 3
@@ -238,28 +247,29 @@ def shard_links(radius: int, most: int | None):
             if over is not None:
                 same = (k == over[0]) & (v == over[1])
                 if same.any():
-                    yield out(p[same], None, k[same], v[same], True)
+                    yield handed_back(k[same], p[same])
                     k, v, p = k[~same], v[~same], p[~same]
                 if len(k):
                     over = None
             if not len(k):
                 rest = [k, v, p]
                 continue
+            new = np.concatenate(([True], (np.diff(k) != 0) | (np.diff(v) != 0) | (np.diff(p) != 0)))
+            k, v, p = k[new], v[new], p[new]
             cut = np.nonzero((np.diff(k) != 0) | (np.diff(v) != 0))[0] + 1
             start = np.concatenate(([0], cut))
             tail = start[-1]
             ends = start[1:]
             start = start[:-1]
             rest = [k[tail:], v[tail:], p[tail:]]
-            if most is not None:
-                big = ends - start > most
-                for s, e in zip(start[big], ends[big], strict=True):
-                    yield out(p[s:e], None, k[s:e], v[s:e], True)
-                start, ends = start[~big], ends[~big]
-                if len(rest[0]) > most:
-                    over = (int(rest[0][0]), int(rest[1][0]))
-                    yield out(rest[2], None, rest[0], rest[1], True)
-                    rest = [x[:0] for x in rest]
+            large = [e - s > most and cuttable(int(k[s])) for s, e in zip(start.tolist(), ends.tolist(), strict=True)]
+            for s, e in zip(start[large], ends[large], strict=True):
+                yield handed_back(k[s:e], p[s:e])
+            start, ends = start[~np.array(large, bool)], ends[~np.array(large, bool)]
+            if len(rest[0]) > most and cuttable(int(rest[0][0])):
+                over = (int(rest[0][0]), int(rest[1][0]))
+                yield handed_back(rest[0], rest[2])
+                rest = [x[:0] for x in rest]
             pairs = ends - start > 1
             yield from solve(p.view(np.uint64), np.stack([start[pairs], ends[pairs]], 1))
         if len(rest[0]) > 1:
@@ -269,23 +279,26 @@ def shard_links(radius: int, most: int | None):
 
 
 def links(points: DataFrame, fp: str = "fp", radius: int = RADIUS, blocks: int = BLOCKS, most: int = MOST) -> DataFrame:
-    """Links (u, v) between distinct fingerprints (signed) that connect exactly what links within the radius connect."""
+    """Links (u, v) between distinct fingerprints (signed) that connect exactly what links within the radius connect.
+
+    Shards over ``most`` are dealt anew by their other bits, again and again: there too any two within
+    the radius agree in some parts. Each time about a third of those bits becomes the same, so with 64
+    bits it takes four turns at most until no shard can have 20,000 fingerprints.
+    """
     if blocks <= radius:
         raise ValueError("there must be more parts than differing bits")
-    keyed = shard_keys(points, fp, radius, blocks).select("k", "v", fp)
-    found = staged(keyed.repartition("k", "v").sortWithinPartitions("k", "v").mapInArrow(shard_links(radius, most), FOUND), "shards")
-    near = found.where(~F.col("over")).select("u", "v")
-    large = found.where("over").select("k", "key", F.col("u").alias("p"))
-    if large.isEmpty():
-        return near
-    # blocks of about most/2 points; each pair of blocks (and each block with itself) is a shard of its own
-    sizes = large.groupBy("k", "key").agg(F.ceil(F.count(F.lit(1)) * 2 / most).cast("int").alias("b"))
-    mine = F.pmod(F.xxhash64("p"), F.col("b")).cast("int")
-    paired = large.join(sizes, ["k", "key"]).withColumn("m", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
-    block = F.xxhash64("k", "key", F.least("m", "o"), F.greatest("m", "o"))
-    rows = paired.select(F.lit(0).alias("k"), block.alias("v"), "p")
-    more = rows.repartition("k", "v").sortWithinPartitions("k", "v").mapInArrow(shard_links(radius, None), FOUND)
-    return near.unionByName(more.select("u", "v"))
+    found_so_far, keyed = [], shard_keys(points, fp, masks(0, radius, blocks))
+    for turn in count():
+        found = staged(keyed.repartition("k", "v").sortWithinPartitions("k", "v", "p").mapInArrow(shard_links(radius, blocks, most), FOUND), f"shards{turn}")
+        found_so_far.append(found.where("k IS NULL").select("u", "v"))
+        large = found.where("k IS NOT NULL").select("k", F.col("u").alias("p"))
+        choices = [r["k"] for r in large.select("k").distinct().collect()]  # some of the masks of this turn, whose number is fixed
+        if not choices:
+            return reduce(DataFrame.unionByName, found_so_far)
+        spark = points.sparkSession
+        deeper = spark.createDataFrame([(k, [signed(m) for m in masks(k & ((1 << 64) - 1), radius, blocks)]) for k in sorted(choices)], "k long, masks array<long>")
+        again = large.join(F.broadcast(deeper), "k").select("p", F.explode("masks").alias("k"))
+        keyed = again.select("k", F.col("p").bitwiseAND(F.col("k")).alias("v"), "p")
 
 
 def components(edges: DataFrame) -> DataFrame:
