@@ -180,16 +180,17 @@ def one_of_each(df: DataFrame, by: Sequence[str], out: str) -> DataFrame:
 def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Left join on ``key``, where ``right`` has one row a key and ``weight`` counts the left rows of it.
 
-    Keys with more than 1/HOT_SHARE of all left rows (fewer than HOT_SHARE of them, so a proven
-    bound) are broadcast. Their rows then pass the shuffled join dealt by a hash of themselves, and
+    Keys with more than 1/HOT_SHARE of all left rows, and more than 64 (fewer than HOT_SHARE of them,
+    so a proven bound) are broadcast. Their rows then pass the shuffled join dealt by a hash of themselves, and
     meet nothing there; every other key has few rows. So no task is hot, and ``left`` is computed
     once. ``key`` must not be null in either side. ``total``: rows of ``left``. Columns must be named
     as ``plain_names`` does it, or be the caller's own.
     """
-    least = max(1000, total // HOT_SHARE)
+    least = max(64, total // HOT_SHARE)
     names = [c for c in right.columns if c != key]
+    # __z is always 0, but must not be seen to be: a constant would leave the join's key, and the salt with it
     hot = right.where(F.col(weight) > least).select(F.col(key).alias("__k"), *[F.col(c).alias(f"__h_{c}") for c in names])
-    rest = right.where(F.col(weight) <= least).select(F.col(key).alias("__c"), F.lit(0).alias("__z"), *[F.col(c).alias(f"__r_{c}") for c in names])
+    rest = right.where(F.col(weight) <= least).select(F.col(key).alias("__c"), F.least(weight, F.lit(0)).cast("int").alias("__z"), *[F.col(c).alias(f"__r_{c}") for c in names])
     is_hot = F.col("__k").isNotNull()
     marked = left.join(F.broadcast(hot), F.col(key) == F.col("__k"), "left")
     dealt = marked.withColumn("__salt", F.when(is_hot, 1 + F.pmod(row_hash(left), F.lit(HOT_SHARE)).cast("int")).otherwise(0))
