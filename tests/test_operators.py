@@ -287,3 +287,27 @@ def test_fallback_with_over_a_thousand_types(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(0).unionByName(rows, allowMissingColumns=True).write.parquet(f"{tmp_path}/events.parquet")
     got = catalog.QUERIES["nba_fallback"](spark, str(tmp_path)).collect()
     assert len(got) == 150 and {r["recommended_action"] for r in got} == set(nba.FALLBACK)
+
+
+def test_what_a_segment_usually_has(spark):
+    people = spark.createDataFrame([("high", 10.0, None, None), ("medium", 10.0, 0.5, 7.0), ("at_risk", 1.0, None, None), ("other", 1.0, None, None)], "segment string, ltv_score double, retention_rate double, mrr double")
+    got = {r["segment"]: (r["avg_churn_rate"], r["avg_mrr"], r["avg_expansion"]) for r in ltv.segment_stats(people).collect()}
+    assert got == {"high": (0.08, 89.0, 0.56), "medium": (0.5, 7.0, 0.32), "at_risk": (0.31, 32.0, 0.18), "other": (0.31, 32.0, 0.18)}
+
+
+def test_titles_of_tokens(spark):
+    tokens = ["purchase", "addToCart", "view_feature_guide", "XMLPage", "go-to top", "x"]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select(nba.spoken(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["Purchase", "Add To Cart", "View_Feature_Guide", "X M L Page", "Go-To Top", "X"]
+
+
+def test_times_and_metrics_are_found_in_records(spark):
+    day = "2024-01-0"
+    cases = [
+        ("metrics struct<date:string,sales:double>", ((f"{day}1", 3.0),)), ("created_at string, metrics_sales double", (f"{day}1", 3.0)), ("last_date_seen string, total_sales double", (f"{day}1", 3.0)),
+        ("when_timestamp string, sales string", (f"{day}1", "3")), ("x struct<my_series:array<struct<date:string,value:double>>>", (([(f"{day}1", 3.0)],),)), ("sales_history array<struct<timestamp:string,sales:double>>", ([(f"{day}1", 3.0)],)),
+    ]
+    for schema, row in cases:
+        got = forecast.embedded_series(spark.createDataFrame([row], schema), "sales").collect()
+        assert [tuple(r) for r in got] == [(datetime(2024, 1, 1), 3.0)], schema
+    assert forecast.embedded_series(spark.createDataFrame([("x", 1)], "a string, b int"), "sales").count() == 0

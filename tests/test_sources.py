@@ -60,7 +60,7 @@ def test_columns_and_entities(spark):
     df = spark.createDataFrame([("a", 1), ("0", 2), (None, 3)], "x string, y int")
     df.createOrReplaceTempView("some_table")
     assert texts(readers.corpus_from_column(df, "x")) == ["a"] and texts(readers.load(spark, "table", "some_table")) == ["0", "1", "2", "3", "a"]
-    models = spark.createDataFrame([("user", "1", "k")], "markovable_type string, markovable_id string, model_key string")
+    models = spark.createDataFrame([("user", "1", "k")], "entity_type string, entity_id string, model_key string")
     people = spark.createDataFrame([("user", "1"), ("user", "2")], "type string, id string")
     assert readers.trained_entities(people, models).count() == 1 and readers.trained_entities(people, models, with_model=True).count() == 2
     assert texts(readers.reconstructed(spark.createDataFrame([("a b", 2)], "sequence string, n long"))) == ["a b", "a b"]
@@ -217,3 +217,40 @@ def test_all_suggestions_are_sent(spark):
     with pytest.raises(ValueError):
         suggestions(actions, sent.append, limit=1000)
     assert sent == [] and suggestions(actions.limit(3), sent.append, limit=3) == 3
+
+
+def test_keys_have_folders_of_their_own(spark, tmp_path):
+    s = ParquetStore(spark, str(tmp_path))
+    a, b = model.train(seqs(spark, "a b"), 1), model.train(seqs(spark, "a c"), 1)
+    s.put("x/y", a, as_of=NOW)
+    s.put("x_y", b, as_of=NOW)
+    assert [s.get(k, NOW).sequence_freq.first()["sequence"] for k in ("x/y", "x_y")] == ["a b", "a c"]
+    s.put("x/y", b, as_of=NOW)
+    assert s.get("x/y", NOW).sequence_freq.first()["sequence"] == "a c"  # stored later at the same time
+    s.put("x/y", a, as_of=NOW)
+    assert s.get("x/y", NOW).sequence_freq.first()["sequence"] == "a b"
+
+
+def test_tagged_versions_outlive_the_model(spark, tmp_path):
+    s = ParquetStore(spark, str(tmp_path))
+    s.put("k", model.train(seqs(spark, "a b"), 1), as_of=NOW)
+    s.snapshot("k", "first", as_of=NOW)
+    s.put("k", model.train(seqs(spark, "a c"), 1), as_of=NOW + timedelta(seconds=1))
+    s.forget("k")
+    assert s.get("k", NOW) is None and s.get("k", NOW, tag="first").sequence_freq.first()["sequence"] == "a b"
+    s.put("k", model.train(seqs(spark, "a d"), 1), as_of=NOW + timedelta(seconds=2))
+    assert s.get("k", NOW).sequence_freq.first()["sequence"] == "a d"
+
+
+def test_records_stay_with_a_model_of_the_session(spark):
+    m = Manager(spark, EngineConfig(order=1))
+    people = spark.createDataFrame([("1", "a b", 90.0, 500.0), ("2", "b a", 1.0, 20.0)], "customer_id string, text string, days_since_last_login double, first_purchase_value double")
+    m.chain().train(people).save("k", note="x")
+    assert m.storage().meta("k") == {"note": "x"}
+    assert sorted(r["customer_id"] for r in m.predictive("k").churn_score().collect()) == ["1", "2"]
+    made = m.predictive("k").ltv().collect()
+    assert len(made) == 2 and made[0]["segment_characteristics"]["average_mrr"] == 89.0
+    m.storage().put("bare", m.storage().get("k"))
+    assert m.predictive("bare").ltv().count() == 0 and m.predictive("bare").next_best_action().count() == 0 and m.predictive("bare").churn_score().count() > 0
+    m.storage().forget("k")
+    assert m.storage().records("k") is None and m.storage().meta("k") is None

@@ -16,6 +16,11 @@ def has(df: DataFrame, path: str) -> bool:
     return True
 
 
+def paths(df: DataFrame) -> list[str]:
+    """Names of all fields that are no structs, nested ones with dots, in their order."""
+    return flatten(df).columns
+
+
 def optional(df: DataFrame, path: str, kind: str = "string") -> Column:
     """The field as ``kind`` (null where it can't be one), or null where the records have no such field. A column literally named with dots comes first."""
     if path in df.columns:

@@ -15,6 +15,15 @@ from tracelet.functions.staging import staged
 from tracelet.functions.text import percentage_label
 
 
+#: What a profile says, in our own words.
+DESCRIPTIONS = {
+    "power_users": "Many sessions that end where they should",
+    "quick_browsers": "Sessions of one or two steps",
+    "loyal": "The same paths, taken often",
+    "general": "Nothing stands out",
+}
+
+
 def positions(df: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
     """Append the row number (from 0) in a total order, without gathering rows in one task."""
     parts = df.orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
@@ -68,7 +77,9 @@ def profiles(assigned: DataFrame, total: DataFrame | None = None) -> DataFrame:
     conversion = F.least(F.lit(1.0), F.round(F.col("frequency") / (F.col("size") * 10), 2))
     rows = rows.withColumn("conversion_rate", conversion).join(F.broadcast(whole))  # one row
     profile = F.when(F.col("conversion_rate") >= 0.6, "power_users").when(F.col("avg_length") < 3, "quick_browsers").when(F.col("frequency") >= 20, "loyal").otherwise("general")
-    return rows.select("cluster_id", profile.alias("profile"), "size", percentage_label(F.col("size"), F.col("whole")).alias("percentage"), "avg_length", "favorite_path", "conversion_rate", "frequency")
+    named = rows.withColumn("profile", profile)
+    said = F.coalesce(*[F.when(F.col("profile") == name, text) for name, text in DESCRIPTIONS.items()])
+    return named.select("cluster_id", "profile", said.alias("description"), "size", percentage_label(F.col("size"), F.col("whole")).alias("percentage"), "avg_length", "favorite_path", "conversion_rate", "frequency")
 
 
 def shift(baseline: DataFrame, current: DataFrame) -> DataFrame:
@@ -81,7 +92,6 @@ def shift(baseline: DataFrame, current: DataFrame) -> DataFrame:
 
 
 
-
 def running_before(df: DataFrame, value: str, *order: Column | str, name: str = "before") -> DataFrame:
     """Append the sum of ``value`` over all rows before each one in a total order; like ``positions``, without gathering rows in one task."""
     parts = staged(df.orderBy(*order).withColumn("__p", F.spark_partition_id()), "ranged")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracelet.functions.records import has, optional
+from tracelet.functions.records import flatten, has, optional, paths
 from tracelet.functions.text import clamp
 
 GATE = 0.15
@@ -23,13 +25,32 @@ def series(df: DataFrame, metric: str | None = None) -> DataFrame:
     return df.select(ts.alias("ts"), value.alias("value")).where("ts IS NOT NULL AND value IS NOT NULL")
 
 
-def embedded_series(df: DataFrame, metric: str, history: Sequence[str] = ("metric_history", "history", "series"), ts_col: str | None = None) -> DataFrame:
-    """Points of the records themselves and those of their embedded histories (arrays of structs with ``timestamp`` or ``date`` and the metric or ``value``)."""
-    stamps = [ts_col] if ts_col else ["timestamp", "date", "ts"]
-    found = df.select(F.coalesce(*[optional(df, c, "timestamp") for c in stamps]).alias("ts"), F.coalesce(optional(df, metric, "double"), optional(df, "value", "double")).alias("value"))
-    for name in (h for h in history if has(df, h)):
-        points = df.select(F.explode(name).alias("p")).select("p.*")
-        found = found.unionByName(series(points, metric))
+# Where a record's time and an embedded history may stand.
+STAMPS = ("timestamp", "date", "created_at", "metrics.timestamp", "metrics.date", "metrics.created_at")
+ANY_STAMP, ANY_HISTORY = re.compile("timestamp|date", re.IGNORECASE), re.compile("(?:history|series)$")
+
+
+def found_time(df: DataFrame) -> Column:
+    """The first time that a record has: under one of STAMPS, then under any name with timestamp or date in it, in the order of the fields."""
+    names = [n for n in STAMPS if has(df, n) or n in df.columns]
+    names += [n for n in paths(df) if ANY_STAMP.search(n) and n not in names]
+    return F.coalesce(*[optional(df, n, "timestamp") for n in names], F.lit(None).cast("timestamp"))
+
+
+def found_metric(df: DataFrame, metric: str) -> Column:
+    """The metric of a record: under its name, under ``metrics``, then under any name that ends with it, in the order of the fields."""
+    names = [metric, f"metrics.{metric}", f"metrics_{metric}"]
+    names += [n for n in paths(df) if n.endswith(metric) and n not in names]
+    return F.coalesce(*[optional(df, n, "double") for n in names], F.lit(None).cast("double"))
+
+
+def embedded_series(df: DataFrame, metric: str) -> DataFrame:
+    """Points of the records themselves and those of their embedded histories: arrays of structs, at any depth, whose name ends with history or series, with ``timestamp`` or ``date`` and the metric or ``value``."""
+    flat = flatten(df)
+    found = df.select(found_time(df).alias("ts"), F.coalesce(found_metric(df, metric), optional(df, "value", "double")).alias("value"))
+    for f in flat.schema.fields:
+        if ANY_HISTORY.search(f.name) and isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
+            found = found.unionByName(series(flat.select(F.explode(F.col(f"`{f.name}`")).alias("p")).select("p.*"), metric))
     return found.where("ts IS NOT NULL AND value IS NOT NULL")
 
 
@@ -79,8 +100,8 @@ def patterns(found: DataFrame) -> DataFrame:
     worst = F.min_by("label", F.struct("average", "label"))
     top = F.array_join(F.transform(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("average", "label")))), 1, 2), lambda x: x["label"]), ", ")
     rows = found.groupBy("pattern_type").agg(F.round(F.first("strength"), 2).alias("strength"), best.alias("best"), worst.alias("worst"), (F.max("average") - F.min("average")).alias("lift"), top.alias("top"))
-    day = F.format_string("%s performs %.0f%% better than %s", "best", F.col("lift") * 100, "worst")
-    return rows.select("pattern_type", "strength", F.when(F.col("pattern_type") == "day_of_week", day).otherwise(F.concat(F.lit("Peak performance around "), "top")).alias("description"))
+    day = F.format_string("%s is %.0f%% above %s", "best", F.col("lift") * 100, "worst")
+    return rows.select("pattern_type", "strength", F.when(F.col("pattern_type") == "day_of_week", day).otherwise(F.concat(F.lit("Highest at "), "top")).alias("description"))
 
 
 def insights(found: DataFrame) -> DataFrame:

@@ -13,6 +13,12 @@ from tracelet.functions.stats import percentile
 from tracelet.functions.text import clamp, currency_label
 
 SEGMENTS = ("high", "medium", "at_risk")
+# Churn, monthly revenue and chance of expansion of a segment whose customers don't tell theirs; and of any other segment.
+USUAL = {"high": (0.08, 89.0, 0.56), "medium": (0.18, 54.0, 0.32)}
+USUAL_ELSE = (0.31, 32.0, 0.18)
+# Actions by segment, with the plan or programme that they offer, their usual gain and chance.
+UPSELL, PLAN, UPSELL_GAIN, UPSELL_CHANCE = "upsell_premium_tier", "professional", 1200, 0.48
+INVITE, PROGRAM, INVITE_GAIN, INVITE_LEAST, INVITE_CHANCE = "invite_to_success_program", "executive_briefing", 450, 300.0, 0.36
 
 
 def eligible(records: DataFrame, first_days: int, as_of: datetime | None = None) -> DataFrame:
@@ -55,18 +61,29 @@ def segmented(scored: DataFrame, segments: Sequence[str] = SEGMENTS) -> DataFram
 
 
 def segment_stats(rows: DataFrame) -> DataFrame:
-    """Churn (else what retention leaves, else 0.2), monthly revenue, chance of expansion and score, averaged."""
+    """Churn (else what retention leaves), monthly revenue, chance of expansion and score, averaged; what a customer lacks is what its segment usually has."""
     some = lambda *names: [optional(rows, n, "double") for n in names]
+    usual = lambda at: F.coalesce(*[F.when(F.col("segment") == name, values[at]) for name, values in USUAL.items()], F.lit(USUAL_ELSE[at]))
     retention = optional(rows, "retention_rate", "double")
     return rows.groupBy("segment").agg(
         F.count(F.lit(1)).alias("customers"),
-        F.avg(F.coalesce(*some("churn_rate"), 1 - retention, F.lit(0.2))).alias("avg_churn_rate"),
-        F.avg(F.coalesce(*some("mrr", "revenue.mrr"), F.lit(0.0))).alias("avg_mrr"),
-        F.avg(F.coalesce(*some("expansion_probability", "upsell_likelihood"), F.lit(0.0))).alias("avg_expansion"),
+        F.avg(F.coalesce(*some("churn_rate"), 1 - retention, usual(0))).alias("avg_churn_rate"),
+        F.avg(F.coalesce(*some("mrr", "revenue.mrr"), usual(1))).alias("avg_mrr"),
+        F.avg(F.coalesce(*some("expansion_probability", "upsell_likelihood"), usual(2))).alias("avg_expansion"),
         F.avg("ltv_score").alias("avg_ltv"),
     )
 
 
+def characterised(rows: DataFrame) -> DataFrame:
+    """Append segment_characteristics: the averages of the customer's segment as they are shown."""
+    stats = segment_stats(rows)
+    shown = F.struct(
+        F.round(clamp(F.col("avg_churn_rate")), 2).alias("typical_churn_rate"), F.round("avg_mrr", 2).alias("average_mrr"),
+        F.round(clamp(F.col("avg_expansion")), 2).alias("expansion_probability"), F.round("avg_ltv", 2).alias("average_ltv"),
+    )
+    return rows.join(F.broadcast(stats.select("segment", shown.alias("segment_characteristics"))), "segment")  # a row for each segment
+
+
 def cohort(rows: DataFrame) -> DataFrame:
     """Append how each score stands among all: its percentile (1 for a single one), and the differences from mean and median.
 
@@ -92,18 +109,20 @@ def actions(rows: DataFrame, segments: Sequence[str] = SEGMENTS) -> Column:
     value = lambda name, default: F.coalesce(optional(rows, name, "double"), F.lit(float(default)))
     plan = optional(rows, "current_plan")
 
-    def one(when: Column, name: str, gain: Column, chance: Column) -> Column:
-        return F.when(when, F.struct(F.lit(name).alias("action"), plan.alias("current_plan"), F.round(gain, 2).alias("estimated_ltv_increase"), clamp(chance).alias("success_probability")))
+    none = F.lit(None).cast("string")
+
+    def one(when: Column, name: str, own: Column, offered: Column, program: Column, gain: Column, chance: Column) -> Column:
+        return F.when(when, F.struct(F.lit(name).alias("action"), own.alias("current_plan"), offered.alias("recommended_plan"), program.alias("program"), F.round(gain, 2).alias("estimated_ltv_increase"), clamp(chance).alias("success_probability")))
 
     return F.array_compact(F.array(
-        one(F.col("segment") == segments[0], "upsell_premium_tier", value("estimated_upsell_value", 1200), value("upsell_success_probability", 0.48)),
-        one(F.col("segment") != segments[-1], "invite_to_success_program", F.greatest(F.lit(300.0), value("program_value", 450)), value("program_success_probability", 0.36)),
+        one(F.col("segment") == segments[0], UPSELL, plan, F.lit(PLAN), none, value("estimated_upsell_value", UPSELL_GAIN), value("upsell_success_probability", UPSELL_CHANCE)),
+        one(F.col("segment") != segments[-1], INVITE, none, none, F.lit(PROGRAM), F.greatest(F.lit(INVITE_LEAST), value("program_value", INVITE_GAIN)), value("program_success_probability", INVITE_CHANCE)),
     ))
 
 
 def ltv(records: DataFrame, first_days: int = 7, segments: Sequence[str] = SEGMENTS, historical: bool = False, as_of: datetime | None = None) -> DataFrame:
-    """Customers with score, confidence, segment and actions, highest first; ``historical`` adds the comparison."""
-    rows = segmented(scores(records, first_days, as_of), segments)
+    """Customers with score, confidence, segment, its characteristics and actions, highest first; ``historical`` adds the comparison."""
+    rows = characterised(segmented(scores(records, first_days, as_of), segments))
     rows = rows.withColumn("actions", actions(rows, segments))
     if historical:
         rows = labelled(cohort(rows))

@@ -24,6 +24,18 @@ FALLBACK = ("view_feature_guide", "invite_to_webinar", "schedule_success_call")
 FALLBACK_PROBABILITY = 0.35
 
 
+def spoken(token: Column) -> Column:
+    """A token as a title: a blank before each capital behind the first letter, then every word with a capital, where words are parted by what is neither letter nor digit.
+
+    So ``addToCart`` becomes Add To Cart, ``view_feature_guide`` becomes View_Feature_Guide.
+    """
+    first = F.concat(F.upper(F.substring(token, 1, 1)), F.substr(token, F.lit(2)))
+    snake = F.when(token.rlike("^[a-z]+$"), token).otherwise(F.lower(F.regexp_replace(first, "(.)(?=[A-Z])", "$1 ")))
+    # a blank behind whatever parts words makes the next one a word; the mark tells which blanks to take out again
+    parted = F.regexp_replace(snake, r"([^\p{L}\p{M}\p{N}' ]+)", "$1\x01 ")
+    return F.replace(F.initcap(parted), F.lit("\x01 "), F.lit(""))
+
+
 def current_state(records: DataFrame) -> Column:
     """Last action, else the last step of the journey, else the state, else ``start``."""
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
@@ -77,7 +89,7 @@ def next_best_actions(model: Model, records: DataFrame, top: int = 1, excluded:
     known = catalog if catalog is not None else model.transitions.sparkSession.createDataFrame(CATALOG, CATALOG_FIELDS)
     known = known.withColumnRenamed("token", "recommended_action")
     met = each.join(known, "recommended_action", "left")
-    label = F.initcap(F.replace(F.regexp_replace("recommended_action", "([a-z0-9])([A-Z])", "$1 $2"), F.lit("_"), F.lit(" ")))
+    label = spoken(F.col("recommended_action"))
     p, e = F.col("probability"), F.col("engagement")
     out = [
         "customer_id", "rank", "state", "recommended_action", "probability",

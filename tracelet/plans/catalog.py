@@ -311,7 +311,8 @@ def profiles_sql(src: str, name: str, whole: str) -> str:
     """Rounded by whole numbers, half up."""
     return f"""{name}_a AS (SELECT cluster_id, count(*) AS size, sum(len(string_split(sequence, ' '))) AS l, arg_min(sequence, {{'a': -n, 'b': sequence}}) AS favorite_path, sum(n) AS f FROM {src} GROUP BY 1),
 {name}_b AS (SELECT *, CAST(((l * 200 + size) // (2 * size)) AS DOUBLE) / 100 AS avg_length, least(1.0, CAST(((f * 20 + size) // (2 * size)) AS DOUBLE) / 100) AS conversion_rate FROM {name}_a),
-{name} AS (SELECT cluster_id, CASE WHEN conversion_rate >= 0.6 THEN 'power_users' WHEN avg_length < 3 THEN 'quick_browsers' WHEN f >= 20 THEN 'loyal' ELSE 'general' END AS profile, size,
+{name} AS (SELECT cluster_id, CASE WHEN conversion_rate >= 0.6 THEN 'power_users' WHEN avg_length < 3 THEN 'quick_browsers' WHEN f >= 20 THEN 'loyal' ELSE 'general' END AS profile,
+ CASE profile WHEN 'power_users' THEN 'Many sessions that end where they should' WHEN 'quick_browsers' THEN 'Sessions of one or two steps' WHEN 'loyal' THEN 'The same paths, taken often' ELSE 'Nothing stands out' END AS description, size,
  format('{{:.1f}}', CAST(((size * 2000 + w) // (2 * w)) AS DOUBLE) / 10) || '%' AS percentage, avg_length, favorite_path, conversion_rate, CAST(f AS BIGINT) AS frequency FROM {name}_b, (SELECT count(*) AS w FROM {whole}))"""
 
 
@@ -464,18 +465,42 @@ def ltv_segments(spark, sf_dir):
     return scored(spark, sf_dir).select("customer_id", "segment")
 
 
-@query(LTV + " SELECT segment, count(*) AS customers, 0.2::DOUBLE AS avg_churn_rate, round(avg(mrr), 6) AS avg_mrr, 0.0::DOUBLE AS avg_expansion, round(avg(ltv_score), 6) AS avg_ltv FROM g GROUP BY 1")
+#: Some customers tell their churn, retention, revenue and chance of expansion, others don't: by the customer's number modulo 4, 5 and 3.
+SPARSE = """, sp AS (SELECT *, CAST(customer_id AS BIGINT) AS i FROM g),
+u AS (SELECT *, CASE segment WHEN 'high' THEN 0.08::DOUBLE WHEN 'medium' THEN 0.18::DOUBLE ELSE 0.31::DOUBLE END AS us_c,
+ CASE segment WHEN 'high' THEN 89.0::DOUBLE WHEN 'medium' THEN 54.0::DOUBLE ELSE 32.0::DOUBLE END AS us_m, CASE segment WHEN 'high' THEN 0.56::DOUBLE WHEN 'medium' THEN 0.32::DOUBLE ELSE 0.18::DOUBLE END AS us_e FROM sp),
+ss AS (SELECT segment, count(*) AS customers,
+ avg(CASE i % 4 WHEN 0 THEN 0.05::DOUBLE WHEN 1 THEN 1 - 0.9::DOUBLE ELSE us_c END) AS churn, avg(CASE WHEN i % 5 = 0 THEN us_m ELSE mrr END) AS mrr,
+ avg(CASE i % 3 WHEN 0 THEN 0.7::DOUBLE WHEN 1 THEN 0.4::DOUBLE ELSE us_e END) AS expansion, avg(ltv_score) AS ltv FROM u GROUP BY 1)"""
+
+
+def sparse(rows: DataFrame) -> DataFrame:
+    i = F.col("customer_id").cast("long")
+    return rows.withColumns({
+        "churn_rate": F.when(i % 4 == 0, 0.05), "retention_rate": F.when(i % 4 == 1, 0.9), "mrr": F.when(i % 5 != 0, F.col("mrr")),
+        "expansion_probability": F.when(i % 3 == 0, 0.7), "upsell_likelihood": F.when(i % 3 == 1, 0.4),
+    })
+
+
+@query(LTV + SPARSE + " SELECT segment, customers, round(churn, 6) AS avg_churn_rate, round(mrr, 6) AS avg_mrr, round(expansion, 6) AS avg_expansion, round(ltv, 6) AS avg_ltv FROM ss")
 def ltv_segment_stats(spark, sf_dir):
-    return six(ltv.segment_stats(scored(spark, sf_dir)), "avg_churn_rate", "avg_mrr", "avg_expansion", "avg_ltv")
+    return six(ltv.segment_stats(sparse(scored(spark, sf_dir))), "avg_churn_rate", "avg_mrr", "avg_expansion", "avg_ltv")
+
+
+@query(LTV + SPARSE + " SELECT customer_id, g.segment, round(churn, 2) AS typical_churn_rate, round(ss.mrr, 2) AS average_mrr, round(expansion, 2) AS expansion_probability, round(ltv, 2) AS average_ltv FROM g JOIN ss USING (segment)")
+def ltv_characteristics(spark, sf_dir):
+    """What is attached to each prediction."""
+    return ltv.ltv(sparse(inputs.customers(spark, sf_dir)), FIRST_DAYS).select("customer_id", "segment", "segment_characteristics.*")
 
 
-@query(LTV + " SELECT customer_id, CASE WHEN count(*) OVER () = 1 THEN 1.0 ELSE percent_rank() OVER (ORDER BY ltv_score) END AS ltv_percentile, round(ltv_score - avg(ltv_score) OVER (), 6) AS vs_average, round(ltv_score - quantile_cont(ltv_score, 0.5) OVER (), 6) AS vs_median FROM g")
+@query(LTV + " SELECT customer_id, CASE WHEN count(*) OVER () = 1 THEN 1.0 ELSE percent_rank() OVER (ORDER BY ltv_score) END AS ltv_percentile, round(ltv_score - avg(ltv_score) OVER (), 3) AS vs_average, round(ltv_score - quantile_cont(ltv_score, 0.5) OVER (), 3) AS vs_median FROM g")
 def ltv_cohort(spark, sf_dir):
-    return six(ltv.cohort(scored(spark, sf_dir)).select("customer_id", "ltv_percentile", "vs_average", "vs_median"), "vs_average", "vs_median")
+    made = ltv.cohort(scored(spark, sf_dir))  # differences of sums in the hundred thousands: three places
+    return made.select("customer_id", "ltv_percentile", F.round("vs_average", 3).alias("vs_average"), F.round("vs_median", 3).alias("vs_median"))
 
 
-@query(LTV + """ SELECT customer_id, 'upsell_premium_tier' AS action, NULL AS current_plan, 1200.0::DOUBLE AS estimated_ltv_increase, 0.48::DOUBLE AS success_probability FROM g WHERE segment = 'high'
-UNION ALL SELECT customer_id, 'invite_to_success_program', NULL, 450.0::DOUBLE, 0.36::DOUBLE FROM g WHERE segment <> 'at_risk'""".replace("NULL AS current_plan", "CAST(NULL AS VARCHAR) AS current_plan"))
+@query(LTV + """ SELECT customer_id, 'upsell_premium_tier' AS action, CAST(NULL AS VARCHAR) AS current_plan, 'professional' AS recommended_plan, CAST(NULL AS VARCHAR) AS program, 1200.0::DOUBLE AS estimated_ltv_increase, 0.48::DOUBLE AS success_probability FROM g WHERE segment = 'high'
+UNION ALL SELECT customer_id, 'invite_to_success_program', NULL, NULL, 'executive_briefing', 450.0::DOUBLE, 0.36::DOUBLE FROM g WHERE segment <> 'at_risk'""")
 def ltv_actions(spark, sf_dir):
     return ltv.ltv(inputs.customers(spark, sf_dir), FIRST_DAYS).select("customer_id", F.inline("actions"))
 
@@ -533,7 +558,7 @@ def hour_profile(spark, sf_dir):
 
 
 @query(f"""WITH {REVENUE.format(w=9)}, {groups_sql(DAY)}, x AS (SELECT label, round(average, 4) AS average FROM gr)
-SELECT 'day_of_week' AS pattern_type, round(strength, 2) AS strength, arg_max(label, average) || ' performs ' || printf('%.0f', (max(average) - min(average)) * 100) || '% better than ' || arg_min(label, average) AS description FROM x, st WHERE strength > 0.15 GROUP BY strength""")
+SELECT 'day_of_week' AS pattern_type, round(strength, 2) AS strength, arg_max(label, average) || ' is ' || printf('%.0f', (max(average) - min(average)) * 100) || '% above ' || arg_min(label, average) AS description FROM x, st WHERE strength > 0.15 GROUP BY strength""")
 def seasonal_patterns(spark, sf_dir):
     return forecast.patterns(forecast.details(inputs.daily_revenue(spark, sf_dir, 9), ("day_of_week",)))
 

@@ -361,7 +361,7 @@ class Chain:
 
     def get_records(self) -> DataFrame | None:
         store = self.manager.storage(self._storage)
-        if self._records is None and self._key and isinstance(store, ParquetStore):
+        if self._records is None and self._key and hasattr(store, "records"):
             self._records = store.records(self._key)
         return self._records
 
@@ -416,6 +416,10 @@ class Predictive:
     def _rows(self) -> DataFrame | None:
         return self.records if self.records is not None else self.chain.get_records()
 
+    def _some(self) -> DataFrame:
+        rows = self._rows()
+        return readers.records_from_values(self.chain.spark, []) if rows is None else rows
+
     def churn_score(self, **settings) -> DataFrame:
         """Without records, stand-ins made of the baseline's sequences."""
         rows = self._rows()
@@ -423,10 +427,11 @@ class Predictive:
         return churn.churn(rows, **{**self.options.get("churn", {}), **settings})
 
     def ltv(self, **settings) -> DataFrame:
-        return ltv.ltv(self._rows(), **{**self.options.get("ltv", {}), **settings})
+        """Of no records, no predictions."""
+        return ltv.ltv(self._some(), **{**self.options.get("ltv", {}), **settings})
 
     def next_best_action(self, customer_id: str | None = None, **settings) -> DataFrame:
-        rows = self._rows()
+        rows = self._some()
         if customer_id is not None:
             rows = nba.for_customer(rows, customer_id)
         return nba.next_best_actions(self.baseline(), rows, **{**self.options.get("next_best_action", {}), **settings})

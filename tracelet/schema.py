@@ -7,7 +7,7 @@ START, END = "__START__", "__END__"
 TABLES: dict[str, str] = {
     "transitions": "prefix string, token string, cnt bigint, probability double",
     "sequence_freq": "sequence string, n bigint",
-    "models": "model_key string, context string, markovable_type string, markovable_id string, kind_order int, payload string, stored_at timestamp, ttl bigint, expires_at timestamp",
+    "models": "model_key string, context string, entity_type string, entity_id string, kind_order int, payload string, stored_at timestamp, ttl bigint, expires_at timestamp",
     "anomalies": "model_key string, type string, sequence string, score double, count bigint, metadata string, detected_at timestamp, resolved_at timestamp",
     "pattern_alerts": "model_key string, pattern string, severity string, metadata string, dispatched_at timestamp",
     "cluster_profiles": "model_key string, cluster_id int, profile string, size bigint, metadata string",

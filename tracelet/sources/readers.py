@@ -38,7 +38,9 @@ def records_from_values(spark: SparkSession, values: object, schema: str | None
     if not rows:
         return spark.createDataFrame([], schema or "customer_id string")
     lines = spark.createDataFrame([(json.dumps(r, default=str),) for r in rows], "value string")
-    return spark.read.json(lines.rdd.map(lambda r: r[0])) if schema is None else lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+    if schema is None:  # one schema of all the records, inferred from them as an array
+        schema = spark.range(1).select(F.schema_of_json(F.lit(json.dumps(rows, default=str)))).first()[0].removeprefix("ARRAY<").removesuffix(">")
+    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def corpus_from_frame(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -131,7 +133,7 @@ def reconstructed(freq: DataFrame) -> DataFrame:
 
 def trained_entities(entities: DataFrame, models: DataFrame, keys: tuple[str, str] = ("type", "id"), with_model: bool = False) -> DataFrame:
     """Entities that have a stored model, or all with theirs."""
-    m = models.select(F.col("markovable_type").alias(keys[0]), F.col("markovable_id").alias(keys[1]), *(["model_key"] if with_model else [])).distinct()
+    m = models.select(F.col("entity_type").alias(keys[0]), F.col("entity_id").alias(keys[1]), *(["model_key"] if with_model else [])).distinct()
     return entities.join(m, list(keys), "left" if with_model else "left_semi")
 
 

@@ -1,14 +1,16 @@
 """Stored models: versioned Parquet directories behind a pointer, with expiry, tags and snapshots.
 
-Layout: ``<root>/<key>/v-<uuid>/{transitions,sequence_freq,records}`` and an append-only log of
+Layout: ``<root>/<key>/v-<time>-<uuid>/{transitions,sequence_freq,records}`` and an append-only log of
 pointers ``<root>/<key>/log``, whose newest entry is current. A version is complete before its entry
 is written, so readers never see half of one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+import time
 import uuid
 from collections.abc import Mapping
 from datetime import datetime, timedelta
@@ -37,7 +39,8 @@ class ParquetStore:
         self.spark, self.root = spark, root.rstrip("/")
 
     def path(self, key: str) -> str:
-        return f"{self.root}/{re.sub(r'[^A-Za-z0-9_.-]', '_', key)}"
+        """A folder of the key's own: what can be read of it, and its digest."""
+        return f"{self.root}/{re.sub(r'[^A-Za-z0-9_.-]', '_', key)[:80]}-{hashlib.sha256(key.encode()).hexdigest()[:16]}"
 
     def _exists(self, path: str) -> bool:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -56,7 +59,7 @@ class ParquetStore:
 
     def put(self, key: str, model: Model, ttl: int | None = None, as_of: datetime | None = None, meta: Mapping | None = None, records: DataFrame | None = None) -> None:
         at = as_of or datetime.now()
-        version = f"v-{uuid.uuid4().hex}"
+        version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex}"  # of two stored at the same time the one written later is the newer
         base = f"{self.path(key)}/{version}"
         model.transitions.write.parquet(f"{base}/transitions")
         model.sequence_freq.write.parquet(f"{base}/sequence_freq")
@@ -71,7 +74,7 @@ class ParquetStore:
         # an expired entry is as good as none; nothing older comes back in its place
         rows = rows.where(F.col("tag") == tag) if tag else rows.where("entry = 'put'")
         newest = rows.orderBy(F.desc("stored_at"), F.desc("version")).limit(1).collect()
-        if not newest or (newest[0]["expires_at"] and newest[0]["expires_at"] <= (as_of or datetime.now())):
+        if not newest or newest[0]["version"] in self._forgotten(key) and not tag or (newest[0]["expires_at"] and newest[0]["expires_at"] <= (as_of or datetime.now())):
             return None
         return newest[0]
 
@@ -91,8 +94,22 @@ class ParquetStore:
         row = self._current(key, as_of)
         return json.loads(row["meta"]) if row else None
 
+    def _forgotten(self, key: str) -> set[str]:
+        return {r["version"] for r in self.entries(key).where("entry = 'forget'").select("version").distinct().collect()}
+
     def forget(self, key: str) -> None:
-        self._delete(self.path(key))
+        """Take all versions away but those kept under a tag, which stay reachable by it."""
+        rows = self.entries(key)
+        if rows is None:
+            return
+        tagged = {r["version"] for r in rows.where("tag IS NOT NULL").select("version").distinct().collect()}
+        if not tagged:
+            self._delete(self.path(key))
+            return
+        for r in rows.where("entry = 'put'").select("version", "kind_order").distinct().collect():  # a row for each time the model was stored
+            self._log(key, "forget", r["version"], r["kind_order"], "{}", datetime.now(), None, None)
+            if r["version"] not in tagged:
+                self._delete(f"{self.path(key)}/{r['version']}")
 
     def snapshot(self, key: str, tag: str, description: str | None = None, as_of: datetime | None = None) -> None:
         """Keep the current version under a tag that is unique for the model; versions never change, so nothing is copied."""
@@ -115,14 +132,23 @@ class ParquetStore:
 
 
 class SessionStore:
-    """Models kept for the session, cached while they are valid."""
+    """Models kept for the session with their records and what is said about them, cached while they are valid."""
 
     def __init__(self) -> None:
         self.kept: dict[str, tuple[Model, datetime | None]] = {}
+        self.beside: dict[str, tuple[DataFrame | None, dict]] = {}
 
     def put(self, key: str, model: Model, ttl: int | None = None, as_of: datetime | None = None, meta: Mapping | None = None, records: DataFrame | None = None) -> None:
         held = Model(model.order, model.transitions.persist(), model.sequence_freq.persist())
+        self.forget(key)
         self.kept[key] = held, (as_of or datetime.now()) + timedelta(seconds=ttl) if ttl else None
+        self.beside[key] = (None if records is None else records.persist()), dict(meta or {})
+
+    def records(self, key: str, as_of: datetime | None = None) -> DataFrame | None:
+        return self.beside[key][0] if self.get(key, as_of) is not None else None
+
+    def meta(self, key: str, as_of: datetime | None = None) -> dict | None:
+        return self.beside[key][1] if self.get(key, as_of) is not None else None
 
     def get(self, key: str, as_of: datetime | None = None) -> Model | None:
         model, expires = self.kept.get(key, (None, None))
@@ -133,9 +159,10 @@ class SessionStore:
 
     def forget(self, key: str) -> None:
         model, _ = self.kept.pop(key, (None, None))
-        if model is not None:
-            model.transitions.unpersist()
-            model.sequence_freq.unpersist()
+        records, _ = self.beside.pop(key, (None, {}))
+        for held in (model.transitions, model.sequence_freq, records) if model is not None else ():
+            if held is not None:
+                held.unpersist()
 
 
 def nested(model: Model) -> DataFrame:
