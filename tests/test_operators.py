@@ -311,3 +311,67 @@ def test_times_and_metrics_are_found_in_records(spark):
         got = forecast.embedded_series(spark.createDataFrame([row], schema), "sales").collect()
         assert [tuple(r) for r in got] == [(datetime(2024, 1, 1), 3.0)], schema
     assert forecast.embedded_series(spark.createDataFrame([("x", 1)], "a string, b int"), "sales").count() == 0
+
+
+def walked_by_hand(transitions, order, walk, length, seed):
+    """One walk, choice by choice."""
+    import hashlib
+
+    prefix, out = ["__START__"] * order, []
+    for step in range(length):
+        mine = sorted((r["token"], r["cnt"]) for r in transitions if r["prefix"] == " ".join(prefix))
+        if not mine:
+            break
+        u = int(hashlib.md5(f"{seed}:{walk}:{step}".encode()).hexdigest()[:8], 16) / 4294967296
+        total, so_far, token = sum(c for _, c in mine), 0, None
+        for token, c in mine:
+            so_far += c
+            if u < so_far / total:
+                break
+        if token == "__END__":
+            break
+        out.append(token)
+        prefix = [*prefix, token][-order:]
+    return out
+
+
+@pytest.mark.parametrize(("block", "small", "hot"), [(256, 4096, 512), (2, 4096, 512), (2, 0, 512), (3, 0, 4)])
+def test_walks_by_any_way_are_those_by_hand(spark, monkeypatch, block, small, hot):
+    """Models that are broadcast whole, and those found block by block, with hot blocks or without."""
+    monkeypatch.setattr(generate, "BLOCK", block)
+    monkeypatch.setattr(generate, "HOT", hot)
+    m = model.train(rows(spark, *[" ".join("abcdefg"[(i * k) % 7] for k in range(1, 2 + i % 9)) for i in range(60)]), 2)
+    table = m.transitions.collect()
+    got = {r["walk"]: r["tokens"] for r in generate.walks(m, spark.range(30).withColumnRenamed("id", "walk"), 10, seed=3, small=small).collect()}
+    assert got == {w: walked_by_hand(table, 2, w, 10, 3) for w in range(30)}
+
+
+def test_walks_end_when_none_goes_on(spark):
+    m = model.train(rows(spark, "a b"), 1)
+    assert [r["tokens"] for r in generate.walks(m, spark.range(2).withColumnRenamed("id", "walk"), 100).collect()] == [["a", "b"]] * 2
+
+
+def test_exact_quantiles_over_ranges(spark):
+    values = spark.createDataFrame([(float(x),) for x in (5, 1, 1, 9, 2, 2, 2, 7)] + [(None,)], "v double")
+    got = cluster.quantiles(values, "v", a=0, b=25, c=50, d=90, e=100).first()
+    assert [round(x, 9) for x in got] == [1.0, 1.75, 2.0, 7.6, 9.0]
+    assert tuple(cluster.quantiles(values.limit(0), "v", a=50).first()) == (0.0,)
+
+
+def test_hubs_are_dealt_to_several_places(spark, monkeypatch):
+    edges = spark.createDataFrame([("h", f"n{i}", 1.0) for i in range(40)] + [(f"n{i}", "h", 2.0) for i in range(20)], "src string, dst string, weight double")
+    plain = frame(rank.pagerank(edges, threshold=1e-9)[0])
+    monkeypatch.setattr(rank, "HUB", 7)
+    assert rank.normalize(edges)[1].where("src = 'h'").select("place").distinct().count() > 1
+    assert [(i, round(r, 9)) for i, r in frame(rank.pagerank(edges, threshold=1e-9)[0])] == [(i, round(r, 9)) for i, r in plain]
+
+
+def test_superseded_ranks_are_deleted(spark, monkeypatch, tmp_path):
+    from tracelet.functions import staging
+
+    monkeypatch.setattr(staging, "shared_dir", lambda _: f"file://{tmp_path}")
+    ranks, turns, _ = rank.pagerank(spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0)], "src string, dst string, weight double"))
+    assert turns > 3 and ranks.count() == 3 and len(list(tmp_path.glob("*/rank*"))) == 1
+    table = staging.staged(ranks, "again")
+    staging.discard(ranks, None, table)
+    assert not list(tmp_path.glob("*/again"))

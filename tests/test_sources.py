@@ -254,3 +254,11 @@ def test_records_stay_with_a_model_of_the_session(spark):
     assert m.predictive("bare").ltv().count() == 0 and m.predictive("bare").next_best_action().count() == 0 and m.predictive("bare").churn_score().count() > 0
     m.storage().forget("k")
     assert m.storage().records("k") is None and m.storage().meta("k") is None
+
+
+def test_sessions_cut_at_pauses_across_days(spark):
+    """A pause is one between two events, whatever days they lie on; days without events don't matter."""
+    at = [(1, "2024-01-01 23:50:00"), (1, "2024-01-02 00:10:00"), (1, "2024-01-02 09:00:00"), (1, "2024-01-05 09:00:00"), (1, "2024-01-05 09:30:00"), (2, "2024-01-02 00:00:00"), (None, "2024-01-01 00:00:00"), (None, "2024-01-03 00:00:00")]
+    rows = spark.createDataFrame([(u, t, i, f"e{i}") for i, (u, t) in enumerate(at)], "user_id int, ts string, event_id int, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = sorted((str(r["user_id"]), r["session"], " ".join(r["tokens"])) for r in readers.sessions(rows, gap="1 HOUR").collect())
+    assert got == [("1", "0", "e0 e1"), ("1", "1", "e2"), ("1", "2", "e3 e4"), ("2", "0", "e5"), ("None", "0", "e6"), ("None", "1", "e7")]

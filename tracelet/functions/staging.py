@@ -24,9 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
-    The table is needed until the result of the calling operator has been consumed, so it stays
-    until the shared folder is cleaned.
+    What the result of an operator reads stays until the shared folder is cleaned; ``discard`` takes
+    away what only a later table of the same operator was made from.
     """
-    path = f"{shared_dir(df.sparkSession)}/tracelet-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(df.sparkSession)}/tracelet-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    made = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+    made._staged_in = folder
+    return made
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of staged tables that nothing will read again; other tables and None are left alone."""
+    for t in tables:
+        folder = getattr(t, "_staged_in", None)
+        if folder is not None:
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -92,10 +92,30 @@ def shift(baseline: DataFrame, current: DataFrame) -> DataFrame:
 
 
 
-def running_before(df: DataFrame, value: str, *order: Column | str, name: str = "before") -> DataFrame:
-    """Append the sum of ``value`` over all rows before each one in a total order; like ``positions``, without gathering rows in one task."""
+def running_before(df: DataFrame, value: str, *order: Column | str, name: str = "before", **more: str) -> DataFrame:
+    """Append the sum of ``value`` over all rows before each one in a total order, and likewise a column for each of ``more`` (name=value); like ``positions``, without gathering rows in one task."""
+    sums = {name: value, **more}
     parts = staged(df.orderBy(*order).withColumn("__p", F.spark_partition_id()), "ranged")
-    sizes = parts.groupBy("__p").agg(F.sum(value).alias("__n"))
-    offsets = sizes.withColumn("__o", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    here = F.coalesce(F.sum(value).over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return parts.join(F.broadcast(offsets.select("__p", "__o")), "__p").withColumn(name, F.col("__o") + here).drop("__p", "__o")
+    sizes = parts.groupBy("__p").agg(*[F.sum(v).alias(f"__n{i}") for i, v in enumerate(sums.values())])
+    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__p", *[F.coalesce(F.sum(f"__n{i}").over(earlier), F.lit(0)).alias(f"__o{i}") for i in range(len(sums))])  # one row for each partition
+    here = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    met = parts.join(F.broadcast(offsets), "__p")
+    return met.withColumns({n: F.col(f"__o{i}") + F.coalesce(F.sum(v).over(here), F.lit(0)) for i, (n, v) in enumerate(sums.items())}).drop("__p", *[f"__o{i}" for i in range(len(sums))])
+
+
+def quantiles(df: DataFrame, value: str, **shares: float) -> DataFrame:
+    """One row: exact percentiles (name=percent) of a numeric column, interpolated between the closest ranks, 0 of nothing.
+
+    Distinct values are counted and put in order over ranges, and of each percentile only the two
+    values beside its place are picked; no task sees all values.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    placed = running_before(counted, "__c", "__v", name="__b")
+    whole = placed.agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("__all"))
+    at = {n: F.col("__all").cast("double").__sub__(1) * (min(100.0, max(0.0, p)) / 100) for n, p in shares.items()}
+    pick = lambda place: F.max(F.when(F.col("__b") <= place, F.col("__v")))  # noqa: E731  values grow with their places
+    ends = placed.join(F.broadcast(whole)).groupBy("__all").agg(*[pick(rounded(at[n])).alias(f"{n}_{side}") for n in shares for side, rounded in (("lo", F.floor), ("hi", F.ceil))])
+    between = lambda n: F.when(F.col(f"{n}_lo") == F.col(f"{n}_hi"), F.col(f"{n}_lo")).otherwise((F.ceil(at[n]) - at[n]) * F.col(f"{n}_lo") + (at[n] - F.floor(at[n])) * F.col(f"{n}_hi"))
+    made = ends.select(*[between(n).alias(n) for n in shares])
+    return made.agg(*[F.coalesce(F.max(n), F.lit(0.0)).alias(n) for n in shares])

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelet.functions.records import optional
-from tracelet.functions.stats import percentile
 from tracelet.functions.text import clamp, currency_label
+from tracelet.operators.cluster import quantiles, running_before
 
 SEGMENTS = ("high", "medium", "at_risk")
 # Churn, monthly revenue and chance of expansion of a segment whose customers don't tell theirs; and of any other segment.
@@ -48,7 +48,9 @@ def scores(records: DataFrame, first_days: int = 7, as_of: datetime | None = Non
 def thresholds(scored: DataFrame, segments: Sequence[str] = SEGMENTS) -> DataFrame:
     """One row with a column t0, t1, ... for all segments but the last."""
     n = len(segments)
-    return scored.agg(*[percentile(F.col("ltv_score"), 100 - (i + 1) * 100 / n).alias(f"t{i}") for i in range(n - 1)] or [F.lit(0).alias("t")])
+    if n < 2:
+        return scored.sparkSession.range(1).select(F.lit(0.0).alias("t"))
+    return quantiles(scored, "ltv_score", **{f"t{i}": 100 - (i + 1) * 100 / n for i in range(n - 1)})
 
 
 def segmented(scored: DataFrame, segments: Sequence[str] = SEGMENTS) -> DataFrame:
@@ -90,11 +92,9 @@ def cohort(rows: DataFrame) -> DataFrame:
     The percentile is the share of smaller scores. Distinct scores are counted, their running sum is
     taken over ranges of scores, and each row looks its score up; no task sees all rows.
     """
-    from tracelet.operators.cluster import running_before
-
     distinct = rows.groupBy("ltv_score").agg(F.count(F.lit(1)).alias("__c"))
     below = running_before(distinct, "__c", "ltv_score", name="__below")
-    whole = rows.agg(F.count(F.lit(1)).alias("__n"), F.avg("ltv_score").alias("__mean"), percentile(F.col("ltv_score"), 50).alias("__median"))
+    whole = rows.agg(F.count(F.lit(1)).alias("__n"), F.avg("ltv_score").alias("__mean")).join(quantiles(rows, "ltv_score", __median=50))
     met = rows.join(below.select("ltv_score", "__below"), "ltv_score").join(F.broadcast(whole))  # whole: one row
     share = F.when(F.col("__n") > 1, F.col("__below") / (F.col("__n") - 1)).otherwise(1.0)
     return met.withColumns({"ltv_percentile": share, "vs_average": F.col("ltv_score") - F.col("__mean"), "vs_median": F.col("ltv_score") - F.col("__median")}).drop("__c", "__below", "__n", "__mean", "__median")

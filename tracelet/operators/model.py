@@ -2,7 +2,8 @@
 
 Counts are a commutative monoid, so training in parts, merging and streaming all come down to adding
 counts. One shuffle deals the pairs by (prefix, token), behind partial aggregation on the map side
-(the start prefix has a row for every sequence); the second moves only distinct pairs.
+(the start prefix has a row for every sequence); totals of prefixes are added up from the distinct
+pairs and joined back, by broadcast where they are small.
 """
 
 from __future__ import annotations
@@ -50,8 +51,9 @@ def counts(sequences: DataFrame, order: int, tokens: str = "tokens", weight: str
 
 
 def with_probability(counted: DataFrame) -> DataFrame:
-    whole = F.sum("cnt").over(Window.partitionBy("prefix"))
-    return counted.withColumn("__total", whole).where("__total > 0").select("prefix", "token", "cnt", (F.col("cnt") / F.col("__total")).alias("probability"))
+    """Totals of prefixes are summed map-side and joined back, so that a prefix with very many successors is never sorted in one task; a join can be split where it is skewed."""
+    totals = counted.groupBy("prefix").agg(F.sum("cnt").alias("__total")).where("__total > 0")
+    return counted.join(totals, "prefix").select("prefix", "token", "cnt", (F.col("cnt") / F.col("__total")).alias("probability"))
 
 
 def sequence_freq(sequences: DataFrame, tokens: str = "tokens") -> DataFrame:

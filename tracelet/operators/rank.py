@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tracelet.functions.staging import staged
+from tracelet.functions.staging import discard, staged
 from tracelet.functions.text import group_key, next_prefix
 from tracelet.operators.cluster import positions
 from tracelet.operators.model import Model
 
 DAMPING, THRESHOLD, ITERATIONS = 0.85, 1e-6, 100
+#: Edges of a source in one place, and the most places that they are dealt to.
+HUB, MOST_PLACES = 100_000, 4096
 
 
 def normalize(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -22,45 +24,59 @@ def normalize(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFra
     if nodes is not None:
         ids = ids.union(nodes.select("id"))
     summed = edges.where("weight > 0").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    share = F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))
-    return ids.where("id IS NOT NULL").distinct(), summed.select("src", "dst", share.alias("share"))
-
-
-def step(nodes: DataFrame, edges: DataFrame, ranks: DataFrame, n: int, damping: float) -> DataFrame:
-    """One iteration: (id, rank, dangling, delta). Sources that lead nowhere spread their rank over all nodes."""
-    lost = ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-    flow = edges.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
+    out = summed.groupBy("src").agg(F.sum("weight").alias("out"), F.count(F.lit(1)).alias("degree"))
+    # the edges of a hub are dealt to so many places; its rank goes to each of them
+    places = F.when(F.col("degree") > HUB, F.least(F.lit(MOST_PLACES), F.ceil(F.col("degree") / HUB))).otherwise(1).cast("int")
+    shares = summed.join(out.withColumn("places", places), "src").select("src", F.pmod(F.xxhash64("dst"), "places").cast("int").alias("place"), "dst", (F.col("weight") / F.col("out")).alias("share"), "places")
+    return ids.where("id IS NOT NULL").distinct(), shares
+
+
+def step(edges: DataFrame, ranks: DataFrame, n: int, damping: float) -> DataFrame:
+    """One iteration: (id, rank, places, delta). ``places``: of the node's edges; 0 for a node that leads nowhere, whose rank is spread over all nodes."""
+    lost = ranks.where("places = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+    sent = ranks.where("places > 0").select(F.col("id").alias("src"), "rank", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
+    flow = edges.join(sent, ["src", "place"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
     new = F.lit((1 - damping) / n) + damping * F.coalesce("flow", F.lit(0.0)) + damping * F.col("lost") / n
-    return ranks.join(flow, "id", "left").join(F.broadcast(lost)).select("id", new.alias("rank"), "dangling", F.abs(new - F.col("rank")).alias("delta"))  # lost: one row
+    return ranks.join(flow, "id", "left").join(F.broadcast(lost)).select("id", new.alias("rank"), "places", F.abs(new - F.col("rank")).alias("delta"))  # lost: one row
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float = DAMPING, threshold: float = THRESHOLD, max_iterations: int = ITERATIONS, check: bool = True) -> tuple[DataFrame, int, bool]:
     """(ranks (id, rank), iterations, converged). Parameters out of range are put right; ``check`` False runs all iterations.
 
-    Nodes, edges and the ranks of every second iteration are written to the shared folder, so plans
-    stay short; the edges are written by source, and the shuffle of an iteration is one row for each
-    edge and node.
+    Nodes, edges and ranks are written to the shared folder, so plans stay short; ranks that newer ones
+    have replaced are deleted. The edges are also held on the executors, dealt by their source, so an
+    iteration shuffles ranks and flows but no edge; executors that are lost read them again.
     """
     damping, threshold, max_iterations = (damping if 0 < damping < 1 else DAMPING), (threshold if threshold > 0 else THRESHOLD), max(1, max_iterations)
     ids, shares = normalize(edges, nodes)
-    shares = staged(shares, "edges")
+    stored = staged(shares, "edges")
     ids = staged(ids, "nodes")
     n = ids.count()
     if n == 0:
         return ids.select("id", F.lit(0.0).alias("rank")), 0, True
-    out = shares.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True))
-    ranks = ids.join(out, "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.col("out").isNull().alias("dangling"))
-    for i in range(1, max_iterations + 1):
-        new = step(ids, shares, ranks, n, damping)
-        seen = Observation()
-        if check:  # the largest change is observed while the ranks are written, which saves a pass
-            new = staged(new.observe(seen, F.max("delta").alias("delta")), f"rank{i}")
-        elif i % 2 == 0:
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = stored.drop("places").repartition(parts, "src", "place").persist()
+    out = stored.select(F.col("src").alias("id"), "places").distinct()
+    old, ranks = None, ids.join(out, "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.coalesce("places", F.lit(0)).alias("places"))
+    done = False
+    try:
+        for i in range(1, max_iterations + 1):
+            seen = Observation()
+            new = step(held, ranks, n, damping)
+            if check:  # the largest change is observed while the ranks are written, which saves a pass
+                new = new.observe(seen, F.max("delta").alias("delta"))
+            elif i % 2 and i < max_iterations:
+                ranks = new.drop("delta")
+                continue
             new = staged(new, f"rank{i}")
-        ranks = new.drop("delta")
-        if check and seen.get["delta"] <= threshold:
-            return ranks.select("id", "rank"), i, True
-    return ranks.select("id", "rank"), max_iterations, False
+            discard(old)
+            old, ranks = new, new.drop("delta")
+            if check and seen.get["delta"] <= threshold:
+                done = True
+                break
+    finally:
+        held.unpersist()
+    return ranks.select("id", "rank"), i, done
 
 
 def model_edges(model: Model, graph: str = "model") -> DataFrame:
@@ -88,6 +104,8 @@ def percentiles(ranks: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class RankResult:
+    """``groups``: (group_key, position, node), a row for each node returned, so a group may be as large as the graph."""
+
     nodes: DataFrame
     groups: DataFrame | None
     metadata: dict[str, object] | None
@@ -104,7 +122,7 @@ def analyze(edges: DataFrame, damping: float = DAMPING, threshold: float = THRES
         out = out.where(F.col("position") < top)
     groups = None
     if group_by is not None:
-        groups = out.groupBy("group_key").agg(F.count(F.lit(1)).alias("nodes"), F.array_sort(F.collect_list(F.struct("position", "node"))).alias("members")).select("group_key", "nodes", F.transform("members", lambda m: m["node"]).alias("members"))
+        groups = out.select("group_key", "position", "node")
     info = {"damping": damping, "threshold": threshold, "iterations": turns, "converged": converged, "top": top} if include_metadata else None
     return RankResult(out, groups, info)
 

@@ -378,7 +378,8 @@ def pagerank_ranked(spark, sf_dir):
 def pagerank_groups(spark, sf_dir):
     m = model.train(inputs.sequences(spark, sf_dir), 1)
     build = rank.PageRankBuilder(m).convergence_threshold(1e-12).max_iterations(12).top_nodes(5).group_by(lambda c: F.substring(c, 1, 1))
-    return build.calculate().groups.withColumn("members", F.array_join("members", " "))
+    listed = build.calculate().groups.groupBy("group_key").agg(F.count(F.lit(1)).alias("nodes"), F.array_sort(F.collect_list(F.struct("position", "node"))).alias("m"))  # of five nodes
+    return listed.select("group_key", "nodes", F.array_join("m.node", " ").alias("members"))
 
 
 @query(f"WITH ed AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2), {sql_ranks(4)} SELECT id, round(r, 9) AS rank FROM r4")

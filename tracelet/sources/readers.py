@@ -6,7 +6,7 @@ import json
 import urllib.request
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelet.functions.records import leaves
@@ -113,15 +113,25 @@ def load(spark: SparkSession, source: str, config: str | None) -> DataFrame:
 
 
 def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", tie: str = "event_id", token: str = "event_type", gap: str | None = None) -> DataFrame:
-    """(key, session, tokens): events in order of time, cut at days, or at pauses of over ``gap``. A session is a group, so a key with many events is spread over its sessions once they are cut; cutting at pauses sorts the events of a key, spilling as needed."""
-    from pyspark.sql import Window
+    """(key, session, tokens): events in order of time, cut at days, or at pauses of over ``gap``. A session is a group, so a key with many events is spread over its sessions once they are cut.
 
+    Pauses are found within each day of a key; across days only the first and last time of each day are
+    compared, so no task sorts all events of a key.
+    """
     if gap is None:
         rows = events.withColumn("session", F.to_date(ts).cast("string"))
     else:
-        w = Window.partitionBy(key).orderBy(ts, tie)
-        starts = F.coalesce(F.lag(ts).over(w) < F.col(ts) - F.expr(f"INTERVAL {gap}"), F.lit(False)).cast("int")
-        rows = events.withColumn("__new", starts).withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("string"))
+        pause = lambda before, after: F.coalesce(before < after - F.expr(f"INTERVAL {gap}"), F.lit(False)).cast("int")
+        daily = events.withColumn("__day", F.coalesce(F.to_date(ts), F.lit("0001-01-01").cast("date")))
+        w = Window.partitionBy(key, "__day").orderBy(ts, tie)
+        cut = daily.withColumn("__new", pause(F.lag(ts).over(w), F.col(ts)))
+        cut = cut.withColumn("__within", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        days = cut.groupBy(key, "__day").agg(F.min(ts).alias("__first"), F.max(ts).alias("__last"), F.sum("__new").alias("__cuts"))
+        order = Window.partitionBy(key).orderBy("__day")  # a row for each day of a key
+        days = days.withColumn("__begins", pause(F.max("__last").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("__first")))
+        days = days.withColumn("__base", F.col("__begins") + F.coalesce(F.sum(F.col("__cuts") + F.col("__begins")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        rows = cut.withColumnRenamed(key, "__key").join(days.select(key, F.col("__day").alias("__d"), "__base"), F.col("__key").eqNullSafe(F.col(key)) & (F.col("__day") == F.col("__d")))
+        rows = rows.withColumn("session", (F.col("__base") + F.col("__within")).cast("string"))
     grouped = rows.groupBy(key, "session").agg(F.array_sort(F.collect_list(F.struct(ts, tie, token))).alias("e"))
     return grouped.select(key, "session", F.transform("e", lambda x: x[token]).alias("tokens"))
 
