@@ -568,6 +568,36 @@ def test_threats_at_third_persons_and_words_shared_with_other_languages():
     assert score("ich war da. I will kill her") > 0 and g.features("ich will die Stadt u.".encode()) == (0.0, 0.0, 0.0)
 
 
+def mixed(rng, *parts):
+    """Invented words around some given ones."""
+    words = lambda: " ".join("".join(rng.choice("bcdfgaeiou") for _ in range(5)) for _ in range(8))
+    return f"{words()}. {' '.join(parts)} {words()}."
+
+
+def test_arcs_are_learned_and_flip_a_verdict():
+    """Where the sample's negated insults are clean, the negation arc falls, and the same insult is judged by it; likewise reported speech."""
+    rng = random.Random(6)
+    for name, lead in (("negated", "is not an"), ("reported", "wrote of an")):
+        texts = [mixed(rng, "one", "is", "an", "idiot") for _ in range(60)] + [mixed(rng, "one", lead, "idiot") for _ in range(60)] + [mixed(rng) for _ in range(60)]
+        g = toxicity.Grammar.learned([t.encode() for t in texts], np.array([1.0] * 60 + [0.0] * 120))
+        assert g.weight[name] < toxicity.ARCS[name]
+        says = lambda t: g.probability([t.encode()])[0] >= 0.5
+        assert says("that one is an idiot") and not says(f"that one {lead} idiot")
+        g.weight[name] = 1.0  # without the transducer
+        assert says(f"that one {lead} idiot")
+    assert toxicity.Grammar.learned([b"an idiot", b"a word"] * 9, np.array([1.0, 0.0] * 9)).weight == toxicity.ARCS
+
+
+def test_targets_and_threats_are_learned():
+    rng = random.Random(7)
+    texts = [mixed(rng, "zed", "idiot") for _ in range(40)] + [mixed(rng, "we", "will", "gronk", "them") for _ in range(40)] + [mixed(rng, "we", "will", "greet", "them") for _ in range(80)] + [mixed(rng, "zed", "came", "to", "gronk") for _ in range(80)]
+    g = toxicity.Grammar.learned([t.encode() for t in texts], np.array([1.0] * 80 + [0.0] * 160))
+    assert g.symbols[b"zed"][0] == toxicity.TARGET and g.symbols[b"gronk"][0] == toxicity.THREAT and b"greet" not in g.symbols
+    base = toxicity.Grammar()
+    score = lambda t: max((s for s, _, _ in base.clauses(t.encode())), default=0.0)
+    assert score("you can't be an idiot") == score("you can’t be an idiot") == score("you cannot be an idiot") < score("you can be an idiot")
+
+
 def test_learned_words_do_not_come_from_copies():
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))

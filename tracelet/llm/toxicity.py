@@ -6,17 +6,22 @@ transducer adds weight where an insult and an addressed person stand in one clau
 transducer where a modal, a threat and a target follow each other, the negation transducer damps
 what stands within three words of a negation, and the reported-speech transducer what stands behind
 a verb of saying or inside quotation marks. One more notes words of other languages in a clause; behind
-them the words of SHARED, which those languages have too, are other words. Their composition is one automaton whose states are made
-when first reached. A clause's score is the weight of its path; a document's features are those of
-its matched clauses, and logistic regression turns them into a probability.
+them the words of SHARED, which those languages have too, are other words. Their composition is one
+automaton whose states are made when first reached. A clause's score is the weight of its path; a
+document's features are those of its matched clauses, and logistic regression turns them into a
+probability.
 
 Learned from a bounded sample of labelled rows (``per_class`` of each label): the weights of insults
 (words that mark the label, beside the given ones, by smoothed log odds), insulting stems with any
-ending, and the regression.
+ending, further targets (words that stand beside insults far more often than elsewhere) and threats
+(words between a modal and a target in toxic documents), the weights of the arcs of the four
+transducers (ARCS are where they begin, and where they stay if the sample never reaches them), and the
+regression.
 
 Edge cases: null, empty and unmatched texts get the probability of a document without any match;
-repeated rows score alike; texts of any length are read whole; without both labels the given
-weights and regression are used.
+repeated rows score alike; texts of any length are read whole; there are no ties (the threshold itself
+counts as toxic); an empty table gives an empty one; without both labels the given weights and
+regression are used; other columns pass through, and those named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,50 +55,76 @@ PER_CLASS, MAX_CHARS = 600, 100_000
 THRESHOLD = 0.5
 #: Stems are prefixes of so many bytes, with so many different words behind them.
 STEM, STEM_MOST, FORMS = 4, 8, 4
-TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[.!?;\n]|\"")
+#: Words, ends of clauses and quotation marks; one word has an apostrophe, as its head alone says the opposite.
+TOKEN = re.compile(rb"[Cc][Aa][Nn] {0,2}'[Tt](?![0-9A-Za-z])|[0-9A-Za-z\x80-\xff]+|[.!?;\n]|\"")
+#: Weights of the arcs before anything is learned: factors behind a negation and in reported speech, additions for an insult with a target and for a threat.
+ARCS = {"negated": 0.5, "reported": 0.7, "targeted": 0.5, "threatened": 1.5}
+#: What is tried for each.
+TRIED = {"negated": (0.02, 0.1, 0.25, 0.5, 0.75, 1.0), "reported": (0.02, 0.1, 0.25, 0.5, 0.7, 1.0), "targeted": (0.0, 0.25, 0.5, 1.0, 2.0), "threatened": (0.0, 0.5, 1.0, 1.5, 3.0)}
 #: Word bytes stay, A-Z becomes a-z, all else separates.
 TABLE = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
 
-def negation(state: int, symbol: int) -> tuple[int, float]:
-    """Counts down three words from a negation; the factor damps what is met meanwhile."""
+def negation(state: int, symbol: int) -> tuple[int, bool]:
+    """Counts down three words from a negation; whether what is met is damped."""
     if symbol == NEGATION:
-        return 3, 1.0
+        return 3, False
     if symbol == END:
-        return 0, 1.0
-    return max(0, state - 1), 0.5 if state else 1.0
+        return 0, False
+    return max(0, state - 1), state > 0
 
 
-def reported(state: int, symbol: int) -> tuple[int, float]:
-    """1 behind a verb of saying, 2 inside quotation marks."""
+def reported(state: int, symbol: int) -> tuple[int, bool]:
+    """1 behind a verb of saying, 2 inside quotation marks; whether what is met is damped."""
     if symbol == END:
-        return (2 if state == 2 else 0), 1.0
+        return (2 if state == 2 else 0), False
     if symbol == QUOTE:
-        return (0 if state == 2 else 2), 1.0
+        return (0 if state == 2 else 2), False
     if symbol == REPORT:
-        return max(state, 1), 1.0
-    return state, 0.7 if state else 1.0
+        return max(state, 1), False
+    return state, state > 0
 
 
-def targeted(state: int, symbol: int) -> tuple[int, float]:
-    """Bits: a target was seen, an insult was seen; adds when the second of both comes."""
+def targeted(state: int, symbol: int) -> tuple[int, bool]:
+    """Bits: a target was seen, an insult was seen; whether this is the second of both."""
     if symbol == END:
-        return 0, 0.0
+        return 0, False
     bit = {TARGET: 1, INSULT: 2}.get(symbol, 0)
-    return state | bit, 0.5 if bit and state and not state & bit else 0.0
+    return state | bit, bool(bit and state and not state & bit)
 
 
-def threatening(state: int, symbol: int) -> tuple[int, float]:
-    """0 nothing, 1 modal, 2 modal and threat; adds when a target follows."""
+def threatening(state: int, symbol: int) -> tuple[int, bool]:
+    """0 nothing, 1 modal, 2 modal and threat; whether a target follows these."""
     if symbol == END:
-        return 0, 0.0
+        return 0, False
     if symbol == MODAL:
-        return 1, 0.0
+        return 1, False
     if symbol == THREAT:
-        return (2 if state else 0), 0.0
+        return (2 if state else 0), False
     if symbol == TARGET and state == 2:
-        return 0, 1.5
-    return state, 0.0
+        return 0, True
+    return state, False
+
+
+def straight(text: bytes) -> bytes:
+    """Typographic apostrophes as plain ones, of the same length."""
+    return text.replace(b"\xe2\x80\x99", b"  '") if b"\xe2\x80\x99" in text else text
+
+
+def regression(x: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weights, loss) of logistic regression by Newton's method, slightly damped; both labels weigh the same."""
+    n1, n0 = labels.sum(), (1 - labels).sum()
+    w = np.where(labels > 0, 0.5 / max(1, n1), 0.5 / max(1, n0))
+    beta, eye = np.zeros(x.shape[1]), np.eye(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        h = (x * (w * p * (1 - p))[:, None]).T @ x + 1e-3 * eye
+        step = np.linalg.solve(h, x.T @ (w * (p - labels)) + 1e-3 * beta)
+        beta -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))), 1e-9, 1 - 1e-9)
+    return beta, float(-(w * (labels * np.log(p) + (1 - labels) * np.log(1 - p))).sum() + 5e-4 * (beta**2).sum())
 
 
 def foreign(state: int, symbol: int) -> int:
@@ -100,33 +132,50 @@ def foreign(state: int, symbol: int) -> int:
     return 0 if symbol == END else int(state or symbol == FOREIGN)
 
 
+class Path(NamedTuple):
+    """What an arc of the composed automaton says: the next state, and which of the transducers' arcs it takes."""
+
+    state: tuple[int, int, int, int, int]
+    negated: bool
+    reported: bool
+    targeted: bool
+    threatened: bool
+
+
 class Grammar:
-    def __init__(self, weights: dict[bytes, float] | None = None, stems: dict[bytes, float] | None = None) -> None:
+    def __init__(self, weights: dict[bytes, float] | None = None, stems: dict[bytes, float] | None = None, targets: Sequence[bytes] = (), threats: Sequence[bytes] = (), arcs: dict[str, float] | None = None) -> None:
         self.symbols: dict[bytes, tuple[int, float]] = {b".": (END, 0.0), b"!": (END, 0.0), b"?": (END, 0.0), b";": (END, 0.0), b"\n": (END, 0.0), b'"': (QUOTE, 0.0)}
         for words, symbol in ((TARGETS, TARGET), (MODALS, MODAL), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT), (FOREIGN_WORDS, FOREIGN)):
             self.symbols |= {w.encode(): (symbol, 0.0) for w in words}
+        self.symbols |= {w: (TARGET, 0.0) for w in targets} | {w: (THREAT, 0.0) for w in threats}
+        self.weight = {**ARCS, **(arcs or {})}
         self.symbols |= {w: (INSULT, x) for w, x in ({w.encode(): 1.0 for w in INSULTS} | (weights or {})).items()}
         self.shared = {w.encode() for w in SHARED if self.symbols[w.encode()][0] != INSULT}
         self.stems = stems or {}
         self.heads = {s[:STEM] for s in self.stems}
         self.marks = {w for w, (s, _) in self.symbols.items() if s in (INSULT, THREAT)}
-        self.arcs: dict[tuple, tuple] = {}
+        self.arcs: dict[tuple, Path] = {}
         self.beta = np.array([-3.0, 4.0, 0.5, 0.5])
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"arcs": {}}
 
-    def arc(self, state: tuple[int, int, int, int, int], symbol: int) -> tuple[tuple, float, float]:
-        """(next state, factor for the word's weight, weight added) of the composed transducers."""
+    def arc(self, state: tuple[int, int, int, int, int], symbol: int) -> Path:
+        """The arc of the composed transducers."""
         made = self.arcs.get((state, symbol))
         if made is None:
-            n, damp = negation(state[0], symbol)
-            r, far = reported(state[1], symbol)
-            t, pair = targeted(state[2], symbol)
-            h, threat = threatening(state[3], symbol)
-            made = self.arcs[state, symbol] = ((n, r, t, h, foreign(state[4], symbol)), damp * far, (pair + threat) * damp * far)
+            (n, damped), (r, far), (t, pair), (h, threat) = (f(s, symbol) for f, s in zip((negation, reported, targeted, threatening), state, strict=False))
+            made = self.arcs[state, symbol] = Path((n, r, t, h, foreign(state[4], symbol)), damped, far, pair, threat)
         return made
 
+    def scored(self, steps: Sequence[tuple[float, Path]]) -> float:
+        """Weight of a path: each word's own weight and what its arc adds, damped by what its arc damps."""
+        w, total = self.weight, 0.0
+        for own, arc in steps:
+            more = own + (w["targeted"] if arc.targeted else 0.0) + (w["threatened"] if arc.threatened else 0.0)
+            total += more * (w["negated"] if arc.negated else 1.0) * (w["reported"] if arc.reported else 1.0)
+        return total
+
     def symbol(self, word: bytes) -> tuple[int, float]:
         """The lexical transducer: whole words first, then the longest learned stem."""
         found = self.symbols.get(word)
@@ -135,35 +184,46 @@ class Grammar:
             found = (INSULT, self.stems[stem]) if stem else None
         return found or (OTHER, 0.0)
 
-    def clauses(self, text: bytes) -> list[tuple[float, int, int]]:
-        """(score, start, end) of clauses that matched; offsets in bytes."""
-        out, state, score, start, last = [], (0, 0, 0, 0, 0), 0.0, 0, 0
-        for m in TOKEN.finditer(text):
-            word = m[0].lower()
+    def paths(self, text: bytes) -> list[tuple[list[tuple[float, Path]], int, int]]:
+        """(steps that weigh anything, start, end) of clauses that matched; offsets in bytes."""
+        out, state, steps, start, last = [], (0, 0, 0, 0, 0), [], 0, 0
+        for m in TOKEN.finditer(straight(text)):
+            word = m[0].lower().replace(b" ", b"")
             symbol, weight = self.symbol(word)
             if state[4] and word in self.shared:
                 symbol = OTHER
-            state, factor, more = self.arc(state, symbol)
-            score += weight * factor + more
+            arc = self.arc(state, symbol)
+            state = arc.state
+            if weight or arc.targeted or arc.threatened:
+                steps.append((weight, arc))
             last = m.end()
             if symbol == END:
-                if score:
-                    out.append((score, start, last))
-                score, start = 0.0, last
-        if score:
-            out.append((score, start, last))
+                if steps:
+                    out.append((steps, start, last))
+                steps, start = [], last
+        if steps:
+            out.append((steps, start, last))
         return out
 
-    def features(self, text: bytes) -> tuple[float, float, float]:
+    def clauses(self, text: bytes) -> list[tuple[float, int, int]]:
+        """(score, start, end) of clauses that matched; offsets in bytes."""
+        return [(score, start, end) for steps, start, end in self.paths(text) if (score := self.scored(steps))]
+
+    def may_match(self, text: bytes) -> bool:
+        """Whether the text has any insult or threat; without one no clause matches."""
+        words = straight(text).translate(TABLE).split()
+        return not self.marks.isdisjoint(words) or bool(self.heads) and not self.heads.isdisjoint([w[:STEM] for w in words])
+
+    def summed(self, paths: Sequence[tuple]) -> tuple[float, float, float]:
         """Of the matched clauses: the largest score, log of the summed score, log of their number."""
-        words = text.translate(TABLE).split()
-        if self.marks.isdisjoint(words) and (not self.heads or self.heads.isdisjoint([w[:STEM] for w in words])):
-            return 0.0, 0.0, 0.0
-        scores = [s for s, _, _ in self.clauses(text)]
+        scores = [s for steps, *_ in paths if (s := self.scored(steps))]
         if not scores:
             return 0.0, 0.0, 0.0
         return max(scores), math.log1p(sum(scores)), math.log1p(len(scores))
 
+    def features(self, text: bytes) -> tuple[float, float, float]:
+        return self.summed(self.paths(text)) if self.may_match(text) else (0.0, 0.0, 0.0)
+
     def probability(self, texts: Sequence[bytes]) -> np.ndarray:
         x = np.array([(1.0, *self.features(t)) for t in texts]).reshape(-1, 4)
         return 1 / (1 + np.exp(-np.clip(x @ self.beta, -30, 30)))
@@ -194,17 +254,58 @@ class Grammar:
             o = math.log((heads[s] + 0.5) / (n1 + 1)) - math.log((against[s] + 0.5) / (n0 + 1))
             if o >= math.log(100) and forms[s] >= FORMS and not any(s[:n] in stems for n in range(STEM, len(s))):
                 stems[s] = min(2.0, o / 3)
-        made = cls(weights, stems)
-        x = np.array([(1.0, *made.features(t)) for t in texts])
-        beta = np.zeros(4)
-        for _ in range(60):  # Newton's method, slightly damped; both labels weigh the same
-            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            w = np.where(labels > 0, 0.5 / max(1, n1), 0.5 / max(1, n0))
-            h = (x * (w * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(4)
-            beta -= np.linalg.solve(h, x.T @ (w * (p - labels)) + 1e-3 * beta)
-        made.beta = beta
+        made = cls(weights, stems, *cls(weights, stems).companions(texts, labels, few))
+        made.fit(texts, labels)
         return made
 
+    def companions(self, texts: Sequence[bytes], labels: np.ndarray, few: float) -> tuple[list[bytes], list[bytes]]:
+        """(targets, threats) that the sample shows, beside the given ones.
+
+        A target stands next to an insult in ``few`` toxic documents, and ten times as often there as its
+        share of all words would have it. A threat stands between a modal and a target in ``few`` toxic
+        documents, and in twenty times as many of them as of the others, by smoothed odds.
+        """
+        beside, between, every, places = Counter(), (Counter(), Counter()), Counter(), 0
+        for t, y in zip(texts, labels, strict=True):
+            words = straight(t).translate(TABLE).split()
+            kinds = [self.symbol(w)[0] for w in words]
+            every.update(words)
+            if y and INSULT in kinds:
+                near = [w for w, a, b, k in zip(words, [OTHER, *kinds], [*kinds[1:], OTHER], kinds, strict=False) if k == OTHER and INSULT in (a, b)]
+                beside.update(set(near))
+                places += len(set(near))
+            if MODAL in kinds:
+                between[int(y)].update({w for w, a, b, k in zip(words[1:], kinds, kinds[2:], kinds[1:], strict=False) if k == OTHER and a == MODAL and b == TARGET})
+        total, n1, n0 = max(1, sum(every.values())), int(labels.sum()), int(len(labels) - labels.sum())
+        targets = sorted(w for w, c in beside.items() if c >= few and c / places >= 10 * every[w] / total)
+        odds = lambda w: math.log((between[1][w] + 0.5) / (n1 + 1)) - math.log((between[0][w] + 0.5) / (n0 + 1))
+        return targets, sorted(w for w, c in between[1].items() if c >= few and w not in targets and odds(w) >= math.log(20))
+
+    def fit(self, texts: Sequence[bytes], labels: np.ndarray) -> None:
+        """The regression, and with it the weights of arcs: one after the other takes the value that lowers the loss, twice around. An arc that no clause takes keeps its weight."""
+        paths = [self.paths(t) if self.may_match(t) else [] for t in texts]
+        matched = [i for i, p in enumerate(paths) if p]
+        x = np.zeros((len(texts), 4))
+        x[:, 0] = 1
+
+        def loss() -> float:
+            for i in matched:
+                x[i, 1:] = self.summed(paths[i])
+            self.beta, found = regression(x, labels)
+            return found
+
+        taken = {n for i in matched for steps, *_ in paths[i] for _, arc in steps for n in ARCS if getattr(arc, n)}
+        best = loss()
+        for name in [n for _ in range(2) for n in ARCS if n in taken]:
+            kept = self.weight[name]
+            for value in TRIED[name]:
+                self.weight[name] = value
+                now = loss()
+                if now < best - 1e-4:  # not for nothing
+                    best, kept = now, value
+            self.weight[name] = kept
+        loss()
+
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Grammar:
     rows = labelled_sample(docs, labels, id_col, text_col, label_col, usable & labels[label_col].isin(0, 1), per_class, max_chars)
