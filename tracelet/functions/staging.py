@@ -34,9 +34,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return made
 
 
+def reading(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """Note which staged tables ``df`` reads, so that discarding it discards them."""
+    df._reads = tables
+    return df
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete the files of staged tables that nothing will read again; other tables and None are left alone."""
     for t in tables:
+        discard(*getattr(t, "_reads", ()))
         folder = getattr(t, "_staged_in", None)
         if folder is not None:
             path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
