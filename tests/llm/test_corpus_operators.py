@@ -641,3 +641,160 @@ def test_judge_keeps_other_columns(spark):
     rows = spark.createDataFrame([(1, "http://A.com/x", "mine", "mine")], "page_id long, url string, host string, extra string")
     r = url_filter.judge(rows).first()
     assert (r["host"], r["path"], r["rule"], r["verdict"], r["extra"]) == ("a.com", "/x", "com/", "allow", "mine")
+
+
+# ------------------------------------------------ forward passes, place by place
+def test_languages_against_plain_loops(spark, sf):
+    """The trained network over every document, one byte and one unit at a time."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.learn(docs, F.lit(True))
+    w, hidden = {k: v.astype(float) for k, v in model.w.items()}, model.hidden
+
+    def states(chunk, d):
+        h, out = [0.0] * hidden, []
+        for byte in chunk:
+            z = [min(1.0, max(0.0, w["xz" + d][byte][j] + sum(h[i] * w["uz" + d][i][j] for i in range(hidden)) + 0.5)) for j in range(hidden)]
+            c = [min(1.0, max(-1.0, w["xn" + d][byte][j] + sum(h[i] * w["un" + d][i][j] for i in range(hidden)))) for j in range(hidden)]
+            h = [z[j] * h[j] + (1 - z[j]) * c[j] for j in range(hidden)]
+            out.append(h)
+        return out
+
+    def pooled(text):
+        total, letters = [0.0] * len(model.labels), 0
+        for at in range(0, len(text), language.LENGTH):
+            chunk = text[at : at + language.LENGTH]
+            for byte, f, b in zip(chunk, states(chunk, "f"), states(chunk[::-1], "b")[::-1], strict=True):
+                if not (65 <= byte <= 90 or 97 <= byte <= 122 or byte >= 128):
+                    continue
+                y = [w["bo"][k] + sum(f[j] * w["of"][j][k] + b[j] * w["ob"][j][k] for j in range(hidden)) for k in range(len(model.labels))]
+                e = np.exp(np.array(y) - max(y))
+                total, letters = [t + p for t, p in zip(total, e / e.sum(), strict=True)], letters + 1
+        return [t / letters for t in total]
+
+    got = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
+    short = [r for r in docs.collect() if r["text"] and language.has_letter(r["text"].encode()) and len(r["text"].encode()) <= 700]
+    assert len(short) > 20
+    for r in short:
+        p = pooled(r["text"].encode())
+        assert abs(got[r["doc_id"]]["score"] - max(p)) < 1e-3 and (got[r["doc_id"]]["lang_pred"] == model.labels[int(np.argmax(p))] or sorted(p)[-1] - sorted(p)[-2] < 1e-3)
+    for r in docs.collect():  # every text of any length: the mean over the chunks, read one at a time
+        text = (r["text"] or "").encode()
+        if not language.has_letter(text):
+            assert got[r["doc_id"]]["lang_pred"] == "und" and got[r["doc_id"]]["score"] == 0
+            continue
+        parts = [np.frombuffer(text[i : i + language.LENGTH], np.uint8) for i in range(0, len(text), language.LENGTH)]
+        each = np.concatenate([model.probabilities(x[:, None])[:, 0][language.LETTER[x]] for x in parts])
+        assert abs(each.mean(0).max() - got[r["doc_id"]]["score"]) < 1e-3
+
+
+def test_quality_against_plain_loops(spark, sf):
+    """Filters at every place of every overlapping chunk, and runs of repeats looked for lag by lag."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.learn(docs, labels, F.lit(True))
+
+    def probability(text):
+        if not text:
+            vectors = []
+        else:
+            n = 1 + max(0, -(-(len(text) - quality.CHUNK) // quality.STRIDE))
+            vectors = [chunk_vector(text[k * quality.STRIDE : k * quality.STRIDE + quality.CHUNK].ljust(quality.CHUNK, b"\0")) for k in range(n)]
+        mean = np.mean(vectors, axis=0) if vectors else np.zeros(quality.FILTERS + len(quality.RUNS))
+        return 1 / (1 + np.exp(-np.clip(mean @ model.weight + model.bias, -30, 30)))
+
+    def chunk_vector(chunk):
+        at = np.frombuffer(chunk, np.uint8)
+        best = np.full(quality.FILTERS, -np.inf)
+        for i in range(len(chunk) - quality.SPAN + 1):
+            best = np.maximum(best, sum(model.tables[j][at[i + j]].astype(float) for j in range(quality.SPAN)))
+        runs = []
+        longest = 0
+        for lag in range(2, quality.LAGS + 1):
+            run = 0
+            for i in range(lag, len(chunk)):
+                run = run + 1 if chunk[i] == chunk[i - lag] != 0 else 0
+                longest = max(longest, run)
+        runs = [float(longest >= n) for n in quality.RUNS]
+        return np.concatenate([np.maximum(best + model.shift, 0), runs])
+
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    rows = sorted(docs.collect(), key=lambda r: len(r["text"] or ""))
+    for r in [*rows[:60], *rows[-2:]]:
+        assert abs(got[r["doc_id"]] - probability((r["text"] or "").encode())) < 1e-4
+
+
+def test_toxicity_against_a_plain_reading(spark, sf):
+    """Clause by clause with the given symbols: what every word weighs, from the words before it."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    grammar = toxicity.learn(docs, labels, F.lit(True))
+    T_ = toxicity
+
+    def clause_score(symbols, in_quotes):
+        """symbols: (kind, weight) of a clause without its end."""
+        total, quoted, said = 0.0, in_quotes, False
+        seen_target = seen_insult = False
+        threat = 0
+        for i, (kind, weight) in enumerate(symbols):
+            before = [k for k, _ in symbols[max(0, i - 3) : i]]
+            damp = grammar.weight["negated"] if T_.NEGATION in before and kind != T_.NEGATION else 1.0
+            if kind not in (T_.QUOTE, T_.REPORT) and (quoted or said):
+                damp *= grammar.weight["reported"]
+            if kind == T_.QUOTE:
+                quoted, said = not quoted, False
+            elif kind == T_.REPORT and not quoted:
+                said = True
+            more = weight
+            if kind == T_.TARGET and seen_insult and not seen_target or kind == T_.INSULT and seen_target and not seen_insult:
+                more += grammar.weight["targeted"]
+            seen_target, seen_insult = seen_target or kind == T_.TARGET, seen_insult or kind == T_.INSULT
+            if kind == T_.TARGET and threat == 2:
+                more += grammar.weight["threatened"]
+                threat = 0
+            elif kind == T_.MODAL:
+                threat = 1
+            elif kind == T_.THREAT:
+                threat = 2 if threat else 0
+            total += more * damp
+        return total, quoted
+
+    def probability(text):
+        scores, clause, quoted, alien = [], [], False, False
+        for word in [m[0].lower() for m in T_.TOKEN.finditer(text)] + [b"."]:
+            kind, weight = grammar.symbol(word)
+            if alien and word in grammar.shared:
+                kind = T_.OTHER
+            if kind == T_.END:
+                score, quoted = clause_score(clause, quoted)
+                scores += [score] if score else []
+                clause, alien = [], False
+            else:
+                clause.append((kind, weight))
+                alien = alien or kind == T_.FOREIGN
+        x = [1.0, max(scores), np.log1p(sum(scores)), np.log1p(len(scores))] if scores else [1.0, 0, 0, 0]
+        return 1 / (1 + np.exp(-np.clip(np.dot(x, grammar.beta), -30, 30)))
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, grammar).collect()}
+    assert all(abs(got[r["doc_id"]] - probability((r["text"] or "").encode())) < 1e-9 for r in docs.collect())
+    bits = ["you", "idiot", "not", "will", "kill", "him", "said", '"', ".", "word", "und", "die", "can't", "scum"]
+    rng = random.Random(2)
+    for _ in range(400):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randint(1, 14))).encode()
+        if grammar.may_match(text):
+            assert abs(grammar.probability([text])[0] - probability(text)) < 1e-9, text
+
+
+def test_urls_against_a_plain_sum(spark, sf):
+    """Every page's probability from the trained weights, n-gram by n-gram over characters."""
+    import math
+    import zlib
+
+    model = url_filter.UrlModel().train(url_filter.LABELLED)
+    pages = spark.read.parquet(f"{sf}/pages.parquet").unionByName(spark.createDataFrame([(-1, "http://é.com/ü?x", None), (-2, "http://a\nb.org/c/d", None), (-3, "http://x.org", None), (-4, None, None)], "page_id long, url string, html string"), allowMissingColumns=True)
+    for r in url_filter.judge(pages).collect():
+        total, n = 0.0, 0
+        for part, seed in ((f"^{r['host']}$", 1), (f"^{r['path']}$", 2)):
+            for size in url_filter.SIZES:
+                for i in range(len(part) - size + 1):
+                    total += float(model.weight[zlib.crc32(part[i : i + size].encode(), seed) % (1 << url_filter.BITS)])
+                    n += 1
+        assert abs(r["block_probability"] - 1 / (1 + math.exp(-(total / math.sqrt(max(1, n)) + model.bias)))) < 1e-5
+        assert r["rule"] or r["verdict"] == ("block" if r["block_probability"] >= 0.5 else "allow")

@@ -13,7 +13,7 @@ from tracelet.llm import queries
 
 SF = "/root/testdata/sf0.001"
 
-ROWS = {"op1_url_filter": "pages"}
+ROWS = {"op1_url_filter": "pages", "url_rules": "pages"}
 
 
 def table(spark, d, name):
@@ -30,6 +30,8 @@ def test_odd_and_empty_tables(spark, odd_dir, empty_dir, name):
     made = queries.QUERIES[name](spark, odd_dir).collect()
     if name == "op6_chat":
         assert {r["conv_id"] for r in made} == {1, 2, None, -1}
+    elif name == "secret_base":
+        assert made == []
     elif name == "chat_parts":
         assert {r["conv_id"] for r in made} == {1, 2, None}
     else:

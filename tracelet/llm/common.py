@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelet.functions.staging import staged  # noqa: F401  handed on to the operators
+from tracelet.functions.staging import discard, reading, staged  # noqa: F401  handed on to the operators
 
 #: Bytes of text that one call of a batch function sees at most, unless a single text is larger.
 SLICE_BYTES = 4 << 20

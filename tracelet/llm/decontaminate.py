@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelet.llm.common import map_text, own_names, plain_names, quoted, staged
+from tracelet.llm.common import discard, map_text, own_names, plain_names, quoted, reading, staged
 
 WINDOW = 13
 #: Pattern words in one automaton at most (about 100 MB in a worker).
@@ -151,7 +151,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     before = None
     for k, items in enumerate(parts):
         if before is not None:  # that pass is written before the next one is shipped
-            done = staged(done, f"scan{k}")
+            made, done = done, staged(done, f"scan{k}")
+            discard(made)
             before.destroy()
         before = shipped = spark.sparkContext.broadcast(items)
         name = hashlib.sha256(repr((items, window)).encode()).hexdigest()
@@ -172,7 +173,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             return out
 
         last = k == len(parts) - 1
-        done = map_text(done, "t", OUT, run, own if last else [*own, "t"], ("hit_words", "hit_items") if k else ())
+        source = done
+        done = reading(map_text(source, "t", OUT, run, own if last else [*own, "t"], ("hit_words", "hit_items") if k else ()), *([source] if k else []))
     kind = benchmark.schema[item_id].dataType
     ids = F.array_sort(F.transform("hit_items", lambda i: i.cast(kind)))
     return own_names(done, stay, "n_words", "hit_words", "hit_chars", ids.alias("hit_items"))

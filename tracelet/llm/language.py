@@ -10,7 +10,9 @@ of rows with a known language (``per_class`` rows of each, ranked by a hash of t
 
 Edge cases: null, empty or letterless texts get ``und`` with score 0; texts of any length are cut
 into chunks, all of which count; with no labelled row every text is ``und``; with one language all
-lettered texts get it; ties between languages go to the first in sorted order.
+lettered texts get it; ties between languages go to the first in sorted order; repeated rows are
+judged alike, and count once in the sample; an empty table gives an empty one; other columns pass
+through, and those named like an output are replaced.
 """
 
 from __future__ import annotations

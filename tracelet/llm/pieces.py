@@ -13,7 +13,11 @@ with equal scores, where the last-token property does not hold; those merges run
 for a run of n marks is n steps, remembered by n.
 
 Edge cases: null counts as empty; an empty text has the begin and end ids alone; characters outside
-the vocabulary become byte pieces; the blank mark itself in a text is a blank, as in the library.
+the vocabulary become byte pieces; the blank mark itself in a text is a blank, as in the library; of
+equally good merges (ties) the leftmost goes first, as there; texts of any length are encoded whole;
+repeated rows are encoded alike; an empty table gives an empty one; other columns pass through, and
+those named like an output are replaced. A model that normalises texts or puts no blank before them,
+or with pieces across blanks, is refused when it is loaded.
 """
 
 from __future__ import annotations
@@ -72,6 +76,9 @@ class Pieces:
         self.text = {i: p.replace(BLANK, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.byte.items()} | {i: b"" for i in range(n) if lib.is_control(i)}
         if any(BLANK in p.lstrip(BLANK) for p in self.ids) or any("\n" in p for p in self.ids) or any(p[:2] == BLANK * 2 and p.strip(BLANK) for p in self.ids):
             raise ValueError("this model has pieces across blanks or newlines")
+        probe = " a  \ufb01\u2460e\u0301\n "
+        if lib.decode(lib.encode(probe)) != probe or not lib.encode("a", out_type=str)[0].startswith(BLANK):
+            raise ValueError("this model normalises texts, or puts no blank before them")
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
             if len(p) > 1 and p.strip(BLANK):

@@ -9,7 +9,10 @@ averaged over the document and give one probability. Training is backpropagation
 on a bounded sample of labelled rows (``per_class`` of each label).
 
 Edge cases: null or empty texts have no chunk and the probability of the bias; a text shorter than a
-filter is padded with zero bytes; with one label only (or none) the model gives that label's share.
+filter is padded with zero bytes; with one label only (or none) the model gives that label's share;
+texts of any length are cut into chunks, all of which count; repeated rows score alike; there are no
+ties (the threshold itself counts as label 1); an empty table gives an empty one; other columns pass
+through, and those named like an output are replaced.
 """
 
 from __future__ import annotations

@@ -19,6 +19,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 1 that SQL expresses: host, path, the rule that fits and its verdict."""
+    judged = url_filter.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return decontaminate.judged(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -84,6 +90,12 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(of(*secret_scan.BASE)), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"))
 
 
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 7 that SQL expresses: the base spans, one row each."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), out="s", keep=["doc_id"]).select("doc_id", F.explode("s").alias("s"))
+    return found.select("doc_id", "s.kind", F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char")).where(F.col("kind").isin(*secret_scan.BASE))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     grammar = toxicity.learn(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
@@ -101,11 +113,34 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, keep=["doc_id"]).select("doc_id", held("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op3_language, op4_pieces, op5_simhash, op6_chat, op7_secrets, op8_toxicity, op9_exact_dedup, op10_quality, chat_parts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op3_language, op4_pieces, op5_simhash, op6_chat, op7_secrets, op8_toxicity, op9_exact_dedup, op10_quality, chat_parts, url_rules, secret_base)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def base_spans(kind: str, pattern: str, value: str, least: int) -> str:
+    """SQL for the matches of a pattern whose ``value`` (of the match m) has ``least`` characters: places are the lengths of what stands before."""
+    return f"""SELECT doc_id, '{kind}' AS kind, pos AS start_char, pos + length(m) AS end_char FROM (
+ SELECT doc_id, m, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS pos
+ FROM (SELECT doc_id, i, found[i] AS m, found, parts FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS found, string_split_regex(t, '{pattern}') AS parts FROM d), unnest(range(1, len(found) + 1)) AS u(i)))
+ WHERE length({value}) >= {least}"""
+
+
+ASSIGNED = """([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
 ORACLES: dict[str, str] = {
+    "url_rules": r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS v(h, s, verdict)),
+f AS (SELECT page_id, arg_max(h || s, length(h || s)) AS rule, arg_max(verdict, length(h || s)) AS rule_verdict
+      FROM p, r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY page_id)
+SELECT page_id, host, path, rule, rule_verdict FROM p LEFT JOIN f USING (page_id)""",
+    "secret_base": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+{base_spans("assign", ASSIGNED, f"regexp_extract(m, '{ASSIGNED}', 2)", 12)}
+UNION ALL {base_spans("access", "AKIA[A-Z0-9]+", "m", 18)} UNION ALL {base_spans("hex", "[0-9a-f]+", "m", 16)}""",
     "op2_decontaminate": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelet.llm.common import lookup, map_text, one_of_each, own_names, plain_names, quoted, staged
+from tracelet.llm.common import discard, lookup, map_text, one_of_each, own_names, plain_names, quoted, reading, staged
 
 SHINGLE = 4
 SEED = 42
@@ -287,14 +287,15 @@ def links(points: DataFrame, fp: str = "fp", radius: int = RADIUS, blocks: int =
     """
     if blocks <= radius:
         raise ValueError("there must be more parts than differing bits")
-    found_so_far, keyed = [], shard_keys(points, fp, masks(0, radius, blocks))
+    found_so_far, tables, keyed = [], [], shard_keys(points, fp, masks(0, radius, blocks))
     for turn in count():
         found = staged(keyed.repartition("k", "v").sortWithinPartitions("k", "v", "p").mapInArrow(shard_links(radius, blocks, most), FOUND), f"shards{turn}")
+        tables.append(found)
         found_so_far.append(found.where("k IS NULL").select("u", "v"))
         large = found.where("k IS NOT NULL").select("k", F.col("u").alias("p"))
         choices = [r["k"] for r in large.select("k").distinct().collect()]  # some of the masks of this turn, whose number is fixed
         if not choices:
-            return reduce(DataFrame.unionByName, found_so_far)
+            return reading(reduce(DataFrame.unionByName, found_so_far), *tables)
         spark = points.sparkSession
         deeper = spark.createDataFrame([(k, [signed(m) for m in masks(k & ((1 << 64) - 1), radius, blocks)]) for k in sorted(choices)], "k long, masks array<long>")
         again = large.join(F.broadcast(deeper), "k").select("p", F.explode("masks").alias("k"))
@@ -319,7 +320,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("links"))
         met = lookup(large, low, "u", "links", n)
         small = met.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        now = staged(small, f"small{turn}")
+        before, now = now, staged(small, f"small{turn}")
+        discard(before, large)
         # settled when every node has one link, and none leads to a node that has a link itself
         degrees = now.groupBy("u").agg(F.count(F.lit(1)).alias("links"))
         if degrees.where("links > 1").isEmpty() and now.select(F.col("v").alias("u")).distinct().join(degrees, "u", "left_semi").isEmpty():
@@ -339,7 +341,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = staged(fingerprinted(rows, "t", "fp", shingle, [c for c in rows.columns if c != "t"]), "fingerprints")
     distinct = staged(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")), "distinct")
     total = distinct.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
-    roots = components(links(distinct.select("fp"), "fp", radius, blocks, most))
+    near = links(distinct.select("fp"), "fp", radius, blocks, most)
+    roots = components(near)
+    discard(near)  # components has written what it needs of them
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     found = lookup(marked, named.join(least, "root").select("fp", "rows", "root", "component_id"), "fp", "rows", total)
