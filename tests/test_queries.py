@@ -2,7 +2,7 @@
 
 import pytest
 
-from tracelet.plans import catalog
+from tracelet.plans import catalog, ends  # noqa: F401
 
 
 def test_every_query_has_sql():

@@ -15,6 +15,12 @@ LEVELS = {"high": 0.70, "medium": 0.40}
 FEATURES = 12
 
 
+# The score's parts, and when inactivity and support contacts count in full; names of the actions.
+SHARES = {"days": 0.40, "trend": 0.30, "adoption": 0.20, "tickets": 0.10}
+IDLE_DAYS, MANY_TICKETS = 60, 5
+EMAIL, OUTREACH, CALL = "send_engagement_email", "priority_support_outreach", "schedule_success_call"
+
+
 def rounded(value: Column, digits: int | None) -> Column:
     return value if digits is None else F.round(value, digits)
 
@@ -60,10 +66,10 @@ def churn(records: DataFrame, as_of: datetime | None = None, features: Sequence[
     tickets = F.coalesce(optional(rows, "support_tickets", "double"), optional(rows, "support_ticket_count", "double"), optional(rows, "support.open_tickets", "double"), F.lit(0.0))
     base = rows.select(F.coalesce(optional(rows, "customer_id"), optional(rows, "id"), F.lit("unknown")).alias("customer_id"), days.alias("days"), trend.alias("trend"), adoption.alias("adoption"), tickets.alias("tickets"))
     parts = base.withColumns({
-        "c_days": F.lit(0.40) * F.least(F.col("days") / 60, F.lit(1.0)),
-        "c_trend": F.lit(0.30) * F.when(F.col("trend") == "declining", 1.0).when(F.col("trend") == "growing", 0.0).otherwise(0.5),
-        "c_adoption": F.lit(0.20) * (1 - F.col("adoption")),
-        "c_tickets": F.lit(0.10) * F.least(F.col("tickets") / 5, F.lit(1.0)),
+        "c_days": F.lit(SHARES["days"]) * F.least(F.col("days") / IDLE_DAYS, F.lit(1.0)),
+        "c_trend": F.lit(SHARES["trend"]) * F.when(F.col("trend") == "declining", 1.0).when(F.col("trend") == "growing", 0.0).otherwise(0.5),
+        "c_adoption": F.lit(SHARES["adoption"]) * (1 - F.col("adoption")),
+        "c_tickets": F.lit(SHARES["tickets"]) * F.least(F.col("tickets") / MANY_TICKETS, F.lit(1.0)),
     })
     scored = parts.withColumn("score", clamp(F.col("c_days") + F.col("c_trend") + F.col("c_adoption") + F.col("c_tickets")))
     scored = scored.withColumn("risk_level", risk_level(F.col("score"), levels))
@@ -88,7 +94,7 @@ def actions(level: Column, score: Column, tickets: Column, digits: int | None =
         return F.when(when, F.struct(F.lit(name).alias("action"), (F.lit(None).cast("int") if discount is None else discount).alias("discount"), rate.alias("expected_recovery_rate")))
 
     return F.array_compact(F.array(
-        one(F.lit(True), "send_engagement_email", F.when(high, 0.6).otherwise(0.5), F.when(high, 0.25).otherwise(0.18), F.when(high, 20).otherwise(15)),
-        one(high, "priority_support_outreach", 0.7, 0.30),
-        one((level != "low") & (tickets.cast("int") == 0), "schedule_success_call", 0.55, 0.22),
+        one(F.lit(True), EMAIL, F.when(high, 0.6).otherwise(0.5), F.when(high, 0.25).otherwise(0.18), F.when(high, 20).otherwise(15)),
+        one(high, OUTREACH, 0.7, 0.30),
+        one((level != "low") & (tickets.cast("int") == 0), CALL, 0.55, 0.22),
     ))

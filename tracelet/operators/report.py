@@ -40,12 +40,13 @@ def period_start(as_of: datetime, period: str | None) -> datetime | None:
     return as_of - timedelta(**{{"h": "hours", "d": "days", "w": "weeks"}[m[2]]: int(m[1])}) if m else None
 
 
-def recent_anomalies(log: DataFrame, model_key: str, as_of: datetime, period: str | None = None, limit: int = 20) -> DataFrame:
+def recent_anomalies(log: DataFrame, model_key: str, as_of: datetime, period: str | None = None, limit: int | None = 20) -> DataFrame:
     rows = log.where(F.col("model_key") == model_key)
     start = period_start(as_of, period)
     if start is not None:
         rows = rows.where(F.col("detected_at").between(start, as_of))
-    return rows.orderBy(F.desc("detected_at")).limit(limit)
+    newest = rows.orderBy(F.desc("detected_at"), "type", "sequence")
+    return newest if limit is None else newest.limit(limit)
 
 
 def build(model: Model, model_key: str, as_of: datetime, anomalies: DataFrame | None = None, sections: Sequence[str] = SECTIONS, period: str | None = None) -> dict[str, object]:

@@ -21,8 +21,8 @@ FREQ = "sequence string, n bigint"
 
 
 def session_stream(events: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour", key: str = "user_id", ts: str = "ts", token: str = "event_type", tie: str = "event_id") -> DataFrame:
-    """(key, start, end, tokens) of closed sessions; events later than the watermark are dropped."""
-    grouped = events.withWatermark(ts, watermark).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.array_sort(F.collect_list(F.struct(ts, tie, token))).alias("e"))
+    """(key, start, end, tokens) of closed sessions; events later than the watermark are dropped. Times without a zone are taken in the session's."""
+    grouped = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.array_sort(F.collect_list(F.struct(ts, tie, token))).alias("e"))
     return grouped.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.transform("e", lambda x: x[token]).alias("tokens"))
 
 
