@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelet import cli
 from tracelet.functions.records import flatten, leaves, optional
-from tracelet.operators import detect, model, rank
+from tracelet.operators import detect, model, rank, report
 from tracelet.plans.chain import EngineConfig, Manager, suggestions
 from tracelet.sources import readers, sinks
 from tracelet.sources.store import ParquetStore, SessionStore, valid
@@ -262,3 +262,60 @@ def test_sessions_cut_at_pauses_across_days(spark):
     rows = spark.createDataFrame([(u, t, i, f"e{i}") for i, (u, t) in enumerate(at)], "user_id int, ts string, event_id int, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
     got = sorted((str(r["user_id"]), r["session"], " ".join(r["tokens"])) for r in readers.sessions(rows, gap="1 HOUR").collect())
     assert got == [("1", "0", "e0 e1"), ("1", "1", "e2"), ("1", "2", "e3 e4"), ("2", "0", "e5"), ("None", "0", "e6"), ("None", "1", "e7")]
+
+
+def test_snapshots_that_are_compressed_or_encrypted(spark, tmp_path):
+    s = ParquetStore(spark, str(tmp_path))
+    s.put("k", model.train(seqs(spark, *["a b c"] * 3, "a c"), 2), as_of=NOW)
+    want = sorted(map(tuple, s.get("k", NOW).transitions.collect()))
+    for tag, codec, password in (("plain", None, None), ("small", "gzip", None), ("secret", "gzip", "0123456789abcdef"), ("hidden", None, "0123456789abcdef")):
+        s.snapshot("k", tag, tag, NOW, codec, password)
+        got = s.get("k", NOW, tag, password)
+        assert sorted(map(tuple, got.transitions.collect())) == want and got.order == 2 and sorted(r["n"] for r in got.sequence_freq.collect()) == [1, 3]
+    rows = {r["tag"]: r for r in s.snapshots("k").collect()}
+    assert [(rows[t]["compressed"], rows[t]["encrypted"]) for t in ("plain", "small", "secret", "hidden")] == [(False, False), (True, False), (True, True), (False, True)]
+    assert all(r["original_size"] > 0 and r["stored_size"] > 0 for r in rows.values()) and rows["plain"]["original_size"] == rows["plain"]["stored_size"]
+    with pytest.raises(ValueError):
+        s.get("k", NOW, "secret")
+    assert s.snapshots("none").count() == 0
+
+
+def test_mail_channel():
+    sent = []
+    mail = sinks.to_mail("a@example.com", ["b@example.com", "c@example.com"], "Report", send=sent.append)
+    assert sinks.notify({"x": 1}, mail) == 1 and report.deliver("<html>hi</html>", mail) == 1
+    assert [m["To"] for m in sent] == ["b@example.com, c@example.com"] * 2
+    assert json.loads(sent[0].get_content()) == {"x": 1} and sent[1].get_content_type() == "text/html"
+
+
+def test_predictors_by_name(spark):
+    m = Manager(spark, EngineConfig(order=1)).extend_predictor("constant", lambda p, o: p.chain.spark.range(o["n"]))
+    m.chain().train(seqs(spark, "a b")).save("k")
+    assert m.predictive("k").predict("constant", n=3).count() == 3 and m.predictive("k").predict("churn").count() == 1
+    with pytest.raises(ValueError):
+        m.predictive("k").predict("none")
+
+
+def test_listings_say_when_there_are_more(spark, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "SHOWN", 2)
+    seen = []
+    cli.listed(spark.range(3), lambda r: seen.append(r["id"]), "--export")
+    assert len(seen) == 2 and "--export writes all" in capsys.readouterr().err
+    cli.listed(spark.range(2), seen.append, None)
+    assert len(seen) == 4 and capsys.readouterr().err == ""
+
+
+def test_database(spark):
+    """A column of a database table, through the embedded database that comes with Spark, if it does."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url = "jdbc:derby:memory:tracelet"
+    rows = spark.createDataFrame([("a b",), ("",), (None,), ("c",)], "words string")
+    try:
+        rows.coalesce(1).write.format("jdbc").options(url=f"{url};create=true", dbtable="paths", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").mode("overwrite").save()
+    except Exception as e:
+        if "ClassNotFound" in str(e) or "No suitable driver" in str(e):
+            pytest.skip("no embedded database")
+        raise
+    got = readers.corpus_from_jdbc(spark, f"{url};paths;words", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert texts(got) == ["a b", "c"]
+    assert texts(readers.corpus_from_jdbc(spark, "main:paths:words", url=url, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")) == ["a b", "c"]

@@ -77,6 +77,8 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("key")
     one.add_argument("--tag", required=True)
     one.add_argument("--description")
+    one.add_argument("--compress", action="store_true")
+    one.add_argument("--encrypt", action="store_true")
     one.add_argument("--export")
     one.add_argument("--password")
     one = sub.add_parser("schedule")
@@ -98,6 +100,18 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+SHOWN = 100
+
+
+def listed(rows, show, whole: str | None) -> None:
+    """Show the first rows, and say so when there are more."""
+    found = rows.limit(SHOWN + 1).collect()
+    for r in found[:SHOWN]:
+        show(r)
+    if len(found) > SHOWN:
+        print(f"the first {SHOWN} are shown" + (f"; {whole} writes all" if whole else ""), file=sys.stderr)
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None, out=None) -> int:
     a = parser().parse_args(args)
     out = out or sys.stdout
@@ -122,15 +136,13 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=N
             if a.output:
                 sinks.write_texts(made, a.output)
             else:
-                for r in made.orderBy("walk").limit(100).collect():
-                    say(r["text"])
+                listed(made.orderBy("walk"), lambda r: say(r["text"]), "--output")
         elif a.command == "analyze":
             made = manager.chain().load(a.key).analyzer(a.profile).from_date_range(a.since, a.to).predict(a.seed, a.limit)
             if a.export:
                 sinks.export_predictions(made, a.export)
             else:
-                for r in made.limit(100).collect():
-                    say(json.dumps(r.asDict(), default=str))
+                listed(made, lambda r: say(json.dumps(r.asDict(), default=str)), "--export")
         elif a.command == "pagerank":
             chain = manager.chain().load(a.key)
             made = chain.analyze("pagerank", damping=a.damping, threshold=a.threshold, iterations=a.iterations, top=a.top, group_by=a.group_by)
@@ -139,17 +151,17 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=N
             if a.export:
                 sinks.export_ranks(made, a.export, "csv" if a.export.endswith(".csv") else "json")
             else:
-                for r in made.nodes.orderBy("position").limit(100).collect():
-                    say(json.dumps(r.asDict()))
+                listed(made.nodes.orderBy("position"), lambda r: say(json.dumps(r.asDict())), "--export")
         elif a.command == "detect-anomalies":
             found = manager.chain().train(readers.sequences_for_detection(spark, a.input)).detect(a.key).unseen_sequences().emerging_patterns().drift().threshold(a.threshold).order_by("score").get()
             if a.log:
                 sinks.append_anomalies(found, a.log, a.key, now)
-            for r in found.limit(100).collect():
-                say(json.dumps(r.asDict(), default=str))
+            listed(found, lambda r: say(json.dumps(r.asDict(), default=str)), "--log")
         elif a.command == "snapshot":
             store = manager.storage()
-            store.snapshot(a.key, a.tag, a.description, now)
+            if a.encrypt and not a.password:
+                raise ValueError("--encrypt needs a --password")
+            store.snapshot(a.key, a.tag, a.description, now, "gzip" if a.compress else None, a.password if a.encrypt else None)
             if a.export:
                 store.export(a.key, a.export, password=a.password)
             say(f"{a.key} kept as {a.tag}")
@@ -161,8 +173,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=N
                 spark.createDataFrame([row], TABLES["schedules"]).write.mode("append").parquet(where)
                 say(f"{a.action} runs next at {at}")
             if a.list:
-                for r in spark.read.schema(TABLES["schedules"]).parquet(where).orderBy(F.desc("created_at")).limit(100).collect():
-                    say(r["action"], r["model_key"], r["frequency"], r["next_run_at"])
+                listed(spark.read.schema(TABLES["schedules"]).parquet(where).orderBy(F.desc("created_at")), lambda r: say(r["action"], r["model_key"], r["frequency"], r["next_run_at"]), None)
         elif a.command == "report":
             found = manager.chain().load(a.key).model()
             log = sinks.read_log(spark, a.log) if a.log else None

@@ -36,6 +36,7 @@ class EngineConfig:
 
 Analyzer = Callable[["Chain", dict], object]
 Generator = Callable[["Chain", int, dict], DataFrame]
+Predictor = Callable[["Predictive", dict], DataFrame]
 
 
 def _text(chain: Chain, options: dict) -> DataFrame:
@@ -65,6 +66,10 @@ class Manager:
             "text": lambda c, n, o: generate.as_text(c.walk(n, o)),
             "sequence": lambda c, n, o: generate.as_json(c.walk(n, o)) if o.get("as_array") else generate.as_text(c.walk(n, o)),
         }
+        self.predictors: dict[str, Predictor] = {
+            "churn": lambda p, o: p.churn_score(**o), "ltv": lambda p, o: p.ltv(**o),
+            "next_best_action": lambda p, o: p.next_best_action(**o), "forecast": lambda p, o: p.seasonal_forecast(**o),
+        }
         self.storages: dict[str, Storage] = {"session": SessionStore()}
         if self.config.root:
             self.storages["database"] = self.storages["file"] = ParquetStore(spark, self.config.root)
@@ -73,6 +78,13 @@ class Manager:
     def chain(self, context: str = "text"):
         return self.builders[context](self) if context in self.builders else Chain(self, context)
 
+    def extend_predictor(self, name: str, fn: Predictor) -> Manager:
+        self.predictors[name] = fn
+        return self
+
+    def predictor(self, name: str) -> Predictor:
+        return self._named(self.predictors, name)
+
     def predictive(self, key: str | None = None, **options) -> Predictive:
         chain = Chain(self)
         return Predictive(chain.load(key) if key else chain, options)
@@ -413,6 +425,10 @@ class Predictive:
     def baseline(self) -> model.Model:
         return self.chain.model()
 
+    def predict(self, name: str, **settings) -> DataFrame:
+        """By the predictor of that name, the library's own or a registered one."""
+        return self.chain.manager.predictor(name)(self, settings)
+
     def _rows(self) -> DataFrame | None:
         return self.records if self.records is not None else self.chain.get_records()
 

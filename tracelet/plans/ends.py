@@ -210,6 +210,31 @@ def chain_analyze(spark, sf_dir):
     return chain.analyze("navigation", seed=seeds(spark, sf_dir, chain.model()), limit=2)
 
 
+SAVED = "SELECT {key} AS key, string_split(regexp_replace(trim(t), '\\s+', ' ', 'g'), ' ') AS toks FROM (SELECT c_custkey AS key, unnest([c_name, c_mktsegment]) AS t FROM customer WHERE c_acctbal > 0) WHERE trim(t) <> ''".replace("{key}", "key")
+
+
+@query(f"WITH sv AS ({SAVED}), {sql_model(1, 'sv')} SELECT prefix, token, cnt, probability FROM m")
+def stream_saved_rows(spark, sf_dir):
+    """The model that training on save has made of two columns of the customers with a positive balance."""
+    root = folder(spark)
+    schema = inputs.table(spark, sf_dir, "customer").schema
+    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/custome[r].parquet")
+    live.train_on_save(arriving, root, ["c_name", "c_mktsegment"], 1, F.col("c_acctbal") > 0).awaitTermination()
+    return live.trained(spark, root, 1).transitions
+
+
+@query(f"WITH {SEQS}, {sql_model(2)} SELECT prefix, token, cnt, probability FROM m")
+def snapshot_roundtrip(spark, sf_dir):
+    """Kept compressed and encrypted under a tag, read back after the model itself was forgotten."""
+    from tracelet.sources.store import ParquetStore
+
+    store, secret = ParquetStore(spark, folder(spark)), "0123456789abcdef"
+    store.put("site", model.train(inputs.sequences(spark, sf_dir), 2))
+    store.snapshot("site", "kept", codec="gzip", password=secret)
+    store.forget("site")
+    return store.get("site", tag="kept", password=secret).transitions
+
+
 def start(order: int) -> str:
     return " ".join(["__START__"] * order)
 

@@ -36,7 +36,7 @@ def money(column: str):
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer records with the fields that predictors read, from customers and their orders."""
+    """Customer records with the fields that predictors read, of customers who have ordered; others have none of these fields, and no record."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("d"), money("o_totalprice").alias("p"), "o_orderpriority", "o_orderstatus")
     window = lambda a, b: F.coalesce(F.sum(F.when((F.col("d") >= F.lit(a)) & (F.col("d") < F.lit(b)), F.col("p"))), F.lit(0).cast("decimal(28,2)"))
     by = orders.groupBy("o_custkey").agg(

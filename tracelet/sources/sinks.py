@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import smtplib
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime
+from email.message import EmailMessage
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +71,23 @@ def to_webhook(url: str, post: Callable[[str, bytes], None] | None = None) -> Ch
     return send
 
 
+def to_mail(sender: str, receivers: Sequence[str], subject: str, host: str = "localhost", send: Callable[[EmailMessage], None] | None = None) -> Callable[[dict | str], None]:
+    """A channel that mails payloads (as JSON) or finished texts (reports; HTML where they look like it); ``send`` takes the place of an SMTP server."""
+
+    def mail(payload: dict | str) -> None:
+        text = payload if isinstance(payload, str) else json.dumps(payload, indent=2, default=str)
+        message = EmailMessage()
+        message["From"], message["To"], message["Subject"] = sender, ", ".join(receivers), subject
+        message.set_content(text, subtype="html" if text.lstrip().startswith("<html") else "plain")
+        if send is not None:
+            send(message)
+        else:
+            with smtplib.SMTP(host) as server:
+                server.send_message(message)
+
+    return mail
+
+
 def notify(payload: dict, *channels: Channel) -> int:
     for send in channels:
         send(payload)

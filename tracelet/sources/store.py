@@ -16,10 +16,10 @@ from collections.abc import Mapping
 from datetime import datetime, timedelta
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelet.operators.model import Model
+from tracelet.operators.model import Model, with_probability
 
 LOG = "entry string, version string, kind_order int, meta string, stored_at timestamp, expires_at timestamp, tag string"
 
@@ -78,10 +78,17 @@ class ParquetStore:
             return None
         return newest[0]
 
-    def get(self, key: str, as_of: datetime | None = None, tag: str | None = None) -> Model | None:
+    def get(self, key: str, as_of: datetime | None = None, tag: str | None = None, password: str | None = None) -> Model | None:
+        """The current model, or the one kept under a tag; ``password``: that of an encrypted snapshot."""
         row = self._current(key, as_of, tag)
         if row is None:
             return None
+        kept = json.loads(row["meta"]) if tag else {}
+        if kept.get("payload"):
+            if kept["encrypted"] and password is None:
+                raise ValueError(f"the snapshot {tag} of {key} needs a password")
+            pairs = read_lines(self.spark, f"{kept['payload']}/transitions", "prefix string, token string, cnt bigint", password if kept["encrypted"] else None)
+            return Model(row["kind_order"], with_probability(pairs), read_lines(self.spark, f"{kept['payload']}/sequence_freq", "sequence string, n bigint", password if kept["encrypted"] else None))
         base = f"{self.path(key)}/{row['version']}"
         return Model(row["kind_order"], self.spark.read.parquet(f"{base}/transitions"), self.spark.read.parquet(f"{base}/sequence_freq"))
 
@@ -111,26 +118,59 @@ class ParquetStore:
             if r["version"] not in tagged:
                 self._delete(f"{self.path(key)}/{r['version']}")
 
-    def snapshot(self, key: str, tag: str, description: str | None = None, as_of: datetime | None = None) -> None:
-        """Keep the current version under a tag that is unique for the model; versions never change, so nothing is copied."""
+    def _size(self, path: str) -> int:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+    def snapshots(self, key: str) -> DataFrame:
+        """What is kept of a model: tag, description, whether compressed or encrypted, sizes in bytes, and when."""
+        rows = self.entries(key)
+        if rows is None:
+            rows = self.spark.createDataFrame([], LOG)
+        kept = F.from_json("meta", "description string, compressed boolean, encrypted boolean, original_size bigint, stored_size bigint")
+        return rows.where("entry = 'snapshot'").select(F.lit(key).alias("model_key"), "tag", kept.alias("k"), F.col("stored_at").alias("created_at")).select("model_key", "tag", "k.*", "created_at")
+
+    def snapshot(self, key: str, tag: str, description: str | None = None, as_of: datetime | None = None, codec: str | None = None, password: str | None = None) -> None:
+        """Keep the current version under a tag that is unique for the model.
+
+        Versions never change, so nothing is copied, unless it is to be compressed (``codec``) or
+        encrypted (``password`` of 16, 24 or 32 bytes): then counts and sequences are written as lines
+        of JSON, each encrypted by itself, from which ``get`` makes the model again.
+        """
         row = self._current(key, as_of)
         if row is None:
             raise ValueError(f"there is no model {key}")
         log = self.entries(key)
         if log.where(F.col("tag") == tag).limit(1).count():
             raise ValueError(f"{key} has a snapshot {tag} already")
-        self._log(key, "snapshot", row["version"], row["kind_order"], json.dumps({"description": description}), as_of or datetime.now(), None, tag)
+        base, payload = f"{self.path(key)}/{row['version']}", None
+        if codec or password:
+            payload = f"{self.path(key)}/kept-{uuid.uuid4().hex}"
+            model = self.get(key, as_of)
+            for name, table in (("transitions", model.transitions.select("prefix", "token", "cnt")), ("sequence_freq", model.sequence_freq.select("sequence", "n"))):
+                table.select(line(F.to_json(F.struct("*")), password).alias("value")).write.option("compression", codec or "none").text(f"{payload}/{name}")
+        facts = {"description": description, "compressed": bool(codec), "encrypted": bool(password), "original_size": self._size(base), "stored_size": self._size(payload or base), "payload": payload}
+        self._log(key, "snapshot", row["version"], row["kind_order"], json.dumps(facts), as_of or datetime.now(), None, tag)
 
     def export(self, key_or_model: str | Model, path: str, codec: str = "gzip", password: str | None = None) -> None:
         """A model as JSON lines, one a prefix; with a password (16, 24 or 32 bytes) each line is encrypted and base64."""
         model = self.get(key_or_model) if isinstance(key_or_model, str) else key_or_model
         if model is None:
             raise ValueError(f"there is no model {key_or_model}")
-        line = F.to_json(F.struct("prefix", "tokens"))
-        rows = nested(model).select((F.translate(F.base64(F.aes_encrypt(line, F.lit(password))), "\r\n", "") if password else line).alias("value"))
+        rows = nested(model).select(line(F.to_json(F.struct("prefix", "tokens")), password).alias("value"))
         rows.write.mode("overwrite").option("compression", codec).text(path)
 
 
+def line(text: Column, password: str | None) -> Column:
+    """A line as it is written: with a password encrypted and in base64."""
+    return F.translate(F.base64(F.aes_encrypt(text, F.lit(password))), "\r\n", "") if password else text
+
+
+def read_lines(spark: SparkSession, path: str, schema: str, password: str | None) -> DataFrame:
+    value = F.aes_decrypt(F.unbase64("value"), F.lit(password)).cast("string") if password else F.col("value")
+    return spark.read.text(path).select(F.from_json(value, schema).alias("r")).select("r.*")
+
+
 class SessionStore:
     """Models kept for the session with their records and what is said about them, cached while they are valid."""
 

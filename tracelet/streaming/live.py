@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracelet.operators.detect import AnomalyDetector, Config, Context, route_alerts
-from tracelet.operators.model import Model, counts, sequence_freq, with_probability
+from tracelet.operators.model import Model, counts, sequence_freq, token_rows, with_probability
+from tracelet.sources.readers import corpus_from_frame
 
 DELTA = "prefix string, token string, cnt bigint"
 FREQ = "sequence string, n bigint"
@@ -37,6 +38,17 @@ def train_stream(sequences: DataFrame, root: str, order: int = 2, checkpoint: st
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def train_on_save(saved: DataFrame, root: str, columns: list[str], order: int = 2, when: Column | None = None, checkpoint: str | None = None, **trigger) -> StreamingQuery:
+    """Train on the named columns of rows as they are saved (a stream of them), each value a sequence; ``when``: which rows count."""
+    chosen = saved if when is None else saved.where(when)
+
+    def batch(rows: DataFrame, i: int) -> None:
+        write_delta(token_rows(corpus_from_frame(rows, columns)), i, root, order)
+
+    writer = chosen.writeStream.option("checkpointLocation", checkpoint or f"{root}/progress").foreachBatch(batch)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def trained(spark: SparkSession, root: str, order: int) -> Model:
     """The model that all batches so far make."""
     pairs = spark.read.schema(DELTA + ", batch string").parquet(f"{root}/counts").groupBy("prefix", "token").agg(F.sum("cnt").alias("cnt"))
