@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterable, Sequence
+import struct
+from collections.abc import Sequence
 
 import ahocorasick
 import pyarrow as pa
@@ -89,6 +90,7 @@ class Pieces:
         self.unit = Remembered(self._unit)
         self.run = Remembered(self._run, 1 << 12)
         self.back = Remembered(self._back)
+        self.pack = Remembered(self._pack)
 
     def merged(self, symbols: Sequence[str]) -> list[tuple[str, tuple | None]]:
         """Merge pair by pair, best rank first and leftmost of equals; (text, (left, right, rank) or None) of what is left."""
@@ -132,7 +134,9 @@ class Pieces:
         return ends[0], ends[1]
 
     def _fits(self, pair: tuple[str, str]) -> bool:
-        """Whether the two tokens stay apart: at no time may the symbols that meet between them merge before either is taken up on its own side."""
+        """Whether the two are tokens and stay apart: at no time may the symbols that meet between them merge before either is taken up on its own side."""
+        if self.spines[pair[1]] is None:
+            return False
         right, left = self.spines[pair[0]][1], self.spines[pair[1]][0]
         i = j = 0
         while True:
@@ -147,51 +151,36 @@ class Pieces:
             else:
                 j += 1
 
-    def matches(self, unit: str) -> Iterable[list[str]]:
-        """Of each place, the pieces that end there; long units are matched while they are read."""
-        n = len(unit)
-        found = self.automaton.iter(unit) if n > 1 else ()
-        if n <= LONGEST:
-            ends: list[list[str]] = [[] for _ in range(n)]
-            for end, piece in found:
-                ends[end].append(piece)
-            yield from ends
-            return
-        at, piece = next(found, (n, ""))
-        for end in range(n):
-            here = []
-            while at == end:
-                here.append(piece)
-                at, piece = next(found, (n, ""))
-            yield here
-
     def tokens(self, unit: str) -> list[str]:
-        """Tokens of a unit (no blank mark but at its start): last tokens of all prefixes, then backwards."""
+        """Tokens of a unit (no blank mark but at its start): last tokens of all prefixes, then backwards.
+
+        Matches come in order of their ends. Of the candidates at a place (the pieces that match there, and
+        its one character) exactly one is compatible with the last token of the prefix before it, so where
+        no piece is, the character is; these places stay empty in ``last``.
+        """
         n = len(unit)
-        last: list[str] = [""] * (n + 1)
-        spines, fits = self.spines, self.fits
-        for end, here in enumerate(self.matches(unit)):
-            for token in (*here, unit[end]):
-                if spines[token] is None:
-                    continue
-                start = end + 1 - len(token)
-                if start == 0 or fits[last[start], token]:
-                    last[end + 1] = token
-                    break
-            else:
-                raise AssertionError(f"no last token at {end} of {unit[:100]!r}")
+        last: list[str | None] = [None] * (n + 1)
+        fits, spines = self.fits, self.spines
+        for end, piece in self.automaton.iter(unit) if n > 1 else ():
+            end += 1
+            if last[end] is None:
+                start = end - len(piece)
+                if fits[last[start] or unit[start - 1], piece] if start else spines[piece] is not None:
+                    last[end] = piece
         out = []
         while n:
-            out.append(last[n])
-            n -= len(last[n])
+            token = last[n] or unit[n - 1]
+            out.append(token)
+            n -= len(token)
         return out[::-1]
 
+    def _pack(self, token: str) -> bytes:
+        """Ids of a token: its own, or those of its bytes."""
+        i = self.ids.get(token)
+        return b"".join(x.to_bytes(4, "little") for x in ([i] if i is not None else [self.byte[b] for b in token.encode()]))
+
     def packed(self, tokens: Sequence[str]) -> bytes:
-        ids: list[int] = []
-        for t in tokens:
-            i = self.ids.get(t)
-            ids += [i] if i is not None else [self.byte[b] for b in t.encode()]
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return b"".join(map(self.pack.__getitem__, tokens))
 
     def _unit(self, field: str) -> bytes:
         """Ids of one field of a text split at blanks, where a field starting with a newline has no blank before it."""
@@ -203,7 +192,7 @@ class Pieces:
         return self.packed([x for x, _ in self.merged(BLANK * n)])
 
     def _back(self, ids: bytes) -> bytes:
-        return b"".join(self.text[int.from_bytes(ids[i : i + 4], "little")] for i in range(0, len(ids), 4))
+        return b"".join(map(self.text.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))
 
     def encode(self, text: str) -> list[bytes]:
         """Ids of a text as little-endian unsigned 32-bit integers, in pieces to be joined."""
