@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,14 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
+def staged(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, in a folder for each value of ``by``, and read it again.
 
     What the result of an operator reads stays until the shared folder is cleaned; ``discard`` takes
     away what only a later table of the same operator was made from.
     """
     folder = f"{shared_dir(df.sparkSession)}/tracelet-{uuid.uuid4().hex}"
-    df.write.parquet(f"{folder}/{name}")
+    df.write.partitionBy(*by).parquet(f"{folder}/{name}")
     made = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
     made._staged_in = folder
     return made
