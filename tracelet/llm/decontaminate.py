@@ -114,10 +114,11 @@ OUT = [
 
 
 class Shards:
-    """Lists of items; each is read when its turn comes, so the driver holds one."""
+    """Lists of items; each is read when its turn comes, so the driver holds one. Several are written apart from each other first, so each is read once."""
 
     def __init__(self, items: DataFrame, n: int) -> None:
-        self.items, self.n = items.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(n))), n
+        dealt = items.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(n)).cast("int"))
+        self.items, self.n = (dealt if n == 1 else staged(dealt.repartition("part"), "benchmark", ["part"])), n
 
     def __len__(self) -> int:
         return self.n
