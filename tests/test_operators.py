@@ -375,3 +375,14 @@ def test_superseded_ranks_are_deleted(spark, monkeypatch, tmp_path):
     table = staging.staged(ranks, "again")
     staging.discard(ranks, None, table)
     assert not list(tmp_path.glob("*/again"))
+
+
+def test_blank_seeds_are_dealt_evenly(spark):
+    """Seeds that begin at the start meet nothing in the join, whatever their number; the others do."""
+    m = model.train(rows(spark, "a b", "a c", "a c", "b"), 1)
+    many = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit(None)).otherwise("a").cast("string").alias("seed"))
+    made = predict.predict(m, many, limit=1)
+    got = made.groupBy("seed", "prefix", "token", "rank").agg(F.count("*").alias("n")).collect()
+    assert sorted((str(r["seed"]), r["prefix"], r["token"], r["n"]) for r in got) == [("None", "__START__", "a", 2000), ("a", "a", "c", 1000)]
+    joins = [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "LeftOuter" in x]
+    assert any("prefix#" in x and x.count("place#") == 2 for x in joins), joins
