@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelet.llm import common, language
+from tracelet.llm import common, exact_dedup, language, pieces, simhash
 
 
 def test_lookup_of_hot_and_cold_keys(spark):
@@ -49,3 +49,40 @@ def test_text_maps_keep_columns_and_order_of_slices(spark, monkeypatch):
     monkeypatch.setattr(common, "SLICE_BYTES", 1000)
     parts = list(common.slices(batch, 0))
     assert len(parts) > 50 and sum(p.num_rows for p in parts) == 1000
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.get_total_buffer_size()])], names=["rows", "bytes"])
+
+    rows = spark.range(0, 4000, 1, 1).select("id", F.repeat(F.lit("text "), 1000).alias("text"))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    common.map_text(rows, "text", [("n", T.LongType(), pa.int64())], lambda texts: ([len(t) for t in texts],))
+    got = rows.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in got) == 4000 and max(r["bytes"] for r in got) < 6 << 20
+    one = spark.range(0, 3, 1, 1).select(F.repeat(F.lit("text "), 2_000_000).alias("text"))
+    lengths = common.map_text(one, "text", [("n", T.LongType(), pa.int64())], lambda texts: ([len(t) for t in texts],), []).collect()
+    assert [r["n"] for r in lengths] == [10_000_000] * 3
+    spark.conf.set(key, str(64 << 20))  # the session's own choice stands
+    common.map_text(rows, "text", [("n", T.LongType(), pa.int64())], lambda texts: ([len(t) for t in texts],))
+    assert spark.conf.get(key) == str(64 << 20)
+    spark.conf.unset(key)
+
+
+def test_workers_forget_other_operators_tables(spark, monkeypatch):
+    begun = []
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, fn, schema, *_: begun.append(fn) or spark.createDataFrame([], schema))
+    pieces.encode(docs)
+    exact_dedup.owners(docs)
+    simhash.fingerprinted(docs)
+    own, *others = begun
+    assert len(others) == 3
+    for fn in others:
+        pieces.tables(pieces.model_path())
+        list(own(iter([])))
+        assert pieces._loaded
+        list(fn(iter([])))
+        assert not pieces._loaded

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import groupby, islice
 
@@ -14,6 +16,8 @@ from tracelet.functions.staging import discard, reading, staged  # noqa: F401  h
 
 #: Bytes of text that one call of a batch function sees at most, unless a single text is larger.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch that a worker gets, about, unless the session sets BATCH itself. Executors hold a batch several times over while it is sent.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: A class holding over 1/HOT_SHARE of all rows is hot; so there are fewer than HOT_SHARE hot classes.
 HOT_SHARE = 4096
 #: Hashes of ids that samples are drawn by lie below this.
@@ -46,6 +50,42 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+_tables: dict[str, dict] = {}
+
+
+def remembered(owner: str) -> dict:
+    """Tables of one operator, which a worker keeps from task to task until a task of another operator begins in it."""
+    return _tables.setdefault(owner, {})
+
+
+def forget(but: str | None) -> None:
+    """Drop the tables of all operators but one, and hand the freed memory back: workers outlive the stage they were filled in."""
+    full = [t for owner, t in _tables.items() if owner != but and t]
+    if not full:
+        return
+    for t in full:
+        t.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType, owner: str | None = None) -> DataFrame:
+    """``df.mapInArrow`` by batches of bounded size, in workers that hold no tables but those of ``owner``."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH, None) is None:
+        conf.set(BATCH, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(owner)
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
+
+
 def map_text(
     df: DataFrame,
     text_col: str,
@@ -53,11 +93,12 @@ def map_text(
     fn: Callable[[list[bytes | None]], Sequence],
     keep: Sequence[str] | None = None,
     also: Sequence[str] = (),
+    owner: str | None = None,
 ) -> DataFrame:
     """Append the columns ``out`` that ``fn`` computes from a list of texts (UTF-8 bytes or None), and lists of the columns ``also``.
 
     Columns of ``df`` (or those of ``keep``) pass through as Arrow; one that has the name of an
-    output is replaced. No shuffle.
+    output is replaced. No shuffle. ``owner``: whose ``remembered`` tables ``fn`` uses.
     """
     names = [n for n, _, _ in out]
     stay = [c for c in (df.columns if keep is None else keep) if c.lower() not in {n.lower() for n in names}]
@@ -77,7 +118,7 @@ def map_text(
                 columns += [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(made, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=inner.names)
 
-    done = source.mapInArrow(run, inner)
+    done = map_arrow(source, run, inner, owner)
     return done.select(*[F.col(f.name).alias(n) for f, n in zip(inner.fields, schema.names, strict=True)])
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelet.llm.common import discard, map_text, own_names, plain_names, quoted, reading, staged
+from tracelet.llm.common import discard, map_text, own_names, plain_names, quoted, reading, remembered, staged
 
 WINDOW = 13
 #: Pattern words in one automaton at most (about 100 MB in a worker).
@@ -40,7 +40,7 @@ TABLE = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c +
 SEPARATORS = r"[\x00-/:-@\[-`{-\x7f]+"
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-_built: dict[str, tuple] = {}
+_built: dict[str, tuple] = remembered("decontaminate")
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -175,7 +175,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         last = k == len(parts) - 1
         source = done
-        done = reading(map_text(source, "t", OUT, run, own if last else [*own, "t"], ("hit_words", "hit_items") if k else ()), *([source] if k else []))
+        done = reading(map_text(source, "t", OUT, run, own if last else [*own, "t"], ("hit_words", "hit_items") if k else (), "decontaminate"), *([source] if k else []))
     kind = benchmark.schema[item_id].dataType
     ids = F.array_sort(F.transform("hit_items", lambda i: i.cast(kind)))
     return own_names(done, stay, "n_words", "hit_words", "hit_chars", ids.alias("hit_items"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tracelet.llm.common import SLICE_BYTES, as_bytes, lookup, map_text, one_of_each, own_names, plain_names, quoted, slices, staged, without
+from tracelet.llm.common import SLICE_BYTES, as_bytes, lookup, map_arrow, map_text, one_of_each, own_names, plain_names, quoted, slices, staged, without
 
 #: Bytes of labels that a task's trie holds before subtrees are spilled.
 HELD = 8 << 20
@@ -211,9 +211,9 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("t"))
     fields = owner_fields(rows.schema["id"].dataType)
     texts = T.StructType([T.StructField("n", T.LongType()), T.StructField("h", T.LongType()), T.StructField("t", T.BinaryType()), *fields])
-    local = rows.mapInArrow(local_owners(texts, held), texts)
+    local = map_arrow(rows, local_owners(texts, held), texts)
     classes = T.StructType([T.StructField("sha", T.StringType()), *fields])
-    return local.repartition("n", "h").sortWithinPartitions("n", "h").mapInArrow(merged_owners(classes), classes)
+    return map_arrow(local.repartition("n", "h").sortWithinPartitions("n", "h"), merged_owners(classes), classes)
 
 
 def digests(docs: DataFrame, text_col: str, out: str, keep: list[str] | None = None) -> DataFrame:

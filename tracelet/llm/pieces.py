@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tracelet.llm.common import map_text
+from tracelet.llm.common import map_text, remembered
 
 BLANK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -42,7 +42,7 @@ REMEMBER = 500_000
 LONGEST = 256
 NEVER = float("inf")
 
-_loaded: dict[str, Pieces] = {}
+_loaded: dict[str, Pieces] = remembered("pieces")
 
 
 class Remembered(dict):
@@ -254,7 +254,7 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", ke
         flat = pa.Array.from_buffers(pa.int32(), at[-1], [None, pa.py_buffer(b"".join(ids))])
         return pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), pa.array([table.decode(p) for p in parts], pa.binary()).cast(pa.string())
 
-    return map_text(docs, text_col, [("piece_ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), ("decoded", T.StringType(), pa.string())], run, keep)
+    return map_text(docs, text_col, [("piece_ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), ("decoded", T.StringType(), pa.string())], run, keep, owner="pieces")
 
 
 DIGESTS = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string())]
@@ -274,4 +274,4 @@ def digests(docs: DataFrame, model: str | None = None, text_col: str = "text", k
             out[2].append(hashlib.sha256(table.decode(parts)).hexdigest())
         return out
 
-    return map_text(docs, text_col, DIGESTS, run, keep)
+    return map_text(docs, text_col, DIGESTS, run, keep, owner="pieces")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelet.llm.common import discard, lookup, map_text, one_of_each, own_names, plain_names, quoted, reading, staged
+from tracelet.llm.common import discard, lookup, map_arrow, map_text, one_of_each, own_names, plain_names, quoted, reading, staged
 
 SHINGLE = 4
 SEED = 42
@@ -289,7 +289,7 @@ def links(points: DataFrame, fp: str = "fp", radius: int = RADIUS, blocks: int =
         raise ValueError("there must be more parts than differing bits")
     found_so_far, tables, keyed = [], [], shard_keys(points, fp, masks(0, radius, blocks))
     for turn in count():
-        found = staged(keyed.repartition("k", "v").sortWithinPartitions("k", "v", "p").mapInArrow(shard_links(radius, blocks, most), FOUND), f"shards{turn}")
+        found = staged(map_arrow(keyed.repartition("k", "v").sortWithinPartitions("k", "v", "p"), shard_links(radius, blocks, most), FOUND), f"shards{turn}")
         tables.append(found)
         found_so_far.append(found.where("k IS NULL").select("u", "v"))
         large = found.where("k IS NOT NULL").select("k", F.col("u").alias("p"))
